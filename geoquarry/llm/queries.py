@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from geoquarry.llm import near_dedup
+from geoquarry.llm import near_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op3_toxicity_nearest_examples": toxicity.op3_toxicity_nearest_examples,
 }
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
