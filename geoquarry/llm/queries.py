@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from geoquarry.llm import near_dedup, toxicity
+from geoquarry.llm import decontamination, near_dedup, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op3_toxicity_nearest_examples": toxicity.op3_toxicity_nearest_examples,
+    "op8_spaced_seed_decontamination": decontamination.op8_spaced_seed_decontamination,
 }
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
+    "op8_spaced_seed_decontamination": decontamination.ORACLE,
 }
