@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geoquarry.llm import decontamination, near_dedup, pii, toxicity
+from geoquarry.llm import decontamination, near_dedup, pieces, pii, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op3_toxicity_nearest_examples": toxicity.op3_toxicity_nearest_examples,
+    "op5_sentencepiece_n_best": pieces.op5_sentencepiece_n_best,
     "op7_information_theoretic_pii": pii.op7_information_theoretic_pii,
     "op8_spaced_seed_decontamination": decontamination.op8_spaced_seed_decontamination,
 }
