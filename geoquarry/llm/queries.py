@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geoquarry.llm import decontamination, near_dedup, pieces, pii, toxicity
+from geoquarry.llm import decontamination, near_dedup, pieces, pii, sharding, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op3_toxicity_nearest_examples": toxicity.op3_toxicity_nearest_examples,
+    "op4_stratified_interleaving": sharding.op4_stratified_interleaving,
     "op5_sentencepiece_n_best": pieces.op5_sentencepiece_n_best,
     "op7_information_theoretic_pii": pii.op7_information_theoretic_pii,
     "op8_spaced_seed_decontamination": decontamination.op8_spaced_seed_decontamination,
@@ -14,4 +15,5 @@ QUERIES = {
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
     "op8_spaced_seed_decontamination": decontamination.ORACLE,
+    "op4_stratified_interleaving": sharding.ORACLE,
 }
