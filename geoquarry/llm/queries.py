@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoquarry.llm import decontamination, near_dedup, pieces, pii, sharding, token_files, toxicity
+from geoquarry.llm import decontamination, near_dedup, pieces, pii, secrets, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sentencepiece_n_best": pieces.op5_sentencepiece_n_best,
     "op7_information_theoretic_pii": pii.op7_information_theoretic_pii,
     "op8_spaced_seed_decontamination": decontamination.op8_spaced_seed_decontamination,
+    "op9_secret_automaton": secrets.op9_secret_automaton,
     "op10_token_id_files": token_files.op10_token_id_files,
 }
 ORACLES = {
