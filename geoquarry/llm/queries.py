@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from geoquarry.llm import decontamination, near_dedup, pieces, pii, secrets, sharding, token_files, toxicity
+from geoquarry.llm import decontamination, media, near_dedup, pieces, pii, secrets, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op3_toxicity_nearest_examples": toxicity.op3_toxicity_nearest_examples,
     "op4_stratified_interleaving": sharding.op4_stratified_interleaving,
     "op5_sentencepiece_n_best": pieces.op5_sentencepiece_n_best,
+    "op6_avi_motion_jpeg": media.op6_avi_motion_jpeg,
     "op7_information_theoretic_pii": pii.op7_information_theoretic_pii,
     "op8_spaced_seed_decontamination": decontamination.op8_spaced_seed_decontamination,
     "op9_secret_automaton": secrets.op9_secret_automaton,
