@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from geoquarry.llm import decontamination, media, near_dedup, pieces, pii, secrets, sharding, token_files, toxicity
+from geoquarry.llm import decontamination, html_text, media, near_dedup, pieces, pii, secrets, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op2_html_min_cut": html_text.op2_html_min_cut,
     "op3_toxicity_nearest_examples": toxicity.op3_toxicity_nearest_examples,
     "op4_stratified_interleaving": sharding.op4_stratified_interleaving,
     "op5_sentencepiece_n_best": pieces.op5_sentencepiece_n_best,
