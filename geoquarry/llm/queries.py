@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from geoquarry.llm import decontamination, html_text, media, near_dedup, pieces, pii, secrets, sharding, token_files, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_spaced_seed_decontamination": decontamination.op8_spaced_seed_decontamination,
     "op9_secret_automaton": secrets.op9_secret_automaton,
     "op10_token_id_files": token_files.op10_token_id_files,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
