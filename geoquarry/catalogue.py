@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from geoquarry.plans import places
+
+_PLANS = (places,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: run for plan in _PLANS for name, run in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {name: text for plan in _PLANS for name, text in plan.ORACLES.items()}
