@@ -117,11 +117,13 @@ def disclosures(docs: DataFrame) -> DataFrame:
     of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
     joint = near.select("entity", "__k1", "__k2", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     joint = stash(joint, "joint")
-    wanted = stash(joint.select("term").distinct(), "terms")
     texts = docs.where("text is not null").select(*_keys(), "text")
-    own = texts.select("__k1", "__k2", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    of_term = own.join(_small(wanted), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.select("__k1", "__k2").distinct().count()
+    # a text with c copies weighs 1 / c in each, so that every distinct text counts once
+    copies = stash(texts.groupBy("__k1", "__k2").agg(F.count("*").alias("__c")), "copies")
+    repeated = stash(copies.where("__c > 1"), "repeated")
+    weighed = texts.join(_small(repeated), ["__k1", "__k2"], "left").select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"), (1 / F.coalesce("__c", F.lit(1))).alias("w"))
+    of_term = weighed.groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
+    total = copies.count()
     share = 1 + F.log2(F.col("n_et") / F.col("n_t")) / F.greatest(F.log2(F.lit(float(max(total, 1))) / F.col("n_e")), F.lit(1e-9))
     telling = joint.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", share).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
     return telling.join(entities, "entity").groupBy("__k1", "__k2", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
