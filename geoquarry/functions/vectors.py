@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -37,7 +38,7 @@ def store_distance(a: str, b: str) -> Column:
     return 1 - _dot(x, y) / F.nullif(F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y)), F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def vector_hash(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SHA-256, as hex, over big-endian doubles with -0 as 0; Spark has no function from doubles to bytes."""
     import hashlib
@@ -46,7 +47,7 @@ def vector_hash(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None else hashlib.sha256((np.asarray(v, dtype=">f8") + 0.0).astype(">f8").tobytes()).hexdigest())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def float64_hex(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The sixteen hex digits of a big-endian double."""
     for s in values:

@@ -52,7 +52,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, dict[str, str]]] = {
             "state_code": "'FL'",
             "property_type": "CASE WHEN c_nationkey % 3 = 0 THEN 'SingleFamily' WHEN c_nationkey % 3 = 1 THEN 'Condo' END",
             "market_value": "c_acctbal",
-            "avm_value": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE round(c_acctbal * cast(1.5 as double), 2) END",
+            "avm_value": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal * 2 END",
             "latitude": "cast(26 as double) + cast((c_custkey * 37) % 1000 as double) / cast(1000 as double)",
             "longitude": "cast(-82 as double) + cast((c_custkey * 91) % 1000 as double) / cast(1000 as double)",
         },
