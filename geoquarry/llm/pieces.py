@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -29,7 +31,7 @@ from geoquarry.llm.common import table
 N_BEST = 4
 _UNIT = re.compile(" +[^ \n▁]*|\n|▁|[^ \n▁]+")
 #: Units that one generation of the cache may hold, and the longest that is cached.
-CACHE_UNITS, CACHE_LENGTH = 200_000, 48
+CACHE_UNITS, CACHE_LENGTH = 400_000, 48
 _NONE = object()
 
 
@@ -62,12 +64,12 @@ class Vocabulary:
 
 
 class _Young(dict):
-    """unit -> (ids, score, gap); units that it lacks come from the older generation or are segmented."""
+    """unit -> (ids, score, gap, ids as bytes, decoded bytes); units that it lacks come from the older generation or are segmented."""
 
     def __init__(self, solve: Callable, old: dict) -> None:
         self.solve, self.old = solve, old
 
-    def __missing__(self, unit: str) -> tuple[tuple[int, ...], float, float]:
+    def __missing__(self, unit: str) -> tuple[tuple[int, ...], float, float, bytes, bytes]:
         found = self.old.get(unit) or self.solve(unit)
         if len(unit) <= CACHE_LENGTH:
             self[unit] = found
@@ -114,19 +116,21 @@ class Segmenter:
                         second[end] = s
         return first, second, back
 
-    def solve(self, unit: str) -> tuple[tuple[int, ...], float, float]:
-        """ids, score, and the gap to the second-best segmentation (infinite if there is none)."""
+    def solve(self, unit: str) -> tuple[tuple[int, ...], float, float, bytes, bytes]:
+        """ids, score, the gap to the second-best segmentation (infinite if there is none), ids as bytes, decoded bytes."""
         if unit == "▁":
             raw = unit.encode()
-            return tuple(self.v.bytes[b] for b in raw), self.v.byte_score * len(raw), np.inf
-        first, second, back = self.forward(unit)
-        at, parts = len(unit), []
-        while at:
-            at, ids = back[at]
-            parts.append(ids)
-        return tuple(i for ids in reversed(parts) for i in ids), first[-1], first[-1] - second[-1]
-
-    def best(self, text: str) -> tuple[list[str], list[tuple[tuple[int, ...], float, float]]]:
+            ids, score, gap = tuple(self.v.bytes[b] for b in raw), self.v.byte_score * len(raw), np.inf
+        else:
+            first, second, back = self.forward(unit)
+            at, parts = len(unit), []
+            while at:
+                at, own = back[at]
+                parts.append(own)
+            ids, score, gap = tuple(i for own in reversed(parts) for i in own), first[-1], first[-1] - second[-1]
+        return ids, score, gap, struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.v.text.__getitem__, ids))
+
+    def best(self, text: str) -> tuple[list[str], list[tuple[tuple[int, ...], float, float, bytes, bytes]]]:
         """The units of a text and their best segmentations."""
         if len(self.young) >= CACHE_UNITS:
             self.young = _Young(self.solve, dict(self.young))
@@ -136,7 +140,7 @@ class Segmenter:
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a unit by backward A-star, best first."""
         if unit == "▁":
-            ids, score, _ = self.solve(unit)
+            ids, score = self.solve(unit)[:2]
             return [(score, ids)]
         first, _, _ = self.forward(unit)
         order, out = count(), []
@@ -174,24 +178,30 @@ class Segmenter:
             out.append((total + delta, [i for k, f in enumerate(found) for i in swapped.get(k, f[0])]))
         return out
 
-    def scores(self, text: str | None, n: int) -> tuple[list[int], list[float]]:
-        """Ids of the best segmentation and the scores of the n best."""
+    def scores(self, text: str | None, n: int) -> tuple[bytes, list[float], str]:
+        """Ids of the best segmentation as little-endian bytes, the scores of the n best, and what the ids decode to."""
         if not text:
-            return [], [0.0]
+            return b"", [0.0], ""
         units, found = self.best(text)
-        total = sum(f[1] for f in found)
+        _, scores, gaps, ids, texts = zip(*found, strict=True)
+        total = sum(scores)
         deltas = [0.0]
-        gaps = [f[2] for f in found]
         for k in heapq.nsmallest(n - 1, range(len(units)), key=gaps.__getitem__):
             if gaps[k] < np.inf:
                 own = self.n_best(units[k], n)
                 deltas = sorted((d + s - own[0][0] for d in deltas for s, _ in own), reverse=True)[:n]
-        return [i for f in found for i in f[0]], [total + d for d in deltas]
+        return b"".join(ids), [total + d for d in deltas], b"".join(texts).decode("utf-8")[1:]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.text.__getitem__, ids)).decode("utf-8")[1:]
 
 
+@lru_cache(maxsize=2)
+def _segmenter(path: str) -> Segmenter:
+    """One for each Python worker, so that its cache serves all tasks that the worker runs."""
+    return Segmenter(Vocabulary(path))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -200,19 +210,19 @@ def default_path() -> str:
 
 def _encoder(path: str, n: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Segmenter(Vocabulary(path))
+        own = _segmenter(path)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 pieces, crcs, scores, exact, ids_of = [], [], [], [], []
                 for x in part.column("text"):
                     text = x.as_py()
-                    ids, best = own.scores(text, n)
-                    pieces.append(len(ids))
-                    crcs.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+                    ids, best, back = own.scores(text, n)
+                    pieces.append(len(ids) // 4)
+                    crcs.append(zlib.crc32(ids))
                     scores.append(best)
-                    exact.append(own.decode(ids) == (text or ""))
+                    exact.append(back == (text or ""))
                     if with_ids:
-                        ids_of.append(ids)
+                        ids_of.append(np.frombuffer(ids, "<i4"))
                 columns = [part.column("doc_id"), pa.array(pieces, pa.int64()), pa.array(crcs, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_())]
                 names = ["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"]
                 if with_ids:
@@ -230,7 +240,7 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST, with_ids: bool = True) -
 
 def _decoder(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Segmenter(Vocabulary(path))
+        own = _segmenter(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.decode(x.as_py() or []) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
 
