@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoquarry.llm import decontamination, html_text, media, near_dedup, pieces, pii, secrets, sharding, token_files, toxicity
+from geoquarry.llm import decontamination, html_text, media, near_dedup, oracles, pieces, pii, secrets, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -19,6 +19,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op7_information_theoretic_pii": oracles.pii_sql(),
+    "op9_secret_automaton": oracles.secrets_sql(),
     "op1_minhash_near_dedup": near_dedup.ORACLE,
     "op8_spaced_seed_decontamination": decontamination.ORACLE,
     "op4_stratified_interleaving": sharding.ORACLE,
