@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,7 +33,7 @@ from geoquarry.llm.shingles import mix
 MAGIC = 0x31485045444955  # names the format and its version
 END_ID = 0
 SHARD_BYTES = 64 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Characters whose classes every regex engine agrees on; other texts are encoded without the word cache.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _UNSURE = re.compile("[^\t\n\r -~À-ɏ]|<\\|")
@@ -160,7 +161,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, list[int]] = {}
+        self.kind = np.dtype(f"<u{self.width}")
+        self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
@@ -168,22 +170,30 @@ class Encoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         new = list(set(chain.from_iterable(w for w in words if w)) - self.cache.keys())
-        self.cache.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get, kind = self.cache.__getitem__, np.uint16 if self.width == 2 else np.uint32
-        out = []
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.cache.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, found, strict=True))
+        get, end, out = self.cache.__getitem__, np.array([END_ID], self.kind).tobytes(), []
         for text, own in zip(texts, words, strict=True):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if own is None else list(chain.from_iterable(map(get, own)))
-            ids.append(END_ID)
-            out.append(np.array(ids, dtype=kind))
+            if own is None:
+                own_bytes = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                own_bytes = b"".join(map(get, own))
+            out.append(np.frombuffer(own_bytes + end, self.kind))
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its cache serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 def _writer(where: str, path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), Encoder(path)
+        shard, encoder = TaskContext.get().partitionId(), _encoder(path)
         keys, flags, ids = [], [], []
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
