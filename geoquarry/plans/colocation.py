@@ -61,11 +61,32 @@ dist AS (SELECT x.category AS a, y.category AS b, greatest(0, least(1, 1 - list_
 sem AS (SELECT *, count(*) OVER (ORDER BY distance RANGE UNBOUNDED PRECEDING) AS reached, count(*) OVER () AS pairs FROM (SELECT a, b, round(distance, 9) AS distance FROM dist))"""
 
 
+_shared: dict[tuple[str, str, str], object] = {}
+
+
+def _once(build):
+    """A stage that several steps of an analysis read: planned once for an application and a folder, and persisted.
+
+    What is persisted is an aggregate of the places (cells, categories, pairs) or the places of one county.
+    """
+
+    def run(spark: SparkSession, sf: str):
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _shared:
+            found = build(spark, sf)
+            _shared[key] = tuple(x.persist() for x in found) if isinstance(found, tuple) else found.persist()
+        return _shared[key]
+
+    return run
+
+
+@_once
 def _grid(spark: SparkSession, sf: str):
     own = C.universe(view(spark, sf, "places"), "lee")
     return C.gridded(own, C.grid_of(own))
 
 
+@_once
 def _parts(spark: SparkSession, sf: str):
     own = _grid(spark, sf)
     occupied = C.occupancy(own)
@@ -180,6 +201,7 @@ _add(
 # -- all pairs ---------------------------------------------------------------------------------------------------------
 
 
+@_once
 def _all_pairs(s, sf):
     _, all_cells, occupied, categories = _parts(s, sf)
     return C.pair_stats(all_cells, C.incidence(occupied, categories))
@@ -206,6 +228,7 @@ def _discovery_half(s, sf):
     return own, half, incident.join(half.select("lat_idx", "lon_idx"), ["lat_idx", "lon_idx"], "left_semi"), categories
 
 
+@_once
 def _ranked(s, sf):
     _, half, incident, _ = _discovery_half(s, sf)
     return C.rank_pairs(C.pair_guard(C.pair_stats(half, incident), JOINT))
@@ -226,6 +249,7 @@ def _vectors(s, sf, categories):
     return named.join(vectors, "vec_id").select("category", F.col("embedding").cast("array<double>").alias("vector"))
 
 
+@_once
 def _distances(s, sf):
     distances = S.pair_distances(_vectors(s, sf, _parts(s, sf)[3]))
     return distances.withColumn("distance", F.round("distance", 9))
@@ -244,6 +268,7 @@ _add(
 )
 
 
+@_once
 def _evidence(s, sf):
     return S.evidence(_ranked(s, sf), S.percentiles(_distances(s, sf)))
 
@@ -285,7 +310,11 @@ def _validated(s, sf):
 
 
 _add("exact_null", lambda s, sf: _round(_validated(s, sf).select("a", "b", "joint", "raw_p", "states", "transitions")))
-_add("hypergeom_pmf", lambda s, sf: (lambda p: _round(S.pmf_rows(C.pair_cells(p[0], A, B).withColumn("stratum", stratum_id()))))(_parts(s, sf)))
+_add(
+    "hypergeom_pmf", lambda s, sf: (lambda p: _round(S.pmf_rows(C.pair_cells(p[0], A, B).withColumn("stratum", stratum_id()))))(_parts(s, sf)),
+    f"{_BASE}, {_PAIR}, h AS (SELECT stratum, count(*) AS n, count(*) FILTER (has_a) AS a, count(*) FILTER (has_b) AS b FROM pb GROUP BY 1), k AS (SELECT *, unnest(range(greatest(0, a + b - n), least(a, b) + 1)) AS overlap FROM h) "
+    "SELECT stratum, n, a, b, overlap, round(exp(lgamma(a + 1) - lgamma(overlap + 1) - lgamma(a - overlap + 1) + lgamma(n - a + 1) - lgamma(b - overlap + 1) - lgamma(n - a - b + overlap + 1) - lgamma(n + 1) + lgamma(b + 1) + lgamma(n - b + 1)), 6) AS probability FROM k",
+)
 _HOLM_SQL = f"{_RANK_SQL}, src AS (SELECT a, b, rank, round(least(1, 1 / (1 + z * z)), 6) AS p FROM ranked), o AS (SELECT *, row_number() OVER (ORDER BY p, rank) - 1 AS r, count(*) OVER () AS m FROM src)"
 _add("holm", lambda s, sf: _round(C.holm(_ranked(s, sf).select("a", "b", "rank", F.round(F.least(F.lit(1.0), 1 / (1 + F.col("z") * F.col("z"))), 6).alias("p")), "p", "rank")), f"{_HOLM_SQL} SELECT a, b, rank, p, round(max(least(1, (m - r) * p)) OVER (ORDER BY r), 6) AS holm_p FROM o")
 _add("magnitude_guard", lambda s, sf: (lambda p: _round(S.magnitude(_all_pairs(s, sf).select("a", "b", "joint", "lift"), p[1])))(_parts(s, sf)), f"{_BASE}, {_pairs('st', 'inc')}, fl AS (SELECT greatest(50, ceil(0.02 * count(*)))::BIGINT AS floor FROM cells) SELECT a, b, joint, round(lift, 6) AS lift, floor, joint >= floor AS joint_passed, coalesce(lift >= 2, false) AS lift_passed FROM ps, fl")

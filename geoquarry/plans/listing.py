@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from geoquarry.operators import coverage as V, geo, listing as L, sqlguard
 from geoquarry.sources import documents as D
 from geoquarry.sources.scratch import scratch
-from geoquarry.sources.views import sql, view
+from geoquarry.sources.views import VIEWS, sql, view
 
 QUERIES, ORACLES = {}, {}
 
@@ -219,8 +219,20 @@ _CATALOG = "counties AS (SELECT CASE WHEN s_suppkey % 10 = 7 THEN 'Bad Key ' ||
 _add("catalog_validate", lambda s, sf: V.validate_catalog(_catalog(s, sf)), f"{_CATALOG}, n AS (SELECT *, count(*) OVER (PARTITION BY county_key) AS nk, count(*) OVER (PARTITION BY county_fips) AS nf FROM counties) SELECT county_key, state_code, county_fips, CASE WHEN NOT regexp_matches(county_key, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'bad key' WHEN NOT regexp_matches(state_code, '^[A-Z]{{2}}$') THEN 'bad state' WHEN nk > 1 THEN 'key repeats' WHEN nf > 1 THEN 'code repeats' END AS problem FROM n".replace("{{2}}", "{2}"))
 _add("catalog_revision", lambda s, sf: V.catalog_revision(_catalog(s, sf)), f"{_CATALOG} SELECT count(*) AS count, sha256(string_agg('{{\"county_key\":\"' || county_key || '\",\"state_code\":\"' || state_code || '\",\"county_fips\":\"' || county_fips || '\"}}', chr(10) ORDER BY county_key)) AS revision FROM counties")
 _DESCRIPTIONS = {"property_id": "identifier of the property", "market_value": "assessed market value"}
-_add("describe_table", lambda s, sf: D.describe(view(s, sf, "properties"), _DESCRIPTIONS))
-_add("describe_places", lambda s, sf: D.describe(view(s, sf, "places"), {"gers_id": "identifier of the place"}, ("websites", "phones", "emails")))
+_CONTACTS = ("websites", "phones", "emails")
+
+
+def _describe_sql(name: str, descriptions: dict[str, str], hidden: tuple[str, ...] = ()) -> str:
+    columns = VIEWS[name][2]
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, (SELECT CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof({c})) END FROM {name} LIMIT 1) AS type, {repr(descriptions[c]) if c in descriptions else 'NULL'} AS description, {c not in hidden} AS default_projection, {len(columns)} AS column_count, (SELECT count({c}) FROM {name}) AS filled"
+        for c in columns
+    )
+    return f"{sql(name)} {rows}"
+
+
+_add("describe_table", lambda s, sf: D.describe(view(s, sf, "properties"), _DESCRIPTIONS), _describe_sql("properties", _DESCRIPTIONS))
+_add("describe_places", lambda s, sf: D.describe(view(s, sf, "places"), {"gers_id": "identifier of the place"}, _CONTACTS), _describe_sql("places", {"gers_id": "identifier of the place"}, _CONTACTS))
 _add(
     "publication_meta",
     lambda s, sf: D.publication_meta(_table(s, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.to_json(F.struct(F.lit("2026").alias("updatedAt"), F.struct(F.col("o_orderstatus").alias("release")).alias("source")))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('{"release":"'), "o_orderpriority", F.lit('","licenses":["a",3,"b"]}'))).otherwise("broken").alias("doc")), "doc"),
