@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,21 @@ def stash_bytes(df: DataFrame) -> int:
     jvm = df.sparkSession._jvm
     target = jvm.org.apache.hadoop.fs.Path(df._stash_path)
     return target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+_held: dict[Hashable, object] = {}
+
+
+def worker_cache[T](key: Hashable, build: Callable[[], T]) -> T:
+    """One object that a Python worker keeps for its next tasks; asking for another one lets the former go."""
+    if key not in _held:
+        release_worker_cache()
+        _held[key] = build()
+    return _held[key]
+
+
+def release_worker_cache() -> None:
+    """Let go of what an earlier stage kept in this worker: stages of one application share workers and their memory."""
+    if _held:
+        _held.clear()
+        gc.collect()

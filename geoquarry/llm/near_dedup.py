@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from geoquarry.llm import setsketch
-from geoquarry.llm.common import stash, table, unstash
+from geoquarry.llm.common import release_worker_cache, stash, table, unstash
 from geoquarry.llm.components import connected_components
 from geoquarry.llm.shingles import WORDS, shingle_set
 
@@ -33,6 +33,7 @@ SLACK = 0.19
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_worker_cache()
     for batch in batches:
         ids, sizes, high, low, regs = batch.column("doc_id"), [], [], [], []
         for text in batch.column("text"):

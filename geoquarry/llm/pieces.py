@@ -19,14 +19,13 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoquarry.llm.common import table
+from geoquarry.llm.common import table, worker_cache
 
 N_BEST = 4
 _UNIT = re.compile(" +[^ \n▁]*|\n|▁|[^ \n▁]+")
@@ -77,8 +76,8 @@ class _Young(dict):
 
 
 class Segmenter:
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, cache_units: int = CACHE_UNITS) -> None:
+        self.v, self.cache_units = vocabulary, cache_units
         self.young = _Young(self.solve, {})
 
     def forward(self, unit: str) -> tuple[list[float], list[float], list[tuple[int, tuple[int, ...]]]]:
@@ -132,7 +131,7 @@ class Segmenter:
 
     def best(self, text: str) -> tuple[list[str], list[tuple[tuple[int, ...], float, float, bytes, bytes]]]:
         """The units of a text and their best segmentations."""
-        if len(self.young) >= CACHE_UNITS:
+        if len(self.young) >= self.cache_units:
             self.young = _Young(self.solve, dict(self.young))
         units = _UNIT.findall(" " + text)
         return units, list(map(self.young.__getitem__, units))
@@ -196,21 +195,16 @@ class Segmenter:
         return b"".join(map(self.v.text.__getitem__, ids)).decode("utf-8")[1:]
 
 
-@lru_cache(maxsize=2)
-def _segmenter(path: str) -> Segmenter:
-    """One for each Python worker, so that its cache serves all tasks that the worker runs."""
-    return Segmenter(Vocabulary(path))
-
-
 def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _encoder(path: str, n: int, with_ids: bool) -> Callable:
+def _encoder(path: str, n: int, with_ids: bool, cache_units: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _segmenter(path)
+        # the worker's cache of units serves all tasks that it runs
+        own = worker_cache(("pieces", path, cache_units), lambda: Segmenter(Vocabulary(path), cache_units))
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 pieces, crcs, scores, exact, ids_of = [], [], [], [], []
@@ -232,15 +226,15 @@ def _encoder(path: str, n: int, with_ids: bool) -> Callable:
     return run
 
 
-def encode(docs: DataFrame, path: str, n: int = N_BEST, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, n: int = N_BEST, with_ids: bool = True, cache_units: int = CACHE_UNITS) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), scores (of the n best), round_trip, ids."""
     schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(path, n, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(path, n, with_ids, cache_units), schema)
 
 
 def _decoder(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _segmenter(path)
+        own = worker_cache(("pieces", path, CACHE_UNITS), lambda: Segmenter(Vocabulary(path)))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.decode(x.as_py() or []) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
 
@@ -259,5 +253,5 @@ def op5_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of piece ids for every document."""
-    return encode(docs, default_path(), n=2).select("doc_id", "n_pieces", "ids_crc32", F.get("scores", 0).alias("score"), "round_trip", "ids")
+    """One row of piece ids for every document; a smaller cache, as executors also hold what earlier stages left."""
+    return encode(docs, default_path(), n=2, cache_units=CACHE_UNITS // 4).select("doc_id", "n_pieces", "ids_crc32", F.get("scores", 0).alias("score"), "round_trip", "ids")

@@ -20,14 +20,13 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from geoquarry.llm.common import scratch_path, stash, table
+from geoquarry.llm.common import scratch_path, stash, table, worker_cache
 from geoquarry.llm.shingles import mix
 
 MAGIC = 0x31485045444955  # names the format and its version
@@ -182,18 +181,12 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    """One for each Python worker, so that its cache serves all tasks that the worker runs."""
-    return Encoder(path)
-
-
 def _writer(where: str, path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), _encoder(path)
+        shard, encoder = TaskContext.get().partitionId(), worker_cache(("tokens", path), lambda: Encoder(path))
         keys, flags, ids = [], [], []
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):

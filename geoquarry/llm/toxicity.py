@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoquarry.llm.common import stash, table, unstash
+from geoquarry.llm.common import release_worker_cache, stash, table, unstash
 
 #: Labelled rows of each class that fitting may use.
 EXAMPLES = 2000
@@ -159,6 +159,7 @@ def _vectors(vocabulary: Vocabulary) -> Callable:
 
 def _frequencies(vocabulary: Vocabulary) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_cache()
         found, rows = Counter(), 0
         for batch in batches:
             for x in batch.column("text"):

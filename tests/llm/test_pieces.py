@@ -38,11 +38,10 @@ def test_n_best_equals_brute_force(segmenter):
         assert len({tuple(ids) for _, ids in got}) == len(got)
 
 
-def test_cache_generations_change_nothing(segmenter, monkeypatch):
+def test_cache_generations_change_nothing(segmenter):
     text = " ".join(f"word{i} thing" for i in range(300))
     want = segmenter.encode(text, 3)
-    monkeypatch.setattr(pieces, "CACHE_UNITS", 7)
-    assert pieces.Segmenter(segmenter.v).encode(text, 3) == want
+    assert pieces.Segmenter(segmenter.v, 7).encode(text, 3) == want
 
 
 def test_rows(spark):
