@@ -1,7 +1,8 @@
 """Piece encoding with exact N-best segmentation, and lossless decoding.
 
 The pieces and scores come from a public SentencePiece vocabulary (its path is a parameter; nothing is trained).
-A text gets one leading space and is cut before each run of spaces and around line feeds; no piece spans such a cut, so
+A text gets one leading space and is cut before each run of spaces, around line feeds, and between a letter and a sign that follows a letter in no
+piece; no piece spans such a cut, so
 the lattice of a text is a chain of small lattices. In each, a forward Viterbi pass gives the best score to every
 position; these are exact heuristics for a backward A-star search, which yields segmentations from best to worst.
 The N best of a whole text differ from its best only in the N - 1 units with the smallest gap between their first
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from geoquarry.llm.common import table, worker_cache
 
 N_BEST = 4
-_UNIT = re.compile(" +[^ \n▁]*|\n|▁|[^ \n▁]+")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Units that one generation of the cache may hold, and the longest that is cached.
 CACHE_UNITS, CACHE_LENGTH = 400_000, 48
 _NONE = object()
@@ -50,6 +51,10 @@ class Vocabulary:
         self.beginnings = dict.fromkeys(p[:k] for p in self.pieces for k in range(1, len(p)))
         self.beginnings |= {p: (s, (i,)) for p, (s, i) in self.pieces.items()}
         self.byte_score = min(s for s, _ in self.pieces.values() if s > -1e8) - 10
+        signs = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+        loose = "".join(re.escape(c) for c in signs if not any(re.search(f"[{_LETTER}]{re.escape(c)}", p) for p in self.pieces))
+        word = f"[{_LETTER}]++(?:{f'(?=[{loose}])|' if loose else ''}[^ \n▁]*+)"
+        self.units = re.compile(f" +(?:{word}|[^ \n▁]*+)|{word}|\n|▁|[^ \n▁]++").findall
         self.text = {i: p.encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
     def edges(self, unit: str, end: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
@@ -133,7 +138,7 @@ class Segmenter:
         """The units of a text and their best segmentations."""
         if len(self.young) >= self.cache_units:
             self.young = _Young(self.solve, dict(self.young))
-        units = _UNIT.findall(" " + text)
+        units = self.v.units(" " + text)
         return units, list(map(self.young.__getitem__, units))
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
