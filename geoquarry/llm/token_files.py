@@ -19,6 +19,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -32,11 +33,12 @@ from geoquarry.llm.shingles import mix
 MAGIC = 0x31485045444955  # names the format and its version
 END_ID = 0
 SHARD_BYTES = 64 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Characters whose classes every regex engine agrees on; other texts are encoded without the word cache.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _UNSURE = re.compile("[^\t\n\r -~À-ɏ]|<\\|")
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+#: The tokenizer's own cut of a text; words come first here, as no other branch can begin where they do.
+_WORD = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 
 
 # -- minimal perfect hash --------------------------------------------------------------------------------------
@@ -169,8 +171,8 @@ class Encoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         new = list(set(chain.from_iterable(w for w in words if w)) - self.cache.keys())
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.cache.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, found, strict=True))
+        found, code = self.tokenizer.encode_batch_fast(new, add_special_tokens=False), "H" if self.width == 2 else "I"
+        self.cache.update((w, array(code, e.ids).tobytes()) for w, e in zip(new, found, strict=True))
         get, end, out = self.cache.__getitem__, np.array([END_ID], self.kind).tobytes(), []
         for text, own in zip(texts, words, strict=True):
             if own is None:
