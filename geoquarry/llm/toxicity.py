@@ -1,38 +1,46 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, searched through a block-max inverted index.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, searched through an inverted index.
 
 Fitting uses a bounded, documented sample of the labelled rows (``examples`` of each class, by hash order, from
-the training fold only): it picks the informative vocabulary and becomes the indexed examples. Inverse document
-frequencies are counted over all documents. Scoring turns every whole text into its TF-IDF vector; block maxima
-bound the cosine that any block of examples can reach, blocks are visited from the highest bound down and the
-search stops when no block can still enter the top k, so the result equals a full scan. Votes are weighted by
-distance and shrunk towards the base rate; the examples that voted are returned as evidence.
-
-Defined results: null and empty texts, and texts without any vocabulary term, get the smoothed rate of toxic rows
-among examples without any vocabulary term; without usable labels every score is 0.5 shrunk to the prior 0.
-Ties in cosine go to the example with the smaller place in the index. Repeated rows are scored alike; extra
-columns are ignored; a null doc_id is kept with held_out false.
+the training fold only): they become the indexed examples, and all their terms are the vocabulary, without any
+selection. Inverse document frequencies are counted over all documents. A term's weight is its TF-IDF times the
+evidence its z score in the sample gives about the class, (1 + z^2) / (1 + z^2 + HALF_Z^2): rare terms weigh less,
+none weighs nothing. Scoring turns every whole text into its vector and adds up the postings of all its terms, so the
+result equals a full scan; terms that most examples hold are kept as dense rows, the others as sparse postings.
+Votes are weighted by distance and shrunk towards the base rate; the examples that voted are returned as evidence.
+
+Defined results: null and empty texts, and texts that share no term with any example, get the smoothed rate of toxic
+rows among examples without any term; without usable labels every score is 0.5 shrunk to the prior 0.
+Terms that no example holds take no part in a text's length. Ties in cosine go to the example with the smaller place
+in the index. Repeated rows are scored alike; extra columns are ignored; a null doc_id is kept with held_out false.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoquarry.llm.common import release_worker_cache, stash, table, unstash
+from geoquarry.llm.common import stash, table, unstash, worker_cache
 
 #: Labelled rows of each class that fitting may use.
 EXAMPLES = 2000
-#: Terms of the vocabulary at most; a term needs this z score, this lift (or its inverse) and this share of the rows
-#: of one class in the sample (rarer terms may come from copies of one document).
-TERMS, MIN_Z, MIN_LIFT, MIN_SHARE = 256, 5.0, 2.0, 0.05
+#: The z score (difference of the classes' shares in the sample) at which a term counts about half.
+HALF_Z = 5.0
 #: Lengths in bytes of the word beginnings that count as terms.
 PREFIXES = (4, 5, 6)
-K, BLOCK = 25, 64
+K = 25
+#: Texts scored at once, and the share of the examples from which a term's postings are a dense row.
+BATCH, DENSE_SHARE = 64, 0.1
+#: Words whose places a worker keeps.
+WORDS = 100_000
 #: Pseudo-votes of the base rate, and what keeps weights finite at distance 0.
 SHRINK, EPS = 1.0, 0.1
 
@@ -50,91 +58,145 @@ def terms(text: str | None) -> set[bytes]:
     return own | {w[:k] + b"*" for w in own for k in PREFIXES if len(w) > k}
 
 
+class _Places(dict):
+    """word -> places of its terms; keeps at most WORDS of them."""
+
+    def __init__(self, own: Vocabulary) -> None:
+        super().__init__()
+        self.own, self.stems = own, [(k, {t[:-1]: i for t, i in own.items() if len(t) == k + 1 and t.endswith(b"*")}) for k in PREFIXES]
+
+    def __missing__(self, w: bytes) -> tuple[int, ...]:
+        found = [self.own.get(w), *(stems.get(w[:k]) for k, stems in self.stems if len(w) > k)]
+        out = tuple(i for i in found if i is not None)
+        if len(self) < WORDS:
+            self[w] = out
+        return out
+
+
 class Vocabulary(dict):
     """term -> place; counts the terms of a text without building those it does not hold."""
 
     def __init__(self, terms: list[bytes]) -> None:
         super().__init__((t, i) for i, t in enumerate(terms))
-        self.stems = [(k, {t[:-1]: i for t, i in self.items() if len(t) == k + 1 and t.endswith(b"*")}) for k in PREFIXES]
+
+    @cached_property
+    def of_word(self) -> _Places:
+        return _Places(self)
+
+    def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms that a text holds, in order, and how often it holds each."""
+        return np.unique(np.fromiter(chain.from_iterable(map(self.of_word.__getitem__, words(text))), int), return_counts=True)
 
     def count(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        for w, n in Counter(words(text)).items():
-            if (i := self.get(w)) is not None:
-                found[i] = found.get(i, 0) + n
-            for k, stems in self.stems:
-                if (i := stems.get(w[:k])) is not None and len(w) > k:
-                    found[i] = found.get(i, 0) + n
-        return found
+        return dict(zip(*(x.tolist() for x in self.places(text)), strict=True))
 
     def __reduce__(self):
         return Vocabulary, (list(self),)
 
 
+class Postings:
+    """Weights of terms (rows) in examples (columns): dense rows for the common terms, sparse ones for the others."""
+
+    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, shape: tuple[int, int]) -> None:
+        self.shape = shape
+        held = np.bincount(term, minlength=shape[0])
+        common = np.flatnonzero(held > max(DENSE_SHARE * shape[1], 1))
+        self.row = np.full(shape[0], -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), shape[1]))
+        own = self.row[term] >= 0
+        self.dense[self.row[term[own]], example[own]] = weight[own]
+        order = np.lexsort((example[~own], term[~own]))
+        self.example, self.weight = example[~own][order].astype(np.intp), weight[~own][order]
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.row >= 0, 0, held))])
+
+    def sparse(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Sums of w over the sparse postings of the terms t, by example."""
+        begin, n = self.start[t], self.start[t + 1] - self.start[t]
+        at = np.arange(n.sum(), dtype=np.int32) + np.repeat((begin + n - np.cumsum(n)).astype(np.int32), n)
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), self.shape[1])
+
+    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Sums over all postings of each vector (terms, weights), by example."""
+        common, out = np.zeros((len(vectors), len(self.dense))), np.zeros((len(vectors), self.shape[1]))
+        for k, (t, w) in enumerate(vectors):
+            if len(t):
+                row = self.row[t]
+                common[k, row[row >= 0]] = w[row >= 0]
+                out[k] = self.sparse(t[row < 0], w[row < 0])
+        return np.round(out + common @ self.dense, 12)
+
+    def __getitem__(self, terms: np.ndarray) -> np.ndarray:
+        return np.array([self.dense[r] if (r := self.row[t]) >= 0 else self.sparse(np.array([t]), np.ones(1)) for t in terms])
+
+
 @dataclass
 class Index:
-    """Examples as dense blocks of a block-max index: ``weights[t]`` are the postings of term t over all examples."""
+    """Examples as an inverted index: ``weights[t]`` are the postings of term t over all examples."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
-    weights: np.ndarray  # (terms, examples padded to whole blocks)
-    maxima: np.ndarray  # (terms, blocks)
+    weights: Postings
     labels: np.ndarray
     ids: np.ndarray
     silent_rate: float  # among examples without any term
     base_rate: float
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        counts = self.vocabulary.count(text)
-        if not counts:
-            return np.zeros(0, int), np.zeros(0)
-        t = np.array([*sorted(counts), len(self.vocabulary)])  # the last term stands in every text that has another
-        w = (1 + np.log([*(counts[i] for i in t[:-1]), 1])) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+        return _vector(*self.vocabulary.places(text), self.idf)
+
+    def _best(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = np.partition(s, -k)[-k] if len(s) > k else 0.0
+        i = np.flatnonzero((s >= least) & (s > 0))
+        i = i[np.lexsort((i, -s[i]))[:k]]
+        return i, s[i]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, exact."""
-        bound = w @ self.maxima[t]
-        best_i, best_s = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) >= k and bound[b] < best_s[-1] - 1e-12:
-                break
-            s = np.round(w @ self.weights[t, b * BLOCK : (b + 1) * BLOCK], 12)
-            hit = np.flatnonzero(s > 0)
-            best_i, best_s = np.concatenate([best_i, hit + b * BLOCK]), np.concatenate([best_s, s[hit]])
-            order = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[order], best_s[order]
-        return best_i, best_s
+        return self._best(self.weights.sums([(t, w)])[0], k)
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        t, w = self.vector(text)
-        i, s = self.nearest(t, w) if len(t) else (t, w)
+    def _vote(self, i: np.ndarray, s: np.ndarray) -> tuple[float, list[int]]:
         if not len(i):
             return self.silent_rate, []
         vote = 1 / (1 - np.minimum(s, 1) + EPS)
         score = ((vote * self.labels[i]).sum() + SHRINK * self.base_rate) / (vote.sum() + SHRINK)
         return float(score), [int(x) for x in self.ids[i[:5]]]
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        found = []
+        for at in range(0, len(texts), BATCH):
+            found += [self._vote(*self._best(s, K)) for s in self.weights.sums([self.vector(x) for x in texts[at : at + BATCH]])]
+        return found
+
+    def score(self, text: str | None) -> tuple[float, list[int]]:
+        return self.scores([text])[0]
+
 
-def build_index(examples: list[tuple[int, int, dict[int, int]]], vocabulary: list[bytes], idf: np.ndarray) -> Index:
-    """examples: (doc_id, label, term counts); idf: of the vocabulary and of the term that every text has. Similar examples are placed side by side so that block maxima are tight."""
-    own, silent = [x for x in examples if x[2]], [x for x in examples if not x[2]]
+def _vector(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights at length 1; the last term stands in every text that has another."""
+    if not len(t):
+        return np.zeros(0, int), np.zeros(0)
+    t, n = np.append(t, len(idf) - 1), np.append(n, 1)
+    w = (1 + np.log(n)) * idf[t]
+    return t, w / np.sqrt((w * w).sum())
 
-    def vector(counts: dict[int, int]) -> np.ndarray:
-        v = np.zeros(len(idf))
-        v[-1] = idf[-1]
-        for i, c in counts.items():
-            v[i] = (1 + np.log(c)) * idf[i]
-        return v / np.sqrt((v * v).sum())
 
-    placed = sorted(((tuple(np.argsort(-(v := vector(x[2])), kind="stable")[:3]), x[0], x[1], v) for x in own), key=lambda x: x[:3])
-    blocks = max(1, -(-len(placed) // BLOCK))
-    weights = np.zeros((len(idf), blocks * BLOCK))
-    for k, x in enumerate(placed):
-        weights[:, k] = x[3]
+def build_index(examples: Iterable[tuple[int, int, dict[int, int]]], vocabulary: list[bytes] | Vocabulary, idf: np.ndarray) -> Index:
+    """examples: (doc_id, label, term counts); idf: weights of the vocabulary and of the term that every text has."""
+    placed = sorted(((x[0], x[1], *_vector(np.array(sorted(x[2]), int), np.array([x[2][i] for i in sorted(x[2])], int), idf)) for x in examples), key=lambda x: x[:2])
+    own, silent = [x for x in placed if len(x[2])], [x for x in placed if not len(x[2])]
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    weights = Postings(join([x[2] for x in own], int), join([np.full(len(x[2]), k) for k, x in enumerate(own)], int), join([x[3] for x in own], float), (len(idf), len(own)))
     rate = lambda rows, by, n: (sum(x[1] for x in rows) + by * n) / (len(rows) + n)
-    base = rate(examples, 0.0, 1)
-    return Index(Vocabulary(vocabulary), idf, weights, weights.reshape(len(idf), blocks, BLOCK).max(axis=2), np.array([x[2] for x in placed] + [0] * (blocks * BLOCK - len(placed))), np.array([x[1] for x in placed] + [-1] * (blocks * BLOCK - len(placed))), rate(silent, base, 1), base)
+    base = rate(placed, 0.0, 1)
+    words_of = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary(vocabulary)
+    return Index(words_of, idf, weights, np.array([x[1] for x in own], int), np.array([x[0] for x in own], int), rate(silent, base, 1), base)
+
+
+def _shared[T](spark: SparkSession, value: T) -> tuple[Callable[[], T], Broadcast]:
+    """A function that gives ``value`` in any worker, which builds it once and lets it go with its cache."""
+    key, held = f"toxicity-{uuid.uuid4().hex}", spark.sparkContext.broadcast(pickle.dumps(value))
+    return lambda: worker_cache(key, lambda: pickle.loads(held.value)), held
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -148,8 +210,9 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([toxic.as_py()] * len(own), pa.int64())], ["term", "toxic"])
 
 
-def _vectors(vocabulary: Vocabulary) -> Callable:
+def _vectors(shared: Callable[[], Vocabulary]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared()
         for batch in batches:
             counts = [vocabulary.count(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), pa.array([sorted(c) for c in counts], pa.list_(pa.int64())), pa.array([[c[i] for i in sorted(c)] for c in counts], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
@@ -157,16 +220,16 @@ def _vectors(vocabulary: Vocabulary) -> Callable:
     return run
 
 
-def _frequencies(vocabulary: Vocabulary) -> Callable:
+def _frequencies(shared: Callable[[], Vocabulary]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker_cache()
-        found, rows = Counter(), 0
+        vocabulary, rows = shared(), 0
+        found = np.zeros(len(vocabulary), int)
         for batch in batches:
             for x in batch.column("text"):
                 rows += 1
-                found.update(vocabulary.count(x.as_py()).keys())
-        found[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["term", "df"])
+                found[vocabulary.places(x.as_py())[0]] += 1
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int64()), pa.array(np.append(found[held], rows), pa.int64())], ["term", "df"])
 
     return run
 
@@ -183,22 +246,28 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     p1, p0 = (F.col("d1") + 0.5) / (n1 + 1), (F.col("d0") + 0.5) / (n0 + 1)
     pooled = (F.col("d1") + F.col("d0") + 1.0) / (n1 + n0 + 2)
     z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n1 + 1) + 1 / (n0 + 1)) + 1e-12)
-    vocabulary = [bytes(r.term) for r in by_term.where((z >= MIN_Z) & (F.greatest(p1 / p0, p0 / p1) >= MIN_LIFT) & (F.greatest(p1, p0) >= MIN_SHARE)).orderBy(z.desc(), "term").limit(TERMS).collect()]
-    place = Vocabulary(vocabulary)
-    found = dict.fromkeys(range(-1, len(vocabulary)), 0)
+    known_terms = by_term.select("term", z.alias("z")).toArrow().sort_by("term")
+    vocabulary, z2 = Vocabulary(known_terms["term"].to_pylist()), 1 + np.square(known_terms["z"].to_numpy())
+    place, held = _shared(docs.sparkSession, vocabulary)
+    df, rows = np.zeros(len(vocabulary)), 0
     if vocabulary:
-        found |= {r.term: r.df for r in docs.select("text").mapInArrow(_frequencies(place), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    idf = np.array([np.log((found[-1] + 1) / (found[i] + 1)) + 1 for i in range(len(vocabulary))])
+        found = docs.select("text").mapInArrow(_frequencies(place), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        t, n = found["term"].to_numpy(), found["df"].to_numpy()
+        df[t[t >= 0]], rows = n[t >= 0], int(n[t < 0].sum())
+    idf = (np.log((rows + 1) / (df + 1)) + 1) * z2 / (z2 + HALF_Z**2)
     idf = np.append(idf, np.median(idf) if len(idf) else 1.0)
-    rows = sample.mapInArrow(_vectors(place), "doc_id long, toxic long, terms array<long>, counts array<long>").collect()
+    rows = sample.mapInArrow(_vectors(place), "doc_id long, toxic long, terms array<long>, counts array<long>").toArrow().to_batches()
+    index = build_index(((r["doc_id"].as_py(), r["toxic"].as_py(), dict(zip(r["terms"].as_py(), r["counts"].as_py(), strict=True))) for b in rows for r in b.to_struct_array()), vocabulary, idf)
     unstash(sample)
-    return build_index([(r.doc_id, r.toxic, dict(zip(r.terms, r.counts, strict=True))) for r in rows], vocabulary, idf)
+    held.destroy()
+    return index
 
 
-def _scores(index: Index) -> Callable:
+def _scores(shared: Callable[[], Index]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared()
         for batch in batches:
-            found = [index.score(x.as_py()) for x in batch.column("text")]
+            found = index.scores(batch.column("text").to_pylist())
             keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], [*names, "score", "evidence"])
@@ -209,7 +278,7 @@ def _scores(index: Index) -> Callable:
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (doc_ids of the nearest examples) for every row of ``docs``."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    scored = flat.mapInArrow(_scores(index), "doc_id long, held_out boolean, score double, evidence array<long>")
+    scored = flat.mapInArrow(_scores(_shared(docs.sparkSession, index)[0]), "doc_id long, held_out boolean, score double, evidence array<long>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -218,10 +287,11 @@ def op3_toxicity_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("evidence")
 
 
-def _clean(index: Index) -> Callable:
+def _clean(shared: Callable[[], Index]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared()
         for batch in batches:
-            keep = pa.array([index.score(x.as_py())[0] < 0.5 for x in batch.column("text")], pa.bool_())
+            keep = pa.array([s < 0.5 for s, _ in index.scores(batch.column("text").to_pylist())], pa.bool_())
             yield batch.filter(keep)
 
     return run
@@ -230,4 +300,4 @@ def _clean(index: Index) -> Callable:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the operator predicts toxic go; all others stay as they are."""
     index = fit(docs, table(spark, sf_dir, "labels"))
-    return docs.mapInArrow(_clean(index), docs.schema)
+    return docs.mapInArrow(_clean(_shared(spark, index)[0]), docs.schema)

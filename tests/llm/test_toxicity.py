@@ -66,3 +66,21 @@ def test_odd_rows(spark, tables):
     assert T.score(docs.limit(0), index).count() == 0
     none = T.fit(docs.limit(0), labels.limit(0))
     assert T.score(odd, none).where("predicted = 1").count() == 0
+
+
+def test_rare_terms_are_searched(spark):
+    rng = random.Random(8)
+    common = [f"word{i}" for i in range(200)]
+    text = lambda *more: " ".join([rng.choice(common) for _ in range(12)] + list(more))
+    # three toxic examples of a language of its own: far too few for any threshold on z or on a share
+    rare = [text("schlimm", "boese", "gemein") for _ in range(3)]
+    docs = [(i, text()) for i in range(400)] + [(i, text("vile", "nasty")) for i in range(400, 500)] + [(i, t) for i, t in zip((501, 502, 503), rare, strict=True)]
+    labels = [(i, 1, int(i >= 400)) for i, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    known = {i for i, _, _ in labels}
+    index = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {w for i, t in docs if i in known for w in T.terms(t)} == set(index.vocabulary)
+    assert all(x > 0 for x in index.idf)
+    score, evidence = index.score("schlimm boese gemein")
+    assert score >= 0.5 and set(evidence) & {501, 502, 503}
+    score, evidence = index.score("word7")
+    assert score < 0.5 and evidence
