@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from geoquarry.operators import corpus as K, schemas as J
 from geoquarry.sources.scratch import scratch
 
+#: Texts in one file of a scanned folder; a file is read as one string, so it must not grow with its source.
+BUNDLE = 256
 QUERIES, ORACLES = {}, {}
 
 
@@ -37,12 +39,12 @@ _CHUNKS = "chunks AS (SELECT vec_id // 3 AS function_id, (vec_id % 3)::INT AS ch
 
 
 def _corpus_scan(s, sf):
-    """Texts written one to a file by name, scanned again."""
+    """Texts written to files of at most BUNDLE lines below the folder of their source, scanned again."""
     path = scratch(s, "corpus")
     docs = _table(s, sf, "documents").select(F.col("source"), F.regexp_replace("text", r"[\r\n]+", " ").alias("value"))
-    docs.repartition(8, "source").write.partitionBy("source").text(path)
+    docs.write.option("maxRecordsPerFile", BUNDLE).partitionBy("source").text(path)
     found = K.scan(s, path, ("txt",))
-    return found.select(F.explode(F.split(F.regexp_replace("code", "\n$", ""), "\n")).alias("line"), F.regexp_extract("file_path", "source=([^/]+)/", 1).alias("source")).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    return found.select(F.explode(F.split(F.regexp_replace("code", "\n\\z", ""), "\n")).alias("line"), F.regexp_extract("file_path", "source=([^/]+)/", 1).alias("source")).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
 _add("corpus_scan", _corpus_scan, r"SELECT source, count(*) AS n, sum(length(regexp_replace(text, '[\r\n]+', ' ', 'g')))::BIGINT AS chars FROM documents GROUP BY 1")
