@@ -9,15 +9,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from geoquarry.functions.vectors import store_distance
+from geoquarry.sources.scratch import scratch
 
 MAX_TOKENS = 8192
 MAX_K = 50
 EXTENSIONS = ("js", "mjs", "cjs", "ts", "tsx")
-#: Queries that a batch search may broadcast.
+#: Queries that a batch search sends out at once, and distances that a task holds at once.
 BROADCAST_QUERIES = 100_000
+CELLS = 1 << 22
 
 
 def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -41,7 +46,7 @@ def chunks(docs: DataFrame, text: str, limit: int = MAX_TOKENS, tokens: Column |
 
 def embed_batches(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], width: int) -> DataFrame:
     """``vector`` for every row by batches of a pluggable embedder; blank texts and vectors of another width are errors."""
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    from pyspark.sql.types import ArrayType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,16 +110,70 @@ def nearest(own_chunks: DataFrame, functions: DataFrame, query: list[float], k:
     return top.select("function_id", "chunk_index", "distance").join(functions.withColumnRenamed("id", "function_id"), "function_id")
 
 
+def _k_best(queries: list[tuple[int, list[float] | None]], k: int, types: list[pa.DataType]) -> Callable:
+    """For mapInArrow: the k nearest rows of a partition to each query, kept while the partition streams by."""
+    by_width: dict[int, list[int]] = {}
+    for i, (_, v) in enumerate(queries):
+        by_width.setdefault(len(v or ()), []).append(i)
+    sides = {d: (np.array(i), np.array([[np.nan if x is None else x for x in queries[j][1] or ()] for j in i], float).reshape(len(i), d)) for d, i in by_width.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, d, f, c = np.zeros(0, int), np.zeros(0), None, None
+        worst = np.full(len(queries), np.inf)
+        step = max(1, CELLS // max(len(queries), 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                own_f, own_c = (np.array(part.column(i).to_pylist()) for i in (0, 1))
+                vectors = part.column(2).to_pylist()
+                distance = np.full((len(queries), part.num_rows), np.inf)
+                for width, (which, side) in sides.items():
+                    rows = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == width], int)
+                    if width and len(rows):
+                        x = np.array([[np.nan if e is None else e for e in vectors[i]] for i in rows], float)
+                        with np.errstate(all="ignore"):
+                            found = 1 - side @ x.T / (np.sqrt((side * side).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1)))
+                        distance[np.ix_(which, rows)] = np.where(np.isfinite(found), np.round(found, 12), np.inf)
+                limit = np.minimum(worst, np.partition(distance, min(k, part.num_rows) - 1, axis=1)[:, min(k, part.num_rows) - 1]) if part.num_rows >= k else worst
+                qi, ri = np.nonzero(distance <= limit[:, None])
+                if not len(qi):
+                    continue
+                q, d = np.concatenate([q, qi]), np.concatenate([d, distance[qi, ri]])
+                f, c = (own_f[ri], own_c[ri]) if f is None else (np.concatenate([f, own_f[ri]]), np.concatenate([c, own_c[ri]]))
+                order = np.lexsort((c, f, d, q))
+                q, d, f, c = q[order], d[order], f[order], c[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, d, f, c, place = (x[place < k] for x in (q, d, f, c, place))
+                worst[q[place == k - 1]] = d[place == k - 1]
+        if f is not None:
+            ids = [queries[i][0] for i in q.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, d.tolist(), f.tolist(), c.tolist()), types, strict=True)], ["query_id", "distance", "function_id", "chunk_index"])
+
+    return run
+
+
 def nearest_batch(own_chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, function_id, chunk_index, distance, place of the k nearest chunks of each query (query_id, query).
 
-    The queries are a request: their number is checked before they are broadcast. Each partition keeps its own k
-    best before the shuffle, so what moves is partitions x queries x k rows.
+    Queries go out in blocks of about BROADCAST_QUERIES, one after another. Each task keeps its own k best while its
+    rows stream by, so what is held and moved is partitions x queries x k rows. Distances count to 12 digits; a pair
+    without one (zero vectors, other widths, values that are no numbers) is infinitely far.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries; search them in parts")
     k = max(1, min(k, MAX_K))
-    scored = own_chunks.join(F.broadcast(queries)).select("query_id", F.struct(F.coalesce(store_distance("vector", "query"), F.lit(float("inf"))).alias("distance"), "function_id", "chunk_index").alias("hit"))
-    own = scored.withColumn("__part", F.spark_partition_id()).groupBy("query_id", "__part").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("hits"))
-    placed = own.select("query_id", F.explode("hits").alias("hit")).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("hit")))
-    return placed.where(F.col("place") <= k).select("query_id", "hit.function_id", "hit.chunk_index", "hit.distance", "place")
+    spark, blocks = own_chunks.sparkSession, max(1, -(-queries.count() // BROADCAST_QUERIES))
+    own, asked = own_chunks.select("function_id", "chunk_index", F.col("vector").cast("array<double>")), queries.select("query_id", F.col("query").cast("array<double>"))
+    fields = [asked.schema["query_id"], StructField("distance", DoubleType()), own.schema["function_id"], own.schema["chunk_index"]]
+    types, schema = [to_arrow_type(f.dataType) for f in fields], StructType([StructField(f.name, f.dataType) for f in fields])
+
+    def search(block: DataFrame) -> DataFrame:
+        found = block.toArrow()
+        hits = own.mapInArrow(_k_best(list(zip(found["query_id"].to_pylist(), found["query"].to_pylist(), strict=True)), k, types), schema)
+        placed = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "function_id", "chunk_index")))
+        return placed.where(F.col("place") <= k).select("query_id", "function_id", "chunk_index", "distance", "place")
+
+    if blocks == 1:
+        return search(asked)
+    path = scratch(spark, "nearest")
+    for b in range(blocks):
+        search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

@@ -1,5 +1,10 @@
 """Scans and batch searches whose files and rows must not grow with a group."""
 
+import math
+import random
+
+from pyspark.sql import functions as F
+
 from geoquarry.operators import corpus as K
 from geoquarry.plans import corpus as P
 
@@ -18,3 +23,20 @@ def test_scanned_files_are_bounded(spark, tmp_path, monkeypatch):
     got = {r.source: (r.n, r.chars) for r in P.QUERIES["corpus_scan"](spark, str(tmp_path)).collect()}
     assert got == {s: (sum(x[2] == s for x in rows), sum(len(x[1]) for x in rows if x[2] == s)) for s in ("large", "small")}
     assert sum(lines) == 2000 and max(lines) <= 256
+
+
+def test_batches_of_any_size(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i // 3, i % 3, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "function_id long, chunk_index int, vector array<double>").repartition(3)
+    queries = chunks.select((F.col("function_id") * 3 + F.col("chunk_index")).alias("query_id"), F.col("vector").alias("query")).where("query_id % 4 = 0")
+
+    def distance(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / n, 12) if n else math.inf
+
+    want = {(q, p + 1): (f, c) for q in range(0, 600, 4) for p, (_, f, c) in enumerate(sorted((distance(rows[q][2], v), f, c) for f, c, v in rows)[:5])}
+    for limit, cells in ((100_000, 1 << 22), (40, 1000)):
+        monkeypatch.setattr(K, "BROADCAST_QUERIES", limit)
+        monkeypatch.setattr(K, "CELLS", cells)
+        assert {(r.query_id, r.place): (r.function_id, r.chunk_index) for r in K.nearest_batch(chunks, queries, 5).collect()} == want
