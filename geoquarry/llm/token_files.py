@@ -1,30 +1,37 @@
 """Token-id files with a minimal perfect hash index: constant-time access by document key over raw id payloads.
 
-Documents are range-partitioned by doc_id; each partition is encoded and written as one file to the shared folder
-under a name that depends on the partition alone (written aside, then moved), so repeated tasks are harmless.
+Documents are range-partitioned by doc_id, rows that repeat one further by the beginning and hash of their texts, so
+no id fills a task; each partition is encoded and written as one file to the shared folder under a name that depends
+on the partition alone (written aside, then moved; a file that already stands there is the same), so repeated tasks
+are harmless.
 
 File, little-endian: a header of 8-byte unsigned numbers (magic, bytes for each id, documents, ids, levels, slots'
 words), the bits of each level's size, the bit words of the levels, then in slot order 32-bit fingerprints, 64-bit
 offsets and 64-bit lengths, then in document order 64-bit keys, 32-bit ordinals and 8-bit null flags, then the raw
 ids. A key is (doc_id, ordinal among equal doc_ids). Keys that collide on one level of the hash move to the next;
-the rank of a key's bit is its slot, and the stored fingerprint rejects foreign keys.
+the rank of a key's bit is its slot, and the stored fingerprint rejects foreign keys. Ordinals count within a file.
 
-Every document ends with id 0, null and empty texts are that id alone. Null doc_ids come first. Rows may repeat;
-extra columns are ignored.
+Encoding looks words up in a cache: a byte-level tokenizer never joins two words that a single space separates, so
+each word with its space is a closed unit. Texts where white space touches white space, or that hold an added token,
+and all texts of tokenizers of another build, go to the tokenizer whole.
+
+Every document ends with id 0, null and empty texts are that id alone. Null doc_ids come first; rows that repeat a
+doc_id are in the order of their texts' first characters. Rows may repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from geoquarry.llm.common import scratch_path, stash, table, worker_cache
@@ -33,12 +40,25 @@ from geoquarry.llm.shingles import mix
 MAGIC = 0x31485045444955  # names the format and its version
 END_ID = 0
 SHARD_BYTES = 64 << 20
-CACHE_WORDS = 1_000_000
-#: Characters whose classes every regex engine agrees on; other texts are encoded without the word cache.
+#: Words that one generation of the cache may hold, and the longest that is cached.
+CACHE_WORDS, CACHE_LENGTH = 500_000, 48
+#: Characters by which rows of one doc_id are spread over partitions before the hash of their text.
+HEAD_CHARS = 16
+#: White space next to a space: no word boundary there is certain.
+_WIDE = r" \s|\s "
+#: Texts without such characters hold no white space but spaces and line feeds.
+_RARE = re.compile("[^\n -~À-ɏ]").search
+#: Characters whose classes every regex engine agrees on; words with others are encoded whole.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_UNSURE = re.compile("[^\t\n\r -~À-ɏ]|<\\|")
-#: The tokenizer's own cut of a text; words come first here, as no other branch can begin where they do.
-_WORD = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+_UNSURE = re.compile("[^\t\n\r -~À-ɏ]")
+#: The byte-level cut of a text; words come first here, as no other branch can begin where they do.
+_CUT = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+#: Bytes as the visible characters that byte-level models hold: printable ones stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SPACE = chr(_VISIBLE[32])
+#: What a file must encode alike both ways before its words are cached.
+_PROBE = "It's a 2nd naïve Œuvre, isn't it? we'll x'yz 12a-b--c ...\nÜber\n\nŽ ß×÷ \"q\" (r) tab\tend a_b http://x.y/z?a=1&b=2 "
 
 
 # -- minimal perfect hash --------------------------------------------------------------------------------------
@@ -153,8 +173,22 @@ class TokenFile:
 # -- encoding ------------------------------------------------------------------------------------------------------
 
 
+class _Words(dict):
+    """word -> ids as bytes, as it stands after a space; words that it lacks come from the older generation or are encoded."""
+
+    def __init__(self, solve: Callable[[str], bytes], old: dict[str, bytes]) -> None:
+        super().__init__()
+        self.solve, self.old = solve, old
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word) or self.solve(" " + word)
+        if len(word) <= CACHE_LENGTH:
+            self[word] = found
+        return found
+
+
 class Encoder:
-    """The tokenizer with a cache of whole pre-tokens: byte-level pieces never cross them."""
+    """The tokenizer with a cache of words: byte-level pieces never cross a single space."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -162,30 +196,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.kind = np.dtype(f"<u{self.width}")
-        self.cache: dict[str, bytes] = {}
+        self.words = _Words(self.solve, {})
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        cut = own.get("pre_tokenizer") or {}
+        self.added, self.wide = [t["content"] for t in own.get("added_tokens", [])], re.compile(_WIDE).search
+        self.tokens = self.tokenizer.model.tokenize
+        self.by_word = own.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        self.by_word = self.by_word and self.encode([_PROBE])[0][:-1].tolist() == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+
+    def unsure(self, text: str) -> bool:
+        """Whether white space touches a space, or an added token may stand in the text."""
+        if "  " in text or " \n" in text or "\n " in text or any(t in text for t in self.added):
+            return True
+        return _RARE(text) is not None and self.wide(text) is not None
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def solve(self, unit: str) -> bytes:
+        """Ids of a word with the space before it: the library's model on each pre-token."""
+        plain = unit.isascii() and unit.isprintable()
+        if not plain and _UNSURE.search(unit):
+            return self.whole(unit)
+        ids = []
+        for piece in _CUT.findall(unit):
+            shown = piece.replace(" ", _SPACE) if plain else piece.encode().decode("latin-1").translate(_VISIBLE)
+            ids += [t.id for t in self.tokens(shown)]
+        return array(self.code, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
-        words = [None if _UNSURE.search(t) else _WORD.findall(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set(chain.from_iterable(w for w in words if w)) - self.cache.keys())
-        found, code = self.tokenizer.encode_batch_fast(new, add_special_tokens=False), "H" if self.width == 2 else "I"
-        self.cache.update((w, array(code, e.ids).tobytes()) for w, e in zip(new, found, strict=True))
-        get, end, out = self.cache.__getitem__, np.array([END_ID], self.kind).tobytes(), []
-        for text, own in zip(texts, words, strict=True):
-            if own is None:
-                own_bytes = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self.words) >= CACHE_WORDS:
+            self.words = _Words(self.solve, dict(self.words))
+        get, end, out = self.words.__getitem__, np.array([END_ID], self.kind).tobytes(), []
+        for text in texts:
+            if self.by_word and not self.unsure(text):
+                first, *rest = text.split(" ")
+                ids = self.whole(first) + b"".join(map(get, rest))
             else:
-                own_bytes = b"".join(map(get, own))
-            out.append(np.frombuffer(own_bytes + end, self.kind))
+                ids = self.whole(text)
+            out.append(np.frombuffer(ids + end, self.kind))
         return out
 
 
+def _settle(fs: FileSystem, aside: str, target: str) -> None:
+    """Give a written file its name; where a former attempt of the task has done so, the file is the same and stays."""
+    try:
+        if fs.get_file_info(target).type == FileType.NotFound:
+            fs.move(aside, target)
+            return
+    except OSError:
+        if fs.get_file_info(target).type == FileType.NotFound:
+            raise
+    fs.delete_file(aside)
+
+
 def _writer(where: str, path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
         shard, encoder = TaskContext.get().partitionId(), worker_cache(("tokens", path), lambda: Encoder(path))
@@ -202,7 +272,7 @@ def _writer(where: str, path: str) -> Callable:
             aside = f"{folder}/.{shard:06d}-{uuid.uuid4().hex}"
             with fs.open_output_stream(aside) as f:
                 f.write(raw)
-            fs.move(aside, f"{folder}/shard-{shard:06d}.ids")
+            _settle(fs, aside, f"{folder}/shard-{shard:06d}.ids")
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], ["shard", "docs"])
 
     return run
@@ -210,14 +280,14 @@ def _writer(where: str, path: str) -> Callable:
 
 def write(docs: DataFrame, where: str, path: str) -> int:
     """Write ``docs`` (doc_id, text) as token-id files in the folder ``where``; returns the number of files."""
-    from pyarrow.fs import FileSystem
-
     fs, folder = FileSystem.from_uri(where)
     fs.create_dir(folder, recursive=True)
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, and copies of one text under it, may fall in several partitions
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, HEAD_CHARS).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(parts, "doc_id", "head", "hash", "row").sortWithinPartitions("doc_id", "head", "hash").select("doc_id", "text")
     return dealt.mapInArrow(_writer(where, path), "shard int, docs long").where("docs > 0").count()
 
 

@@ -56,3 +56,32 @@ def test_given_documents(spark):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tf.op10_token_id_files(spark, str(tmp_path)).count() == 0
+
+
+def test_wide_white_space_and_added_tokens_go_whole():
+    enc = tf.Encoder(tf.default_path())
+    assert enc.by_word
+    for text in ("a  b", "a \nb", "a\n b", "a\xa0 b", "a \x1fb", "x <|endoftext|> y"):
+        assert enc.unsure(text)
+    assert not any(map(enc.unsure, ("a b", "a\nb", " a b ", "é ü\t1")))
+    texts = [a + s + b for a in ("x", "1", ".", "", "é") for s in (" ", "  ", " \n", "\n ", "\t", "\xa0 ", " \x1f") for b in ("y.", "'s", "٣ z", "\U0001f600 k", "")]
+    assert [x.tolist() for x in enc.encode(texts)] == plain(texts)
+
+
+def test_a_file_of_another_build_is_encoded_whole(tmp_path):
+    import json
+
+    with open(tf.default_path(), encoding="utf-8") as f:
+        own = json.load(f)
+    own["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, own["pre_tokenizer"]]}
+    (tmp_path / "t.json").write_text(json.dumps(own))
+    enc, t = tf.Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not enc.by_word
+    assert enc.encode(["a 123 b"])[0].tolist() == [*t.encode("a 123 b").ids, 0]
+
+
+def test_one_id_is_spread_over_files(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 1500) as text")
+    tf.write(docs, f"file://{tmp_path}/t", tf.default_path())
+    rows = tf.read(spark, f"file://{tmp_path}/t").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in rows) == 3000 and len(rows) > 1 and max(r["count"] for r in rows) < 2000
