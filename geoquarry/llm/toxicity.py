@@ -1,23 +1,31 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, searched through an inverted index.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, searched through a block-max inverted index.
 
 Fitting uses a bounded, documented sample of the labelled rows (``examples`` of each class, by hash order, from
 the training fold only): they become the indexed examples, and all their terms are the vocabulary, without any
 selection. Inverse document frequencies are counted over all documents. A term's weight is its TF-IDF times the
 evidence its z score in the sample gives about the class, (1 + z^2) / (1 + z^2 + HALF_Z^2): rare terms weigh less,
-none weighs nothing. Scoring turns every whole text into its vector and adds up the postings of all its terms, so the
-result equals a full scan; terms that most examples hold are kept as dense rows, the others as sparse postings.
-Votes are weighted by distance and shrunk towards the base rate; the examples that voted are returned as evidence.
+none weighs nothing.
+
+Scoring turns every whole text into its vector. Short posting lists are added up as they are; long ones (terms that
+many examples hold) are kept in blocks of BLOCK examples with the largest weight of each block. A block's bound is
+its best sum over short lists plus the text's weights times the block's maxima: the blocks that promise most are
+scored first, and blocks whose bound is under the k-th best cosine are never scored, so the result equals a full scan.
+Votes are weighted by distance and shrunk towards the base rate. A logistic curve, fitted on every example's vote
+without itself, weighted to the classes' shares among all labelled training rows, turns the vote into a probability.
+The examples that voted most are returned as evidence.
 
 Defined results: null and empty texts, and texts that share no term with any example, get the smoothed rate of toxic
-rows among examples without any term; without usable labels every score is 0.5 shrunk to the prior 0.
-Terms that no example holds take no part in a text's length. Ties in cosine go to the example with the smaller place
-in the index. Repeated rows are scored alike; extra columns are ignored; a null doc_id is kept with held_out false.
+rows among examples without any term; without usable labels every score is 0. Terms that no example holds take no
+part in a text's length. Ties in cosine go to the example with the smaller place in the index. Repeated rows are
+scored alike; labels of one doc_id count as their largest, and its texts as the smallest; extra columns are ignored;
+a null doc_id is kept with held_out false.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -37,12 +45,14 @@ HALF_Z = 5.0
 #: Lengths in bytes of the word beginnings that count as terms.
 PREFIXES = (4, 5, 6)
 K = 25
-#: Texts scored at once, and the share of the examples from which a term's postings are a dense row.
-BATCH, DENSE_SHARE = 64, 0.1
+#: Texts scored at once, examples in a block, and the share of the examples from which a posting list is long.
+BATCH, BLOCK, LONG_SHARE = 64, 16, 0.1
 #: Words whose places a worker keeps.
 WORDS = 100_000
 #: Pseudo-votes of the base rate, and what keeps weights finite at distance 0.
 SHRINK, EPS = 1.0, 0.1
+#: Examples that are returned as evidence.
+EVIDENCE = 5
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -63,11 +73,17 @@ class _Places(dict):
 
     def __init__(self, own: Vocabulary) -> None:
         super().__init__()
-        self.own, self.stems = own, [(k, {t[:-1]: i for t, i in own.items() if len(t) == k + 1 and t.endswith(b"*")}) for k in PREFIXES]
+        self.whole, self.stems = own.get, [(k, {t[:-1]: i for t, i in own.items() if len(t) == k + 1 and t.endswith(b"*")}.get) for k in sorted(PREFIXES)]
 
     def __missing__(self, w: bytes) -> tuple[int, ...]:
-        found = [self.own.get(w), *(stems.get(w[:k]) for k, stems in self.stems if len(w) > k)]
-        out = tuple(i for i in found if i is not None)
+        i, n = self.whole(w), len(w)
+        out = () if i is None else (i,)
+        for k, stems in self.stems:
+            if n <= k:
+                break
+            i = stems(w[:k])
+            if i is not None:
+                out += (i,)
         if len(self) < WORDS:
             self[w] = out
         return out
@@ -83,9 +99,17 @@ class Vocabulary(dict):
     def of_word(self) -> _Places:
         return _Places(self)
 
+    def held(self, text: str | None) -> np.ndarray:
+        """Places of the terms that a text holds, in order."""
+        return np.unique(np.fromiter(chain.from_iterable(map(self.of_word.__getitem__, set(words(text)))), int))
+
     def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the terms that a text holds, in order, and how often it holds each."""
-        return np.unique(np.fromiter(chain.from_iterable(map(self.of_word.__getitem__, words(text))), int), return_counts=True)
+        own = Counter(words(text))
+        found = list(map(self.of_word.__getitem__, own))
+        times = np.repeat(np.fromiter(own.values(), int, len(own)), np.fromiter(map(len, found), int, len(own)))
+        place, at = np.unique(np.fromiter(chain.from_iterable(found), int, len(times)), return_inverse=True)
+        return place, np.bincount(at, times, len(place)).astype(int)
 
     def count(self, text: str | None) -> dict[int, int]:
         return dict(zip(*(x.tolist() for x in self.places(text)), strict=True))
@@ -95,78 +119,135 @@ class Vocabulary(dict):
 
 
 class Postings:
-    """Weights of terms (rows) in examples (columns): dense rows for the common terms, sparse ones for the others."""
+    """Weights of terms in examples: short lists as they are, long ones in blocks with their maxima."""
 
-    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, shape: tuple[int, int]) -> None:
-        self.shape = shape
+    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, shape: tuple[int, int], block: int = BLOCK) -> None:
+        self.terms, self.examples = shape
+        self.block, self.blocks = block, -(-shape[1] // block)
         held = np.bincount(term, minlength=shape[0])
-        common = np.flatnonzero(held > max(DENSE_SHARE * shape[1], 1))
+        long = np.flatnonzero(held > max(LONG_SHARE * shape[1], 1))
         self.row = np.full(shape[0], -1, np.int32)
-        self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), shape[1]))
+        self.row[long] = np.arange(len(long))
         own = self.row[term] >= 0
-        self.dense[self.row[term[own]], example[own]] = weight[own]
+        self.long = np.zeros((self.blocks, len(long), block))
+        self.long[example[own] // block, self.row[term[own]], example[own] % block] = weight[own]
+        self.most = self.long.max(axis=2, initial=0.0).T
         order = np.lexsort((example[~own], term[~own]))
         self.example, self.weight = example[~own][order].astype(np.intp), weight[~own][order]
         self.start = np.concatenate([[0], np.cumsum(np.where(self.row >= 0, 0, held))])
 
-    def sparse(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Sums of w over the sparse postings of the terms t, by example."""
+    def _short(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Sums of w over the short lists of the terms t, by example."""
         begin, n = self.start[t], self.start[t + 1] - self.start[t]
         at = np.arange(n.sum(), dtype=np.int32) + np.repeat((begin + n - np.cumsum(n)).astype(np.int32), n)
-        return np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), self.shape[1])
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), self.blocks * self.block)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """Places and cosines of the k nearest examples with a positive cosine, for each vector; and the blocks scored."""
+        n, size = len(vectors), self.block
+        if not self.examples:
+            return [(np.zeros(0, int), np.zeros(0))] * n, 0
+        weights, sums = np.zeros((n, self.most.shape[0])), np.zeros((n, self.blocks * size))
+        for v, (t, w) in enumerate(vectors):
+            row = self.row[t]
+            weights[v, row[row >= 0]] = w[row >= 0]
+            sums[v] = self._short(t[row < 0], w[row < 0])
+        sums = sums.reshape(n, self.blocks, size)
+        bound = sums.max(axis=2) + weights @ self.most
+        done = np.zeros((n, self.blocks), bool)
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                own = np.flatnonzero(wanted[:, b])
+                sums[own, b] += weights[own] @ self.long[b]
+            done[wanted] = True
+
+        first = min(self.blocks, -(-k // size) + 1)
+        lead = np.zeros_like(done)
+        np.put_along_axis(lead, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        score(lead)
+        # the k-th best so far: what a further block has to reach
+        seen = np.where(done[:, :, None], sums, 0.0).reshape(n, -1)
+        bar = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else np.zeros(n)
+        score((bound >= bar[:, None] - 1e-9) & ~done)
+        out = []
+        for v in range(n):
+            own = np.flatnonzero(done[v])
+            s = np.round(sums[v, own].ravel(), 12)
+            least = np.partition(s, -k)[-k] if len(s) > k else 0.0
+            i = np.flatnonzero((s >= least) & (s > 0))
+            place = own[i // size] * size + i % size
+            best = np.lexsort((place, -s[i]))[:k]
+            out.append((place[best], s[i[best]]))
+        return out, int(done.sum())
+
+    def full(self) -> np.ndarray:
+        """All weights, terms by examples."""
+        out = np.zeros((self.terms, self.examples))
+        out[np.repeat(np.arange(self.terms), np.diff(self.start)), self.example] = self.weight
+        long = np.flatnonzero(self.row >= 0)
+        out[long] = self.long.transpose(1, 0, 2).reshape(self.most.shape[0], -1)[self.row[long], : self.examples]
+        return out
+
+
+def calibrate(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of labels over the votes' log-odds; the identity where they tell nothing."""
+    if not len(labels) or labels.min() == labels.max():
+        return 1.0, 0.0
+    x = np.column_stack([_log_odds(votes), np.ones(len(votes))])
+    w, weight = np.array([1.0, 0.0]), weight / weight.mean()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (labels - p)) - np.array([w[0] - 1, w[1]])
+        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2), grad)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
-    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Sums over all postings of each vector (terms, weights), by example."""
-        common, out = np.zeros((len(vectors), len(self.dense))), np.zeros((len(vectors), self.shape[1]))
-        for k, (t, w) in enumerate(vectors):
-            if len(t):
-                row = self.row[t]
-                common[k, row[row >= 0]] = w[row >= 0]
-                out[k] = self.sparse(t[row < 0], w[row < 0])
-        return np.round(out + common @ self.dense, 12)
 
-    def __getitem__(self, terms: np.ndarray) -> np.ndarray:
-        return np.array([self.dense[r] if (r := self.row[t]) >= 0 else self.sparse(np.array([t]), np.ones(1)) for t in terms])
+def _log_odds(p: np.ndarray | float) -> np.ndarray | float:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
 
 
 @dataclass
 class Index:
-    """Examples as an inverted index: ``weights[t]`` are the postings of term t over all examples."""
+    """Labelled examples, their postings, and the curve from votes to probabilities."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
-    weights: Postings
+    postings: Postings
     labels: np.ndarray
     ids: np.ndarray
     silent_rate: float  # among examples without any term
     base_rate: float
+    curve: tuple[float, float] = (1.0, 0.0)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return _vector(*self.vocabulary.places(text), self.idf)
 
-    def _best(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        least = np.partition(s, -k)[-k] if len(s) > k else 0.0
-        i = np.flatnonzero((s >= least) & (s > 0))
-        i = i[np.lexsort((i, -s[i]))[:k]]
-        return i, s[i]
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a positive cosine, exact."""
-        return self._best(self.weights.sums([(t, w)])[0], k)
-
-    def _vote(self, i: np.ndarray, s: np.ndarray) -> tuple[float, list[int]]:
+    def _vote(self, i: np.ndarray, s: np.ndarray) -> float:
         if not len(i):
-            return self.silent_rate, []
+            return self.silent_rate
         vote = 1 / (1 - np.minimum(s, 1) + EPS)
-        score = ((vote * self.labels[i]).sum() + SHRINK * self.base_rate) / (vote.sum() + SHRINK)
-        return float(score), [int(x) for x in self.ids[i[:5]]]
+        return float(((vote * self.labels[i]).sum() + SHRINK * self.base_rate) / (vote.sum() + SHRINK))
+
+    def votes_without_themselves(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The vote on each example, given by its place, when it is not among the examples."""
+        out = []
+        for at in range(0, len(vectors), BATCH):
+            for k, (i, s) in enumerate(self.postings.nearest(vectors[at : at + BATCH], K + 1)[0]):
+                keep = np.flatnonzero(i != at + k)[:K]
+                out.append(self._vote(i[keep], s[keep]))
+        return np.array(out)
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Probability and evidence (doc_ids of the nearest examples) of each text."""
         found = []
         for at in range(0, len(texts), BATCH):
-            found += [self._vote(*self._best(s, K)) for s in self.weights.sums([self.vector(x) for x in texts[at : at + BATCH]])]
-        return found
+            found += self.postings.nearest([self.vector(x) for x in texts[at : at + BATCH]], K)[0]
+        slope, offset = self.curve
+        if not len(self.labels) and not self.base_rate:
+            return [(0.0, [])] * len(texts)
+        return [(float(1 / (1 + np.exp(-(slope * _log_odds(self._vote(i, s)) + offset)))), self.ids[i[:EVIDENCE]].tolist()) for i, s in found]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         return self.scores([text])[0]
@@ -181,16 +262,25 @@ def _vector(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
     return t, w / np.sqrt((w * w).sum())
 
 
-def build_index(examples: Iterable[tuple[int, int, dict[int, int]]], vocabulary: list[bytes] | Vocabulary, idf: np.ndarray) -> Index:
-    """examples: (doc_id, label, term counts); idf: weights of the vocabulary and of the term that every text has."""
+def build_index(examples: Iterable[tuple[int, int, dict[int, int]]], vocabulary: list[bytes] | Vocabulary, idf: np.ndarray, known: tuple[int, int] | None = None) -> Index:
+    """examples: (doc_id, label, term counts); idf: weights of the vocabulary and of the term that every text has.
+
+    ``known`` are the numbers of clean and toxic rows that the examples stand for; their own numbers where it is None.
+    """
     placed = sorted(((x[0], x[1], *_vector(np.array(sorted(x[2]), int), np.array([x[2][i] for i in sorted(x[2])], int), idf)) for x in examples), key=lambda x: x[:2])
     own, silent = [x for x in placed if len(x[2])], [x for x in placed if not len(x[2])]
+    # examples of one class and the same heaviest terms stand in the same blocks, so that block maxima are close to their weights
+    own.sort(key=lambda x: (x[1], x[2][np.argsort(-x[3], kind="stable")[:3]].tolist(), x[0]))
     join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    weights = Postings(join([x[2] for x in own], int), join([np.full(len(x[2]), k) for k, x in enumerate(own)], int), join([x[3] for x in own], float), (len(idf), len(own)))
+    postings = Postings(join([x[2] for x in own], int), join([np.full(len(x[2]), k) for k, x in enumerate(own)], int), join([x[3] for x in own], float), (len(idf), len(own)))
     rate = lambda rows, by, n: (sum(x[1] for x in rows) + by * n) / (len(rows) + n)
     base = rate(placed, 0.0, 1)
     words_of = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary(vocabulary)
-    return Index(words_of, idf, weights, np.array([x[1] for x in own], int), np.array([x[0] for x in own], int), rate(silent, base, 1), base)
+    index = Index(words_of, idf, postings, np.array([x[1] for x in own], int), np.array([x[0] for x in own], int), rate(silent, base, 1), base)
+    shown = np.bincount([x[1] for x in placed], minlength=2)
+    share = np.array(known or shown) / np.maximum(shown, 1)
+    index.curve = calibrate(index.votes_without_themselves([x[2:4] for x in own]), index.labels, share[index.labels])
+    return index
 
 
 def _shared[T](spark: SparkSession, value: T) -> tuple[Callable[[], T], Broadcast]:
@@ -227,7 +317,7 @@ def _frequencies(shared: Callable[[], Vocabulary]) -> Callable:
         for batch in batches:
             for x in batch.column("text"):
                 rows += 1
-                found[vocabulary.places(x.as_py())[0]] += 1
+                found[vocabulary.held(x.as_py())] += 1
         held = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int64()), pa.array(np.append(found[held], rows), pa.int64())], ["term", "df"])
 
@@ -240,7 +330,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     order = [F.md5(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string"))), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(examples).unionByName(known.where("toxic = 0").orderBy(*order).limit(examples))
     # at most 2 * examples ids: a size that the parameter bounds
-    sample = stash(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "examples")
+    sample = stash(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
+    known = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     n1, n0 = (sample.where(f"toxic = {y}").count() for y in (1, 0))
     by_term = sample.mapInArrow(_term_rows, "term binary, toxic long").groupBy("term").agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0"))
     p1, p0 = (F.col("d1") + 0.5) / (n1 + 1), (F.col("d0") + 0.5) / (n0 + 1)
@@ -257,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     idf = (np.log((rows + 1) / (df + 1)) + 1) * z2 / (z2 + HALF_Z**2)
     idf = np.append(idf, np.median(idf) if len(idf) else 1.0)
     rows = sample.mapInArrow(_vectors(place), "doc_id long, toxic long, terms array<long>, counts array<long>").toArrow().to_batches()
-    index = build_index(((r["doc_id"].as_py(), r["toxic"].as_py(), dict(zip(r["terms"].as_py(), r["counts"].as_py(), strict=True))) for b in rows for r in b.to_struct_array()), vocabulary, idf)
+    index = build_index(((r["doc_id"].as_py(), r["toxic"].as_py(), dict(zip(r["terms"].as_py(), r["counts"].as_py(), strict=True))) for b in rows for r in b.to_struct_array()), vocabulary, idf, (known.get(0, 0), known.get(1, 0)))
     unstash(sample)
     held.destroy()
     return index
@@ -284,7 +375,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 def op3_toxicity_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("evidence")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def _clean(shared: Callable[[], Index]) -> Callable:

@@ -14,17 +14,49 @@ def test_search_equals_a_full_scan():
     vocabulary = [f"t{i}".encode() for i in range(40)]
     examples = [(i, rng.randrange(2), {rng.randrange(40): rng.randrange(1, 5) for _ in range(rng.randrange(5))}) for i in range(700)]
     index = T.build_index(examples, vocabulary, np.append(1 + np.random.default_rng(1).random(40), 1.2))
+    weights = index.postings.full()
     for _ in range(60):
         t, w = index.vector(" ".join(f"t{rng.randrange(45)}" for _ in range(rng.randrange(9))))
         if not len(t):
             continue
-        places, cosines = index.nearest(t, w)
-        full = np.round(w @ index.weights[t], 12)
+        ((places, cosines),), _ = index.postings.nearest([(t, w)], T.K)
+        full = np.round(w @ weights[t], 12)
         order = sorted((-s, i) for i, s in enumerate(full) if s > 0)[: T.K]
         assert [i for _, i in order] == places.tolist()
         assert [-s for s, _ in order] == pytest.approx(cosines)
 
 
+def test_bounds_leave_blocks_unscored():
+    rng = np.random.default_rng(5)
+    # forty groups of examples, each with terms of its own and a few that all share
+    rows = [(i, i % 2, {int(t): 1 for t in [*rng.choice(20, 8, False), *(20 + 10 * (i % 40) + rng.choice(10, 5, False))]}) for i in range(1600)]
+    index = T.build_index(rows, [f"t{i}".encode() for i in range(420)], np.append(1 + rng.random(420), 1.0))
+    weights = index.postings.full()
+    vectors = [index.vector(" ".join(f"t{t}" for t in rows[i][2])) for i in range(64)]
+    found, blocks = index.postings.nearest(vectors, T.K)
+    for (t, w), (places, _) in zip(vectors, found, strict=True):
+        full = np.round(w @ weights[t], 12)
+        assert [i for _, i in sorted((-s, i) for i, s in enumerate(full) if s > 0)[: T.K]] == places.tolist()
+    assert 0 < blocks < 0.5 * len(vectors) * index.postings.blocks
+
+
+def test_calibrated_on_held_out_rows(tables):
+    docs, labels = tables
+    rows = T.score(docs, T.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(min(int(r.score * 10), 9), []).append((r.score, r.toxic))
+    error = sum(abs(sum(s for s, _ in b) - sum(y for _, y in b)) for b in bins.values()) / len(rows)
+    assert error < 0.05
+
+
+def test_repeated_ids_give_one_example(spark, tables):
+    docs, labels = tables
+    more = docs.unionByName(docs.withColumn("text", T.F.concat(T.F.lit("zz "), "text")))
+    a, b = (T.fit(x, labels.unionByName(labels)) for x in (more, more.orderBy(T.F.desc("text"))))
+    assert sorted(a.ids) == sorted(set(a.ids)) and a.vocabulary == b.vocabulary and (a.ids == b.ids).all()
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = random.Random(6)
