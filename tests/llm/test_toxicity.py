@@ -30,7 +30,7 @@ def test_bounds_leave_blocks_unscored():
     rng = np.random.default_rng(5)
     # forty groups of examples, each with terms of its own and a few that all share
     rows = [(i, i % 2, {int(t): 1 for t in [*rng.choice(20, 8, False), *(20 + 10 * (i % 40) + rng.choice(10, 5, False))]}) for i in range(1600)]
-    index = T.build_index(rows, [f"t{i}".encode() for i in range(420)], np.append(1 + rng.random(420), 1.0))
+    index = T.build_index(rows, [f"t{i}".encode() for i in range(420)], np.concatenate([0.2 + 0.1 * rng.random(20), 2 + rng.random(400), [0.2]]))
     weights = index.postings.full()
     vectors = [index.vector(" ".join(f"t{t}" for t in rows[i][2])) for i in range(64)]
     found, blocks = index.postings.nearest(vectors, T.K)
