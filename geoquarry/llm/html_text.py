@@ -1,11 +1,15 @@
 """Main text of HTML pages by minimum cut.
 
-A page becomes its text blocks and the elements that hold them. A classifier gives each block the log-odds of being
-content: what the elements around it say (tags, and words of class, id and role), plus a logistic regression on the
-text itself, which is trained on blocks of a bounded sample of pages whose elements leave no doubt. Positive odds
-are capacities from the source, negative ones capacities to the sink; neighbouring blocks, and blocks and elements
-next to each other in the document tree, are tied by smoothness edges. The maximum flow separates content from the
-rest at the least total cost.
+A page becomes its text blocks and the elements that hold them. The cost of calling a block content or boilerplate
+is its log-odds from two sources: what the elements around it say (tags, and words of class, id and role, which add
+up and can outweigh each other), and a logistic regression on the block's text alone, trained on a bounded sample
+of pages that mark their article and their furniture by tags. Positive odds are capacities from the source, negative
+ones capacities to the sink; neighbouring blocks, and blocks and elements next to each other in the document tree,
+are tied by smoothness edges of about the weight of a doubtful block. The maximum flow separates content from the
+rest at the least total cost: a doubtful block goes with the blocks around it, a certain one does not.
+
+Class words are hints and no verdicts: the last telling word of a name counts most ("comment-list" is about comments,
+"register-entry" an entry), and some words (adverts, comments, cookies) count wherever they stand in a name.
 
 Blocks have character references decoded and white space made single; kept blocks are joined by two line feeds.
 Null and empty pages, and pages without content, give the empty text. Rows may repeat, ids may be null and extra
@@ -19,6 +23,7 @@ import re
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +31,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoquarry.llm.common import table
 
-#: Pages that training may use, chosen by hash order.
-SAMPLE_PAGES = 400
-#: Log-odds that elements give to the blocks in them, and capacities of the smoothness edges.
-STRONG, HINT, BESIDE, INSIDE, NESTED = 8.0, 3.0, 1.0, 1.0, 0.5
+#: Pages that training may use, chosen by hash order, and blocks of each of them, evenly spaced.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 400, 200
+#: Log-odds of elements: hidden ones, page furniture, article containers; of words in names: chrome, hints of it, body.
+HIDDEN, FURNITURE, ARTICLE, CHROME, HINT, BODY_NAME = 8.0, 6.0, 4.0, 4.5, 1.0, 2.0
+#: Bounds of an element's odds with those around it, and of what a block's text may say.
+MOST, TEXT_MOST = 8.0, 3.0
+#: Capacities of the edges between neighbouring blocks, blocks and their elements, elements and theirs.
+BESIDE, INSIDE, NESTED = 1.5, 1.0, 0.5
+#: Weights of a text's features before any page is seen; training moves them.
+PRIOR = np.array([-2.0, 0.4, 0.1, -3.0, 1.0, 1.2, 0.5, -1.0])
 
 # Elements of HTML by what they do to text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video textarea title head".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video".split())
-CHROME = frozenset("nav footer aside form menu dialog button select option label fieldset legend datalist".split())
-BODY = frozenset("article main".split())
+CHROME_TAGS = frozenset("nav footer aside form menu dialog button select option label fieldset legend datalist".split())
+BODY_TAGS = frozenset("article main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising alert aside banner bar breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies copyright dialog disclaimer discussion dropdown feedback foot footer form gdpr "
-    "header hidden login masthead menu menus meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion reader recommend recommended register related replies reply "
-    "respond search share sharing sidebar sidebars signin signup skip social sponsor sponsored sponsors subscribe subscription survey tags teaser toc toolbar topbar tracking widget widgets".split()
+#: Words that mark page furniture wherever they stand in a name, and words that do so at its end.
+CLEAR_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comments consent cookie cookies disclaimer discussion dropdown gdpr modal navbar newsletter pager pagination paywall popup promo promoted promotion "
+    "recommended related replies respond sharing signup social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
+)
+CHROME_WORDS = CLEAR_WORDS | frozenset(
+    "alert aside banner bar byline copyright dialog feedback foot footer form header hidden login masthead menu menus meta nav navigation notice notices notification overlay recommend register reply search share sidebar sidebars signin skip "
+    "survey tags teaser toc topbar tracking".split()
 )
 BODY_WORDS = frozenset("article body content entry main post story text".split())
+#: Words that say nothing about what an element holds.
+PLAIN_WORDS = frozenset("area block bottom box center col column container group inner item items left list outer panel right row section top wrap wrapper".split())
 STATE_WORDS = frozenset("has with without no is not".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -85,19 +102,37 @@ def _own_odds(tag: str, attrs: str, parent: Element | None) -> tuple[float, bool
         for m in _NAMES.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
             if key == "hidden" and m[0].lower() == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return -STRONG, in_body
+                return -HIDDEN, in_body
             if key in ("class", "id", "role"):
                 names.extend(value.split())
-    parts = [p for p in ([w.lower() for w in _WORD.findall(n)] for n in names) if p and p[0] not in STATE_WORDS]
-    if tag in CHROME or tag == "header" and not in_body:
-        return -STRONG, in_body
-    if tag != "main" and any(w in CHROME_WORDS for p in parts for w in p):
-        return -STRONG, in_body
-    if tag in BODY:
-        return STRONG / 2, True
-    if any(w in BODY_WORDS for p in parts for w in p):
-        return HINT, in_body
-    return 0.0, in_body
+    odds = sum(_name_odds(n, in_body) for n in dict.fromkeys(names))
+    if tag in CHROME_TAGS or tag == "header" and not in_body:
+        odds -= FURNITURE
+    elif tag in BODY_TAGS:
+        odds, in_body = odds + ARTICLE, True
+    return odds, in_body
+
+
+@lru_cache(maxsize=4096)
+def _name_odds(name: str, in_body: bool) -> float:
+    """What one class, id or role says: its last telling word, and hints of the words before it; an article's header is its own."""
+    parts = [w.lower() for w in _WORD.findall(name)]
+    parts = [w for w in parts if w not in PLAIN_WORDS and not w.isdigit() and not (in_body and w == "header")]
+    if not parts or parts[0] in STATE_WORDS:
+        return 0.0
+    if any(w in CLEAR_WORDS for w in parts):
+        return -CHROME
+    odds = sum((w in BODY_WORDS) * BODY_NAME / 2 - (w in CHROME_WORDS) * HINT for w in parts[:-1])
+    return odds + (parts[-1] in BODY_WORDS) * BODY_NAME - (parts[-1] in CHROME_WORDS) * CHROME
+
+
+def _nested(own: float, around: float) -> float:
+    """Odds of an element: furniture in an article is furniture, an article in furniture is half of one."""
+    if own < 0:
+        around = min(around, 0.0)
+    elif around < 0:
+        own /= 2
+    return max(-MOST, min(MOST, own + around if own < 0 or around < 0 else max(own, around)))
 
 
 def blocks(page: str | None) -> tuple[list[Block], list[Element]]:
@@ -168,7 +203,7 @@ def blocks(page: str | None) -> tuple[list[Block], list[Element]]:
             if tag == "tr" and top.tag == "tr":
                 top = top.parent
         odds, in_body = _own_odds(tag, m[3], top)
-        top = Element(tag, top, max(-2 * STRONG, min(2 * STRONG, odds + (0 if odds > 0 and top.odds > 0 else top.odds))), top.depth + 1, in_body)
+        top = Element(tag, top, _nested(odds, top.odds), top.depth + 1, in_body)
     close()
     return out, held
 
@@ -180,20 +215,27 @@ def features(b: Block) -> list[float]:
     return [1.0, np.log1p(n), np.log1p(words), min(1.0, b.link_chars / n), min(1.0, marks / words), float(b.text[-1] in ".!?…\"”"), float(b.heading), sum(map(str.isdigit, b.text)) / n]
 
 
-def _doubtless(b: Block) -> int | None:
-    """1 in an article body, 0 in the furniture of a page, None where the elements leave doubt."""
-    return 1 if b.element.in_body and b.element.odds > 0 else 0 if b.element.odds <= -STRONG else None
+def _marked(b: Block) -> int | None:
+    """1 in an element that its tag marks as the article, 0 in one that its tag marks as furniture; names do not count."""
+    e = b.element
+    while e is not None:
+        if e.tag in BODY_TAGS:
+            return 1
+        if e.tag in CHROME_TAGS:
+            return 0
+        e = e.parent
+    return None
 
 
 def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge, both classes weighing alike; zeros if one is missing."""
-    w = np.zeros(x.shape[1] if len(x) else 8)
+    """Logistic regression by Newton steps, drawn towards PRIOR, both classes weighing alike; PRIOR if one is missing."""
+    w = PRIOR.copy()
     if not len(y) or y.min() == y.max():
         return w
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - w
+        grad = x.T @ (weight * (y - p)) - (w - PRIOR)
         w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), grad)
     return w
 
@@ -260,18 +302,12 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
             v = to[path[-1]]
 
 
-def extract(page: str | None, weights: np.ndarray) -> str:
-    """The main text of a page."""
-    found, held = blocks(page)
-    if not found:
-        return ""
+def network(found: list[Block], held: list[Element], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds of the nodes (blocks, then elements, which have none of their own) and the edges between them."""
     n = len(found)
-    said = np.clip(np.array([features(b) for b in found]) @ weights, -3, 3)
+    said = np.clip(np.array([features(b) for b in found]) @ weights, -TEXT_MOST, TEXT_MOST)
     odds = [float(b.element.odds + s) for b, s in zip(found, said, strict=True)]
-    edges = []
-    for k in range(n - 1):
-        a, b = found[k].element, found[k + 1].element
-        edges.append((k, k + 1, BESIDE * _shared(a, b)))
+    edges = [(k, k + 1, BESIDE * _shared(found[k].element, found[k + 1].element)) for k in range(n - 1)]
     number = {id(e): n + i for i, e in enumerate(held)}
     extra = list(held)
     for k, b in enumerate(found):
@@ -282,10 +318,19 @@ def extract(page: str | None, weights: np.ndarray) -> str:
                 number[id(e.parent)] = n + len(extra)
                 extra.append(e.parent)
             edges.append((number[id(e)], number[id(e.parent)], NESTED))
-    source = [max(o, 0.0) for o in odds] + [0.0] * len(extra)
-    sink = [max(-o, 0.0) for o in odds] + [0.0] * len(extra)
-    kept = min_cut(source, sink, edges)
-    return "\n\n".join(b.text for b, k in zip(found, kept, strict=False) if k)
+    return odds + [0.0] * len(extra), edges
+
+
+def content(found: list[Block], held: list[Element], weights: np.ndarray) -> list[bool]:
+    """Whether each block is on the source side of the minimum cut."""
+    odds, edges = network(found, held, weights)
+    return min_cut([max(o, 0.0) for o in odds], [max(-o, 0.0) for o in odds], edges)[: len(found)]
+
+
+def extract(page: str | None, weights: np.ndarray) -> str:
+    """The main text of a page."""
+    found, held = blocks(page)
+    return "\n\n".join(b.text for b, k in zip(found, content(found, held, weights), strict=True) if k) if found else ""
 
 
 def _shared(a: Element, b: Element) -> float:
@@ -302,7 +347,8 @@ def _shared(a: Element, b: Element) -> float:
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column("html"):
-            rows = [(y, features(b)) for b in blocks(x.as_py())[0] if (y := _doubtless(b)) is not None]
+            own = [(y, b) for b in blocks(x.as_py())[0] if (y := _marked(b)) is not None]
+            rows = [(y, features(b)) for y, b in own[:: -(-len(own) // SAMPLE_BLOCKS) or 1]]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.list_(pa.float64()))], ["y", "x"])
 
 
