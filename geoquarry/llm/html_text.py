@@ -40,7 +40,7 @@ MOST, TEXT_MOST = 8.0, 3.0
 #: Capacities of the edges between neighbouring blocks, blocks and their elements, elements and theirs.
 BESIDE, INSIDE, NESTED = 1.5, 1.0, 0.5
 #: Weights of a text's features before any page is seen; training moves them.
-PRIOR = np.array([-2.0, 0.4, 0.1, -3.0, 1.0, 1.2, 0.5, -1.0])
+PRIOR = np.array([-2.0, 0.4, 0.1, -3.0, 1.0, 1.2, 0.5, -1.0, -3.0])
 
 # Elements of HTML by what they do to text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
@@ -212,7 +212,7 @@ def features(b: Block) -> list[float]:
     """What the text alone says about a block."""
     n, words = len(b.text), b.text.count(" ") + 1
     marks = sum(b.text.count(c) for c in ".,;:!?")
-    return [1.0, np.log1p(n), np.log1p(words), min(1.0, b.link_chars / n), min(1.0, marks / words), float(b.text[-1] in ".!?…\"”"), float(b.heading), sum(map(str.isdigit, b.text)) / n]
+    return [1.0, np.log1p(n), np.log1p(words), min(1.0, b.link_chars / n), min(1.0, marks / words), float(b.text[-1] in ".!?…\"”"), float(b.heading), sum(map(str.isdigit, b.text)) / n, float("©" in b.text)]
 
 
 def _marked(b: Block) -> int | None:
@@ -356,7 +356,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
     """Weights of the text classifier, from at most ``sample_pages`` pages."""
     chosen = pages.where("html is not null").select("html").orderBy(F.md5("html"), "html").limit(sample_pages)
     rows = chosen.mapInArrow(_sample, "y long, x array<double>").collect()
-    return train(np.array([r.x for r in rows]).reshape(-1, 8), np.array([r.y for r in rows]))
+    return train(np.array([r.x for r in rows]).reshape(-1, len(PRIOR)), np.array([r.y for r in rows]))
 
 
 def _extractor(weights: np.ndarray) -> Callable:
