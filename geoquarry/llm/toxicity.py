@@ -29,7 +29,6 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +45,9 @@ HALF_Z = 5.0
 PREFIXES = (4, 5, 6)
 K = 25
 #: Texts scored at once, examples in a block, and the share of the examples from which a posting list is long.
-BATCH, BLOCK, LONG_SHARE = 64, 16, 0.1
-#: Words whose places a worker keeps.
-WORDS = 100_000
+BATCH, BLOCK, LONG_SHARE = 128, 32, 0.1
+#: What 32-bit sums of a text's weights may be wrong by, with room to spare.
+MARGIN = 1e-4
 #: Pseudo-votes of the base rate, and what keeps weights finite at distance 0.
 SHRINK, EPS = 1.0, 0.1
 #: Examples that are returned as evidence.
@@ -68,24 +67,32 @@ def terms(text: str | None) -> set[bytes]:
     return own | {w[:k] + b"*" for w in own for k in PREFIXES if len(w) > k}
 
 
+_NOWHERE = np.zeros(0, np.int32)
+
+
 class _Places(dict):
-    """word -> places of its terms; keeps at most WORDS of them."""
+    """word -> places of its terms; keeps the words that are terms themselves."""
 
     def __init__(self, own: Vocabulary) -> None:
         super().__init__()
-        self.whole, self.stems = own.get, [(k, {t[:-1]: i for t, i in own.items() if len(t) == k + 1 and t.endswith(b"*")}.get) for k in sorted(PREFIXES)]
-
-    def __missing__(self, w: bytes) -> tuple[int, ...]:
-        i, n = self.whole(w), len(w)
-        out = () if i is None else (i,)
+        self.place = own.get
+        #: from the longest on: length, and the places of a word beginning with those of its own beginnings
+        self.stems: list[tuple[int, Callable[[bytes], np.ndarray | None]]] = []
+        for k in sorted(PREFIXES):
+            stems = {t[:-1]: np.append(self.begun(t[:-1]), np.int32(i)) for t, i in own.items() if len(t) == k + 1 and t.endswith(b"*")}
+            self.stems.insert(0, (k, stems.get))
+
+    def begun(self, w: bytes) -> np.ndarray:
+        n = len(w)
         for k, stems in self.stems:
-            if n <= k:
-                break
-            i = stems(w[:k])
-            if i is not None:
-                out += (i,)
-        if len(self) < WORDS:
-            self[w] = out
+            if n > k and (found := stems(w[:k])) is not None:
+                return found
+        return _NOWHERE
+
+    def __missing__(self, w: bytes) -> np.ndarray:
+        out, i = self.begun(w), self.place(w)
+        if i is not None:
+            out = self[w] = np.append(out, np.int32(i))
         return out
 
 
@@ -99,37 +106,55 @@ class Vocabulary(dict):
     def of_word(self) -> _Places:
         return _Places(self)
 
+    @cached_property
+    def _last(self) -> np.ndarray:
+        return np.zeros(len(self), int)
+
+    def _once(self, place: np.ndarray) -> np.ndarray:
+        """The distinct places; afterwards ``_last`` holds where each of them stands among these."""
+        self._last[place] = np.arange(len(place))
+        out = place[self._last[place] == np.arange(len(place))]
+        self._last[out] = np.arange(len(out))
+        return out
+
     def held(self, text: str | None) -> np.ndarray:
-        """Places of the terms that a text holds, in order."""
-        return np.unique(np.fromiter(chain.from_iterable(map(self.of_word.__getitem__, set(words(text)))), int))
+        """Places of the terms that a text holds."""
+        return self._once(np.concatenate([_NOWHERE, *map(self.of_word.__getitem__, set(words(text)))]))
 
     def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the terms that a text holds, in order, and how often it holds each."""
+        """Places of the terms that a text holds, and how often it holds each."""
         own = Counter(words(text))
         found = list(map(self.of_word.__getitem__, own))
-        times = np.repeat(np.fromiter(own.values(), int, len(own)), np.fromiter(map(len, found), int, len(own)))
-        place, at = np.unique(np.fromiter(chain.from_iterable(found), int, len(times)), return_inverse=True)
-        return place, np.bincount(at, times, len(place)).astype(int)
+        times = np.repeat(np.fromiter(own.values(), float, len(own)), np.fromiter(map(len, found), int, len(own)))
+        every = np.concatenate([_NOWHERE, *found])
+        place = self._once(every)
+        return place, np.bincount(self._last[every], times, len(place))
 
     def count(self, text: str | None) -> dict[int, int]:
-        return dict(zip(*(x.tolist() for x in self.places(text)), strict=True))
+        place, n = self.places(text)
+        return dict(zip(place.tolist(), n.astype(int).tolist(), strict=True))
 
     def __reduce__(self):
         return Vocabulary, (list(self),)
 
 
 class Postings:
-    """Weights of terms in examples: short lists as they are, long ones in blocks with their maxima."""
+    """Weights (32-bit) of terms in examples: short lists as they are, long ones in blocks with their maxima.
+
+    Blocks are chosen by 32-bit sums with a margin for their error; the cosines of what may be among the nearest are
+    then taken in 64 bits.
+    """
 
     def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, shape: tuple[int, int], block: int = BLOCK) -> None:
         self.terms, self.examples = shape
         self.block, self.blocks = block, -(-shape[1] // block)
+        weight = weight.astype(np.float32)
         held = np.bincount(term, minlength=shape[0])
         long = np.flatnonzero(held > max(LONG_SHARE * shape[1], 1))
         self.row = np.full(shape[0], -1, np.int32)
         self.row[long] = np.arange(len(long))
         own = self.row[term] >= 0
-        self.long = np.zeros((self.blocks, len(long), block))
+        self.long = np.zeros((self.blocks, len(long), block), np.float32)
         self.long[example[own] // block, self.row[term[own]], example[own] % block] = weight[own]
         self.most = self.long.max(axis=2, initial=0.0).T
         order = np.lexsort((example[~own], term[~own]))
@@ -139,27 +164,30 @@ class Postings:
     def _short(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Sums of w over the short lists of the terms t, by example."""
         begin, n = self.start[t], self.start[t + 1] - self.start[t]
-        at = np.arange(n.sum(), dtype=np.int32) + np.repeat((begin + n - np.cumsum(n)).astype(np.int32), n)
-        return np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), self.blocks * self.block)
+        at = np.repeat(begin + n - np.cumsum(n), n)
+        at += np.arange(len(at))
+        w = np.repeat(w, n)
+        w *= self.weight.take(at, mode="clip")
+        return np.bincount(self.example.take(at, mode="clip"), w, self.blocks * self.block)
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
         """Places and cosines of the k nearest examples with a positive cosine, for each vector; and the blocks scored."""
         n, size = len(vectors), self.block
         if not self.examples:
             return [(np.zeros(0, int), np.zeros(0))] * n, 0
-        weights, sums = np.zeros((n, self.most.shape[0])), np.zeros((n, self.blocks * size))
+        weights, short = np.zeros((n, self.most.shape[0])), np.zeros((n, self.blocks * size))
         for v, (t, w) in enumerate(vectors):
             row = self.row[t]
             weights[v, row[row >= 0]] = w[row >= 0]
-            sums[v] = self._short(t[row < 0], w[row < 0])
-        sums = sums.reshape(n, self.blocks, size)
-        bound = sums.max(axis=2) + weights @ self.most
+            short[v] = self._short(t[row < 0], w[row < 0])
+        light, sums = weights.astype(np.float32), short.astype(np.float32).reshape(n, self.blocks, size)
+        bound = sums.max(axis=2) + light @ self.most
         done = np.zeros((n, self.blocks), bool)
 
         def score(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(axis=0)):
                 own = np.flatnonzero(wanted[:, b])
-                sums[own, b] += weights[own] @ self.long[b]
+                sums[own, b] += light[own] @ self.long[b]
             done[wanted] = True
 
         first = min(self.blocks, -(-k // size) + 1)
@@ -169,16 +197,18 @@ class Postings:
         # the k-th best so far: what a further block has to reach
         seen = np.where(done[:, :, None], sums, 0.0).reshape(n, -1)
         bar = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else np.zeros(n)
-        score((bound >= bar[:, None] - 1e-9) & ~done)
+        score((bound >= bar[:, None] - MARGIN) & ~done)
         out = []
         for v in range(n):
             own = np.flatnonzero(done[v])
-            s = np.round(sums[v, own].ravel(), 12)
-            least = np.partition(s, -k)[-k] if len(s) > k else 0.0
+            s = sums[v, own].ravel()
+            least = np.partition(s, -k)[-k] - MARGIN if len(s) > k else 0.0
             i = np.flatnonzero((s >= least) & (s > 0))
-            place = own[i // size] * size + i % size
-            best = np.lexsort((place, -s[i]))[:k]
-            out.append((place[best], s[i[best]]))
+            b, e = own[i // size], i % size
+            place, rows = b * size + e, np.flatnonzero(weights[v])
+            exact = np.round(short[v, place] + weights[v, rows] @ self.long[b[None], rows[:, None], e[None]], 12)
+            best = np.lexsort((place, -exact))[:k]
+            out.append((place[best], exact[best]))
         return out, int(done.sum())
 
     def full(self) -> np.ndarray:
