@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; unset, a folder of this machine, which local runs alone may use."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^,\]]+(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='geoquarry-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -53,6 +64,15 @@ def stash_bytes(df: DataFrame) -> int:
     return target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
+#: Stashed tables whose files are larger than this are joined by shuffle instead of broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a stashed table only where the bytes it takes are under the bound."""
+    return F.broadcast(df) if stash_bytes(df) <= BROADCAST_BYTES else df
+
+
 _held: dict[Hashable, object] = {}
 
 

@@ -16,15 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geoquarry.llm.common import stash, stash_bytes, table, unstash
+from geoquarry.llm.common import small, stash, table, unstash
 
 SPAN = 8
 #: The word positions that each mask looks at.
 MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7), (0, 1, 2, 5, 6))
 #: Share of an item's words that must stand in the text, in percent.
 PERCENT = 75
-#: Tables whose files are larger than this are joined by shuffle instead of broadcast.
-BROADCAST_BYTES = 32 << 20
 
 
 def _words(text: str) -> Column:
@@ -46,21 +44,16 @@ def _seeds(df: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "seed", (F.col("idx") % F.col("m")).alias("pos"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a stashed table only where the bytes it takes are under the bound."""
-    return F.broadcast(df) if stash_bytes(df) <= BROADCAST_BYTES else df
-
-
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """k1, k2 (identity of a text), item_id, matched, item_words: each distinct text and item that it contains."""
     items = stash(benchmark.select("item_id", _hashes("text").alias("iwh")).where(F.size("iwh") >= SPAN), "items")
     item_seeds = stash(_seeds(items.withColumnRenamed("iwh", "wh"), "item_id").withColumnRenamed("pos", "item_pos").distinct(), "item-seeds")
     keyed = docs.where("text is not null").select(F.xxhash64("text").alias("k1"), F.crc32(F.col("text").cast("binary")).alias("k2"), "text")
     seeds = _seeds(keyed.select("k1", "k2", _hashes("text").alias("wh")), "k1", "k2")
-    hits = stash(seeds.join(_small(item_seeds), "seed").select("k1", "k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct(), "hits")
-    texts = keyed.join(_small(hits), ["k1", "k2"]).withColumn("wh", _hashes("text")).drop("text")
+    hits = stash(seeds.join(small(item_seeds), "seed").select("k1", "k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct(), "hits")
+    texts = keyed.join(small(hits), ["k1", "k2"]).withColumn("wh", _hashes("text")).drop("text")
     same = F.size(F.filter(F.sequence(F.lit(0), F.size("iwh") - 1), lambda j: (j + F.col("diagonal") >= 0) & F.coalesce(F.get("iwh", j) == F.get("wh", F.greatest(j + F.col("diagonal"), F.lit(0))), F.lit(False))))
-    checked = texts.join(_small(items), "item_id").select("k1", "k2", "item_id", same.alias("matched"), F.size("iwh").alias("item_words"))
+    checked = texts.join(small(items), "item_id").select("k1", "k2", "item_id", same.alias("matched"), F.size("iwh").alias("item_words"))
     return checked.where(100 * F.col("matched") >= PERCENT * F.col("item_words")).groupBy("k1", "k2", "item_id").agg(F.max(F.struct("matched", "item_words")).alias("best")).select("k1", "k2", "item_id", "best.*")
 
 
@@ -71,7 +64,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     flagged = stash(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("n_items").alias("__n"), F.col("first").alias("__first")), "flagged")
     keyed = docs.select("*", F.xxhash64("text").alias("__k1"), F.crc32(F.col("text").cast("binary")).alias("__k2"))
     own = [c for c in docs.columns if c not in ("contaminated", "n_items", "item_id", "matched", "item_words")]
-    return keyed.join(_small(flagged), ["__k1", "__k2"], "left").select(
+    return keyed.join(small(flagged), ["__k1", "__k2"], "left").select(
         *own, F.col("__n").isNotNull().alias("contaminated"), F.coalesce("__n", F.lit(0).cast("long")).alias("n_items"), F.col("__first.item_id").alias("item_id"), F.col("__first.matched").alias("matched"), F.col("__first.item_words").alias("item_words")
     )
 
@@ -86,7 +79,7 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = contaminated_texts(docs, table(spark, sf_dir, "benchmark")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
     flagged = stash(found, "flagged")
     keyed = docs.select("*", F.xxhash64("text").alias("__k1"), F.crc32(F.col("text").cast("binary")).alias("__k2"))
-    return keyed.join(_small(flagged), ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    return keyed.join(small(flagged), ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
 
 _SQL_MASKS = " UNION ALL ".join(

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geoquarry.llm.common import stash, stash_bytes, table
+from geoquarry.llm.common import small, stash, table
 
 #: Fixed base patterns, written with possessive runs and guarded starts so that no text makes them backtrack.
 PATTERNS = {
@@ -28,7 +28,6 @@ PATTERNS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 WINDOW, SUPPORT, GENERALISE, REMOVE = 10, 3, 0.8, 0.95
 TERM = r"\p{L}{3,}"
-BROADCAST_BYTES = 32 << 20
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -99,10 +98,6 @@ def _keys(text: str = "text") -> list[Column]:
     return [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__k1"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("__k2")]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if stash_bytes(df) <= BROADCAST_BYTES else df
-
-
 def disclosures(docs: DataFrame) -> DataFrame:
     """__k1, __k2 (identity of a text), term, remove: the terms to sanitise in each distinct text."""
     found = with_base_spans(docs.select("text").where("text is not null"))
@@ -121,7 +116,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
     # a text with c copies weighs 1 / c in each, so that every distinct text counts once
     copies = stash(texts.groupBy("__k1", "__k2").agg(F.count("*").alias("__c")), "copies")
     repeated = stash(copies.where("__c > 1"), "repeated")
-    weighed = texts.join(_small(repeated), ["__k1", "__k2"], "left").select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"), (1 / F.coalesce("__c", F.lit(1))).alias("w"))
+    weighed = texts.join(small(repeated), ["__k1", "__k2"], "left").select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"), (1 / F.coalesce("__c", F.lit(1))).alias("w"))
     of_term = weighed.groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
     total = copies.count()
     share = 1 + F.log2(F.col("n_et") / F.col("n_t")) / F.greatest(F.log2(F.lit(float(max(total, 1))) / F.col("n_e")), F.lit(1e-9))
@@ -133,7 +128,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` and ``__spans``: all spans as (kind, start, end, remove) by kind as listed, then start; terms come last."""
     lists = stash(disclosures(docs).groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("__telling")), "telling")
     base = with_base_spans(docs).withColumns(dict(zip(("__k1", "__k2"), _keys(), strict=True)))
-    both = base.join(_small(lists), ["__k1", "__k2"], "left")
+    both = base.join(small(lists), ["__k1", "__k2"], "left")
     body = F.coalesce(F.col("text"), F.lit(""))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("__telling"), "|"), F.lit(r")(?!\p{L})"))
     both = both.withColumn("__p", pattern)

@@ -2,7 +2,7 @@
 
 import random
 
-from geoquarry.llm import decontamination as D
+from geoquarry.llm import common, decontamination as D
 
 ITEMS = [(1, " ".join(f"alpha{i}" for i in range(40))), (2, " ".join(f"Beta{i}" for i in range(20))), (3, "too short"), (4, None), (1, " ".join(f"gamma{i}" for i in range(30)))]
 
@@ -42,5 +42,5 @@ def test_empty_tables(spark):
 def test_shuffle_joins_give_the_same(spark, monkeypatch):
     rows = [(i, f"x y z {ITEMS[i % 2][1]} q") for i in range(20)] + [(99, "nothing here at all to be found in this text")]
     want = sorted(run(spark, rows))
-    monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(run(spark, rows)) == want

@@ -70,6 +70,39 @@ def test_small_tables(spark):
     assert got == [(False, 3, 3, True), (False, 3, 3, True), (False, 9, 3, False), (True, None, None, True)]
 
 
+def test_repeated_ids_lose_no_text(spark):
+    v, u, z = "a b c d e f g h", "k l m n o p q", "r s t u v w"
+    rows = [(1, v, "x"), (2, v, "x"), (2, u, "x"), (2, u, "x"), (3, "", "x"), (3, None, "x"), (None, v, "x"), (4, z, "x"), (4, u, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of_text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).where("doc_id is not null").collect()))
+    assert got == sorted([(1, 4, 1), (2, 4, 1), (2, 3, 2), (2, 3, 2), (3, 0, 3), (3, 0, 3), (4, 2, 4), (4, 3, 2)])
+    kept = near_dedup.stage_near_dedup(spark, docs, "").collect()
+    assert sorted(map(str, kept)) == sorted(str(type(kept[0])(doc_id=i, text=t, of_text="x")) for i, t in [(1, v), (2, u), (4, z), (3, ""), (3, None), (None, v)])
+
+
+def test_one_large_component_meets_the_others_only(spark):
+    """Links between a large family and single texts that share its rare shingles are found under any head."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [" ".join(w if k != j else f"x{n}" for k, w in enumerate(base)) for n, j in enumerate(rng.randrange(80) for _ in range(120))]
+    rows += [" ".join(base[:58] + [f"q{n}-{k}" for k in range(n)]) for n in range(12, 30)]
+    rng.shuffle(rows)
+    check(spark, list(enumerate(rows)))
+
+
+def test_bands_find_links_at_the_threshold():
+    """At similarity 0.75 the chance to share no band, and to be dropped by the estimate, is negligible."""
+    assert (1 - 0.72**setsketch.ROWS) ** setsketch.BANDS < 1e-6
+    rng = np.random.default_rng(3)
+    low = []
+    for _ in range(300):
+        common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (600, 100, 100))
+        x, y = (setsketch.registers(np.concatenate([common, v])) for v in (a, b))
+        assert (setsketch.band_keys(x[None]) == setsketch.band_keys(y[None])).any()
+        low.append(setsketch.estimate(x[None], y[None], np.array([700.0]), np.array([700.0]))[0])
+    assert min(low) > 0.75 - near_dedup.SLACK and 0.75 - near_dedup.SLACK < 0.75 - 5 * np.std(low)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (6000, 1000, 1000))
