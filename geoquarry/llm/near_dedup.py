@@ -1,7 +1,7 @@
 """Near-duplicate groups by SetSketch banding with exact confirmation on the full shingle sets.
 
-1. Each row becomes its set of 5-word shingles and 192 SetSketch registers; equal sets become one class with a
-   number of its own and its smallest doc_id, so exact copies cost nothing later, however many there are.
+1. Each row becomes its set of 5-word shingles and 192 SetSketch registers; equal sets become one class, numbered
+   by its smallest doc_id, so exact copies cost nothing later, however many there are.
 2. Registers are banded. In each bucket every class is paired with the bucket's smallest class only (a star,
    never all pairs); the joint likelihood estimate drops hopeless pairs and full sets confirm the rest.
 3. Buckets that still hold classes of several components may hide links that no star tested. Their classes go
@@ -110,6 +110,7 @@ def _prefix_pairs(sets: DataFrame, member: DataFrame) -> DataFrame:
     count = token.groupBy("token").agg(F.count("*").alias("df"))
     ranked = token.join(count, "token").withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
     head = ranked.where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (PERCENT / 100) - 1e-9) + 1)).select("token", "rep", "component", "n", "pos")
+    head = stash(head, "heads")
     # under each token of several components, the one with most members meets the others but not itself
     held = head.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("big"), F.count("*").alias("components")).where("components > 1").select("token", "big")
     head = head.join(held, "token")
@@ -125,9 +126,14 @@ def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, of_text, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     rows = stash(sketches(docs), "sketches")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"))
-    # numbers are fixed by writing them; the doc_id would not tell classes apart where rows repeat it
-    reps = stash(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     repeats = rows.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count() > 0
+    if repeats:  # further classes of one doc_id get numbers under all doc_ids, fixed by writing them
+        low = rows.agg(F.least(F.min("doc_id"), F.lit(0))).first()[0] - 1
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_shingles", "k1", "k2")) == 1
+        classes = classes.withColumn("rep", F.when(first, F.col("doc_id")).otherwise(low - F.monotonically_increasing_id()))
+    else:
+        classes = classes.withColumn("rep", F.col("doc_id"))
+    reps = stash(classes, "classes")
     bands = reps.select("rep", "regs").mapInArrow(_bands, "bucket long, rep long")
     heads = bands.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("bucket", "head")
     shared = stash(bands.join(heads, "bucket").select("bucket", "head", "rep"), "buckets")
@@ -149,9 +155,12 @@ def _placed(docs: DataFrame) -> DataFrame:
         found = connected_components(links.unionByName(late))
     for x in (shared, sets, member, likely, links, late):
         unstash(x)
-    joined = found.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
-    named = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    owner = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(named, "component", "left").select("n_shingles", "k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id"))
+    owner = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k1", "k2", "doc_id", F.coalesce("component", "rep").alias("component"))
+    if repeats:
+        owner = owner.join(owner.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
+    else:  # the smallest number of a component is its smallest doc_id
+        owner = owner.withColumn("component_id", F.col("component"))
+    owner = owner.select("n_shingles", "k1", "k2", "component_id")
     out = rows.select("doc_id", "of_text", "n_shingles", "k1", "k2").join(owner, ["n_shingles", "k1", "k2"], "left")
     return out.select("doc_id", "of_text", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
