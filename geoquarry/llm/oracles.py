@@ -51,25 +51,22 @@ _KEEP = {
 
 
 def pii_sql() -> str:
-    blank = "{}"
-    for p in BASE.values():
-        blank = f"regexp_replace({blank}, '{p}', ' ', 'g')"
-    terms = "regexp_extract_all(lower({}), '\\p{{L}}{{3,}}')"
-    reach = 20 * pii.WINDOW
-    before = terms.format(blank.format(f"substr(text, greatest(s - {reach}, 0) + 1, s - greatest(s - {reach}, 0))"))
-    after = terms.format(blank.format(f"substr(text, e + 1, {reach})"))
+    terms = "regexp_extract_all(lower(text), '\\p{L}{3,}')"
     line = "kind || ':' || s || ':' || e"
+    clear = "NOT EXISTS (SELECT 1 FROM b WHERE b.text = r.text AND b.s < r.e AND r.s < b.e)"
     return (
         f"WITH d AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents), real AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), "
         f"b AS ({' UNION ALL '.join(_matches(k, i, p, 'd', 'text', _KEEP[k]) for i, (k, p) in enumerate(BASE.items()))}), "
-        f"near AS (SELECT text, kind || ':' || lower(v) AS entity, unnest(list_distinct(list_concat(list_reverse({before})[1:{pii.WINDOW}], {after}[1:{pii.WINDOW}]))) AS term FROM b), "
-        f"ne AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT text) AS n_e FROM b GROUP BY 1 HAVING count(DISTINCT text) >= {pii.SUPPORT}), "
-        f"net AS (SELECT entity, term, count(DISTINCT text) AS n_et FROM near GROUP BY 1, 2 HAVING count(DISTINCT text) >= {pii.SUPPORT}), "
-        f"nt AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct({terms.format('text')})) AS term FROM real) GROUP BY 1), "
-        f"tell AS (SELECT entity, term FROM net JOIN ne USING (entity) JOIN nt USING (term) WHERE 1 + log2(n_et / n_t) / greatest(log2((SELECT count(*) FROM real) / n_e), 1e-9) >= {pii.GENERALISE}), "
-        f"own AS (SELECT text, list(DISTINCT term) AS terms FROM tell JOIN (SELECT DISTINCT text, kind || ':' || lower(v) AS entity FROM b) USING (entity) GROUP BY 1), "
-        f"runs AS ({_matches('term', len(BASE), r'\p{L}+', 'own', 'text')}), "
-        f"told AS (SELECT runs.* FROM runs JOIN own USING (text) WHERE list_contains(terms, lower(v)) AND NOT EXISTS (SELECT 1 FROM b WHERE b.text = runs.text AND b.s < runs.e AND runs.s < b.e)), "
+        f"held AS (SELECT DISTINCT text FROM b), "
+        f"free AS (SELECT text, s, e, lower(v) AS term, row_number() OVER (PARTITION BY text ORDER BY s) AS rn FROM ({_matches('term', len(BASE), r'\p{L}{3,}', 'held', 'text')}) r WHERE {clear}), "
+        f"spot AS (SELECT b.text, kind || ':' || lower(b.v) AS entity, b.s, b.e, count(f.rn) AS r FROM b LEFT JOIN free f ON f.text = b.text AND f.e <= b.s GROUP BY ALL), "
+        f"near AS (SELECT DISTINCT spot.text, entity, term FROM spot JOIN free f ON f.text = spot.text AND f.rn BETWEEN r - {pii.WINDOW - 1} AND r + {pii.WINDOW}), "
+        f"ne AS (SELECT entity, count(DISTINCT text) AS n_e FROM spot GROUP BY 1), "
+        f"net AS (SELECT entity, term, count(*) AS n_et FROM near GROUP BY 1, 2), "
+        f"nt AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct({terms})) AS term FROM real) GROUP BY 1), "
+        f"tell AS (SELECT entity, term FROM net JOIN ne USING (entity) JOIN nt USING (term) WHERE 1 + log2(n_et / (n_t + 1)) / greatest(log2((SELECT count(*) FROM real) / n_e), 1e-9) >= {pii.GENERALISE}), "
+        f"own AS (SELECT DISTINCT text, term FROM tell JOIN (SELECT DISTINCT text, entity FROM spot) USING (entity)), "
+        f"told AS (SELECT r.* FROM ({_matches('term', len(BASE), r'\p{L}{3,}', '(SELECT DISTINCT text FROM own)', 'text')}) r JOIN own ON own.text = r.text AND own.term = lower(r.v) WHERE {clear}), "
         f"a AS (SELECT * FROM b UNION ALL SELECT * FROM told), "
         f"c AS (SELECT text, {', '.join(f'count(*) FILTER (kind = {k!r}) AS n_{k}' for k in BASE)}, string_agg({line}, ',' ORDER BY place, s) FILTER (kind <> 'term') AS base, string_agg({line}, ',' ORDER BY place, s) AS spans FROM a GROUP BY 1) "
         f"SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN c ON c.text = coalesce(documents.text, '')"

@@ -43,13 +43,13 @@ def brute(texts):
         for k, s, e, v in base(t):
             entity = f"{k}:{v.lower()}"
             near[entity].add(t)
-            blank = lambda x: letters(__import__("functools").reduce(lambda y, p: re.sub(p, " ", y), BASE.values(), x))
-            for w in {*blank(t[max(0, s - 200) : s])[::-1][:10], *blank(t[e : e + 200])[:10]}:
-                joint[entity, w].add(t)
+            free = [m for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < z for _, a, z, _ in base(t))]
+            for m in [*[m for m in free if m.end() <= s][-10:], *[m for m in free if m.start() >= e][:10]]:
+                joint[entity, m.group().lower()].add(t)
     telling = defaultdict(set)
     for (entity, w), both in joint.items():
         n_e = len(near[entity])
-        if len(both) >= 3 and n_e >= 3 and 1 + math.log2(len(both) / len(has[w])) / max(math.log2(len(distinct) / n_e), 1e-9) >= 0.8:
+        if 1 + math.log2(len(both) / (len(has[w]) + 1)) / max(math.log2(len(distinct) / n_e), 1e-9) >= 0.8:
             for t in near[entity]:
                 telling[t].add(w)
     out = {}
@@ -96,6 +96,40 @@ def test_disclosing_terms(spark, tmp_path):
     assert sum("term:" in r.spans for r in got) == 28
 
 
+def test_an_entity_in_one_text_is_assessed(spark, tmp_path):
+    """A word that stands nowhere else, next to an address that stands nowhere else, is told; a common one is not."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(300)]
+    rows.append((300, f"{rows[0][1]} zweifelhuber someone@town.example.org {rows[1][1]}"))
+    (own,) = [r.spans for r in check(spark, rows, tmp_path) if r.doc_id == 300]
+    at = rows[300][1].index("zweifelhuber")
+    assert own.split(",")[1:] == [f"term:{at}:{at + 12}"]
+
+
+def test_the_window_counts_terms(spark, tmp_path):
+    """Ten terms on either side however far they reach, none beyond them."""
+    far = " ".join(f"{'1' * 60} farword{c}" for c in "abcdefghijkl")
+    rows = [(i, f"filler text number {i}") for i in range(200)] + [(200, f"{far} me@x.example.org {far.replace('far', 'post')}")]
+    (own,) = [r for r in check(spark, rows, tmp_path) if r.doc_id == 200]
+    assert own.spans.count("term:") == 20
+
+
+def test_long_texts_full_of_spans(spark):
+    text = " ".join(f"user{i}@site{i}.example.org or 10.0.0.{i % 256} wrote" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.with_spans(docs).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[1]["__base"]] == [(k, s, e) for k, s, e, _ in base(text)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == " ".join(["[EMAIL] or [IP] wrote"] * 3000) and clean[2] == "nothing " * 20_000
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "call +1 (555) 555-0000 or a@b.org now", "x", 1, 2, 3)], "doc_id long, text string, __email string, __spans int, __k1 int, k1 int")
+    (row,) = pii.sanitise(docs).collect()
+    assert tuple(row) == (1, "call [PHONE] or [EMAIL] now", "x", 1, 2, 3)
+
+
 def test_given_documents(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = check(spark, rows, tmp_path)
