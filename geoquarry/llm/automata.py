@@ -5,6 +5,8 @@ The patterns are byte patterns with literals, classes, groups, ``|``, ``*``, ``+
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 _ESCAPES = {"n": 10, "t": 9, "r": 13}
@@ -199,7 +201,7 @@ class Dfa:
                 break
         return end
 
-    @property
+    @cached_property
     def dead(self) -> list | None:
         """The state that never leads to a match, if there is one."""
         own = np.flatnonzero((self.table == np.arange(len(self.table))[:, None]).all(axis=1))

@@ -7,6 +7,9 @@ chunks and the idx1 index, entropy-decodes the intra frames and inverts the tran
 difference of neighbouring frames' histograms exceeds what the differences before it lead to expect; ``clips``
 gives them as timed rows.
 
+Files of others are read as well: any frame size, grey or colour (the luma counts), restart intervals, "rec " lists,
+index offsets from either base, or no index. Progressive and damaged frames are not decoded.
+
 Null texts count as empty; an empty payload is one frame of blanks. Equal texts give equal files. Rows may repeat,
 ids may be null, extra columns are ignored. Media that cannot be parsed gives no clips and null digests.
 """
@@ -14,9 +17,11 @@ ids may be null, extra columns are ignored. Media that cannot be parsed gives no
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -113,60 +118,100 @@ def avi(frames: list[bytes], width: int = WIDTH, height: int = HEIGHT, frame_ms:
     return chunk(b"RIFF", body)
 
 
+_VIDEO = re.compile(rb"[0-9][0-9]d[bc]", re.S)
+
+
+def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, begin of the body, size) of the chunks in a list."""
+    while at + 8 <= end:
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + 4], at + 8, size
+        at += 8 + size + (size & 1)
+
+
+def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Video chunks of a movi list in order, those in its "rec " lists included."""
+    for name, begin, size in _chunks(data, at, end):
+        if name == b"LIST" and data[begin : begin + 4] == b"rec ":
+            yield from _walk(data, begin + 4, min(begin + size, end))
+        elif _VIDEO.fullmatch(name):
+            yield name, begin, size
+
+
 def parse_avi(data: bytes) -> tuple[list[bytes], int]:
-    """The video frames named by the index, and milliseconds for each."""
+    """The first video stream's frames, as the index names them, and milliseconds for each.
+
+    Index offsets count from the movi list or from the file; without an index the list itself is walked.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index, frame_ms = 12, None, b"", FRAME_MS
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        kind = data[at + 8 : at + 12]
+    movi, index, frame_ms = None, b"", FRAME_MS
+    for name, begin, size in _chunks(data, 12, len(data)):
+        kind = data[begin : begin + 4]
         if name == b"LIST" and kind == b"hdrl":
-            frame_ms = int.from_bytes(data[at + 20 : at + 24], "little") // 1000
+            frame_ms = int.from_bytes(data[begin + 12 : begin + 16], "little") // 1000
         elif name == b"LIST" and kind == b"movi":
-            movi = at + 8
+            movi, last = begin, min(begin + size, len(data))
         elif name == b"idx1":
-            index = data[at + 8 : at + 8 + size]
-        at += 8 + size + (size & 1)
+            index = data[begin : begin + size]
     if movi is None:
         raise ValueError("no movi list")
     rows = np.frombuffer(index[: len(index) // 16 * 16], "<u4").reshape(-1, 4)
-    own = rows[rows[:, 0] == int.from_bytes(b"00dc", "little")]
-    return [data[movi + o + 8 : movi + o + 8 + n] for _, _, o, n in own.tolist()], frame_ms
+    own = [(n.to_bytes(4, "little"), o, k) for n, _, o, k in rows.tolist()]
+    own = [x for x in own if _VIDEO.fullmatch(x[0])]
+    if own:
+        name, offset, _ = own[0]
+        base = movi if data[movi + offset : movi + offset + 4] == name else 0
+        found = [(n, base + o + 8, k) for n, o, k in own]
+    else:
+        found = list(_walk(data, movi + 4, last))
+    if any(data[at - 8 : at - 4] != n or at + k > len(data) for n, at, k in found):
+        raise ValueError("the index does not fit the file")
+    return [data[at : at + k] for n, at, k in found if n == found[0][0]], frame_ms
 
 
 # -- decoding ------------------------------------------------------------------------------------------------------
 
 
 class _Tables:
-    """What the header of a grey baseline JPEG says: size, quantiser, and Huffman lookups by 16 bits."""
+    """What the header of a baseline JPEG says: size, components, quantiser, Huffman lookups by 16 bits, restart interval."""
 
     def __init__(self, head: bytes) -> None:
-        at, self.quant, tables = 2, {}, {}
+        at, quant, tables, parts, self.restart = 2, {}, {}, [], 0
         while at + 4 <= len(head):
             marker, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
             body = head[at + 4 : at + 2 + size]
             if marker == 0xDB:
                 while body:
-                    self.quant[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
+                    if body[0] >> 4:
+                        raise ValueError("8-bit quantisers are expected")
+                    quant[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
                     body = body[65:]
-            elif marker == 0xC0:
-                _, self.height, self.width, parts = struct.unpack(">BHHB", body[:6])
-                if parts != 1:
-                    raise ValueError("one component is expected")
-                self.own = self.quant_id = body[8]
+            elif marker in (0xC0, 0xC1):
+                _, self.height, self.width, count = struct.unpack(">BHHB", body[:6])
+                parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(count)]
+            elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("a baseline frame is expected")
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
                     tables[body[0]] = (body[1:17], body[17 : 17 + n])
                     body = body[17 + n :]
-            elif marker == 0xDD and any(body):
-                raise ValueError("restart intervals are not expected")
+            elif marker == 0xDD:
+                self.restart = int.from_bytes(body[:2], "big")
             elif marker == 0xDA:
-                ids = body[2]
+                coded = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
             at += 2 + size
-        self.q = self.quant[self.quant_id]
-        self.dc, self.ac = self._lookup(tables[ids >> 4]), self._lookup(tables[0x10 | ids & 15])
+        if not parts or len(coded) != len(parts) or not self.width or not self.height:
+            raise ValueError("one scan of all components is expected")
+        lookups = {k: self._lookup(t) for k, t in tables.items()}
+        #: of each component: samples across and down in a unit, DC lookup, AC lookup
+        self.parts = [(h, v, lookups[coded[i] >> 4], lookups[0x10 | coded[i] & 15]) for i, h, v, _ in parts]
+        if len(parts) == 1:
+            self.parts = [(1, 1, *self.parts[0][2:])]
+        self.dc, self.ac, self.q = self.parts[0][2], self.parts[0][3], quant[parts[0][3]]
+        if (self.parts[0][0], self.parts[0][1]) != (max(x[0] for x in self.parts), max(x[1] for x in self.parts)) or not all(h and v for h, v, _, _ in self.parts):
+            raise ValueError("the first component is expected in full")
         self.blocks = -(-self.width // 8) * -(-self.height // 8)
 
     @staticmethod
@@ -180,10 +225,13 @@ class _Tables:
 
 
 _tables: dict[bytes, _Tables] = {}
+_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 
-def _split(frame: bytes) -> tuple[_Tables, bytes]:
-    """The tables of a JPEG file and its scan without stuffing."""
+def _split(frame: bytes) -> tuple[_Tables, list[bytes]]:
+    """The tables of a JPEG file and the runs of its scan between restart markers, without stuffing."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG file")
     at = 2
     while frame[at + 1] != 0xDA:
         at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
@@ -193,7 +241,9 @@ def _split(frame: bytes) -> tuple[_Tables, bytes]:
         if len(_tables) > 64:
             _tables.clear()
         _tables[head] = _Tables(head)
-    return _tables[head], frame[at : frame.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
+    scan = frame[at : frame.rindex(b"\xff\xd9")]
+    runs = _RESTART.split(scan) if _tables[head].restart else [scan]
+    return _tables[head], [r.replace(b"\xff\x00", b"\xff") for r in runs]
 
 
 def _values(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -232,57 +282,72 @@ _COS = np.array([[(np.sqrt(0.5) if u == 0 else 1) * np.cos((2 * x + 1) * u * np.
 
 
 def decode_frame(frame: bytes) -> np.ndarray:
-    """Samples (height, width) of any grey baseline JPEG without restart markers."""
-    t, scan = _split(frame)
-    bits = int.from_bytes(scan, "big")
-    total, at, pred = len(scan) * 8, 0, 0
-
-    def look(n: int) -> int:
-        over = at + n - total
-        return (bits >> -over if over <= 0 else bits << over | (1 << over) - 1) & (1 << n) - 1
-
-    def signed(n: int) -> int:
-        v = look(n) if n else 0
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-    wide, high = -(-t.width // 8), -(-t.height // 8)
-    image = np.empty((high * 8, wide * 8))
-    for b in range(t.blocks):
-        own = np.zeros(64)
-        w = look(16)
-        size = int(t.dc[0][w])
-        at += int(t.dc[1][w])
-        pred += signed(size)
-        at += size
-        own[0], k = pred, 1
-        while k < 64:
-            w = look(16)
-            symbol = int(t.ac[0][w])
-            at += int(t.ac[1][w])
-            run, size = symbol >> 4, symbol & 15
-            if not size and run != 15:
-                break
-            k += run
-            if size:
-                own[k] = signed(size)
-                at += size
-            k += 1
-        grid = np.zeros(64)
-        grid[_ZIGZAG] = own * t.q
-        y, x = b // wide * 8, b % wide * 8
-        image[y : y + 8, x : x + 8] = _COS @ grid.reshape(8, 8) @ _COS.T
+    """Samples (height, width) of any baseline JPEG; of a colour frame, its first component (the luma)."""
+    t, runs = _split(frame)
+    wide, high = t.parts[0][0], t.parts[0][1]
+    across, down = -(-t.width // (8 * wide)), -(-t.height // (8 * high))
+    image, unit = np.empty((down * high * 8, across * wide * 8)), 0
+    for run in runs:
+        scan, at, pred = run + b"\xff" * 8, 0, [0] * len(t.parts)
+
+        def look(n: int) -> int:
+            i = at >> 3
+            if i > len(run) + 2:
+                raise ValueError("the scan ends early")
+            return int.from_bytes(scan[i : i + 5], "big") >> 40 - (at & 7) - n & (1 << n) - 1
+
+        def signed(n: int) -> int:
+            v = look(n) if n else 0
+            return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+        for _ in range(min(t.restart or across * down, across * down - unit)):
+            for p, (h, v, dc, ac) in enumerate(t.parts):
+                for y, x in product(range(v), range(h)):
+                    own = np.zeros(64)
+                    w = look(16)
+                    size, k = int(dc[0][w]), 1
+                    if not dc[1][w] or size > 15:
+                        raise ValueError("no such code")
+                    at += int(dc[1][w])
+                    pred[p] += signed(size)
+                    at += size
+                    own[0] = pred[p]
+                    while k < 64:
+                        w = look(16)
+                        symbol = int(ac[0][w])
+                        if not ac[1][w]:
+                            raise ValueError("no such code")
+                        at += int(ac[1][w])
+                        skip, size = symbol >> 4, symbol & 15
+                        if not size and skip != 15:
+                            break
+                        k += skip
+                        if size:
+                            own[k] = signed(size)
+                            at += size
+                        k += 1
+                    if p:
+                        continue
+                    grid = np.zeros(64)
+                    grid[_ZIGZAG] = own * t.q
+                    top, left = ((unit // across) * high + y) * 8, ((unit % across) * wide + x) * 8
+                    image[top : top + 8, left : left + 8] = _COS @ grid.reshape(8, 8) @ _COS.T
+            unit += 1
+    if unit != across * down:
+        raise ValueError("the scan ends early")
     return np.clip(np.floor(image + 0.5) + 128, 0, 255).astype(np.uint8)[: t.height, : t.width]
 
 
 def decode_blocks(frames: list[bytes]) -> np.ndarray:
-    """(frames, FRAME) values, one for each block; frames of one header are decoded in step."""
-    out = np.empty((len(frames), FRAME), np.uint8)
+    """(frames, blocks) values, one for each 8 x 8 block; frames are of one size, and those of one header are decoded in step."""
     split = [_split(f) for f in frames]
+    sizes = {(t.width, t.height) for t, _ in split}
+    if len(sizes) > 1:
+        raise ValueError("frames of one size are expected")
+    out = np.empty((len(frames), split[0][0].blocks if split else FRAME), np.uint8)
     for t in {id(t): t for t, _ in split}.values():
         own = [k for k, (x, _) in enumerate(split) if x is t]
-        if (t.width, t.height) != (WIDTH, HEIGHT):
-            raise ValueError("not a frame of this size")
-        flat = _flat(t, [split[k][1] for k in own])
+        flat = _flat(t, [split[k][1][0] for k in own]) if len(t.parts) == 1 and not t.restart else None
         out[own] = flat if flat is not None else [decode_frame(frames[k])[::8, ::8].ravel() for k in own]
     return out
 
@@ -309,6 +374,10 @@ def feature(blocks: np.ndarray, frame_ms: int) -> str:
     return f"frames={len(blocks)};shots=" + ",".join(f"{a * frame_ms}-{b * frame_ms}" for a, b in shots(blocks))
 
 
+#: What broken files raise somewhere in parsing or decoding.
+_DAMAGED = (ValueError, KeyError, IndexError, struct.error, OverflowError, UnboundLocalError)
+
+
 # -- columns -------------------------------------------------------------------------------------------------------
 
 
@@ -357,23 +426,21 @@ def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[np.
         for m in media:
             try:
                 parsed.append(parse_avi(m or b""))
-            except ValueError:
+            except _DAMAGED:
                 parsed.append(None)
+        out, at = [], 0
         try:
             blocks = decode_blocks([f for p in parsed if p for f in p[0]])
-        except (ValueError, KeyError, IndexError):  # some file is damaged: find out which
-            blocks, good = [], []
+            for p in parsed:
+                out.append(blocks[at : at + len(p[0])] if p else None)
+                at += len(p[0]) if p else 0
+        except _DAMAGED:  # some file is damaged or of another size: each by itself
+            out = []
             for p in parsed:
                 try:
-                    blocks.append(decode_blocks(p[0]) if p else np.zeros((0, FRAME), np.uint8))
-                    good.append(p)
-                except (ValueError, KeyError, IndexError):
-                    good.append(None)
-            parsed, blocks = good, np.concatenate(blocks)
-        out, at = [], 0
-        for p in parsed:
-            out.append(blocks[at : at + len(p[0])] if p else None)
-            at += len(p[0]) if p else 0
+                    out.append(decode_blocks(p[0]) if p else None)
+                except _DAMAGED:
+                    out.append(None)
         yield a, media, out, [p[1] if p else 0 for p in parsed]
 
 

@@ -88,7 +88,10 @@ def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, i
     data = (text or "").encode("utf-8", "surrogatepass")
     spans = scanner(rules).spans(data)
     if len(data) != len(text or ""):
-        points = {p: len(data[:p].decode("utf-8", "surrogatepass")) for s, _, e in spans for p in (s, e)}
+        points, at, count = {}, 0, 0
+        for p in sorted({p for s, _, e in spans for p in (s, e)}):
+            count += len(data[at:p].decode("utf-8", "surrogatepass"))
+            points[p], at = count, p
         spans = [(points[s], k, points[e]) for s, k, e in spans]
     return [(rules[k].kind, s, e) for s, k, e in spans]
 
