@@ -23,8 +23,6 @@ a null doc_id is kept with held_out false.
 
 from __future__ import annotations
 
-import pickle
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -35,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoquarry.llm.common import stash, table, unstash, worker_cache
+from geoquarry.llm.common import release_worker_cache, stash, table, unstash
 
 #: Labelled rows of each class that fitting may use.
 EXAMPLES = 2000
@@ -50,6 +48,8 @@ BATCH, BLOCK, LONG_SHARE = 128, 32, 0.1
 MARGIN = 1e-4
 #: Pseudo-votes of the base rate, and what keeps weights finite at distance 0.
 SHRINK, EPS = 1.0, 0.1
+#: Words whose places a worker keeps.
+WORDS = 80_000
 #: Examples that are returned as evidence.
 EVIDENCE = 5
 
@@ -71,7 +71,7 @@ _NOWHERE = np.zeros(0, np.int32)
 
 
 class _Places(dict):
-    """word -> places of its terms; keeps the words that are terms themselves."""
+    """word -> places of its terms; keeps WORDS words that are terms themselves."""
 
     def __init__(self, own: Vocabulary) -> None:
         super().__init__()
@@ -92,7 +92,9 @@ class _Places(dict):
     def __missing__(self, w: bytes) -> np.ndarray:
         out, i = self.begun(w), self.place(w)
         if i is not None:
-            out = self[w] = np.append(out, np.int32(i))
+            out = np.append(out, np.int32(i))
+            if len(self) < WORDS:
+                self[w] = out
         return out
 
 
@@ -313,10 +315,9 @@ def build_index(examples: Iterable[tuple[int, int, dict[int, int]]], vocabulary:
     return index
 
 
-def _shared[T](spark: SparkSession, value: T) -> tuple[Callable[[], T], Broadcast]:
-    """A function that gives ``value`` in any worker, which builds it once and lets it go with its cache."""
-    key, held = f"toxicity-{uuid.uuid4().hex}", spark.sparkContext.broadcast(pickle.dumps(value))
-    return lambda: worker_cache(key, lambda: pickle.loads(held.value)), held
+def _shared[T](spark: SparkSession, value: T) -> Broadcast[T]:
+    """A broadcast of what fitting has learnt, whose size the number of examples bounds; workers drop it with the stage that reads it."""
+    return spark.sparkContext.broadcast(value)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -330,9 +331,9 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([toxic.as_py()] * len(own), pa.int64())], ["term", "toxic"])
 
 
-def _vectors(shared: Callable[[], Vocabulary]) -> Callable:
+def _vectors(shared: Broadcast[Vocabulary]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared()
+        vocabulary = shared.value
         for batch in batches:
             counts = [vocabulary.count(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), pa.array([sorted(c) for c in counts], pa.list_(pa.int64())), pa.array([[c[i] for i in sorted(c)] for c in counts], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
@@ -340,9 +341,10 @@ def _vectors(shared: Callable[[], Vocabulary]) -> Callable:
     return run
 
 
-def _frequencies(shared: Callable[[], Vocabulary]) -> Callable:
+def _frequencies(shared: Broadcast[Vocabulary]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, rows = shared(), 0
+        release_worker_cache()
+        vocabulary, rows = shared.value, 0
         found = np.zeros(len(vocabulary), int)
         for batch in batches:
             for x in batch.column("text"):
@@ -369,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n1 + 1) + 1 / (n0 + 1)) + 1e-12)
     known_terms = by_term.select("term", z.alias("z")).toArrow().sort_by("term")
     vocabulary, z2 = Vocabulary(known_terms["term"].to_pylist()), 1 + np.square(known_terms["z"].to_numpy())
-    place, held = _shared(docs.sparkSession, vocabulary)
+    place = _shared(docs.sparkSession, vocabulary)
     df, rows = np.zeros(len(vocabulary)), 0
     if vocabulary:
         found = docs.select("text").mapInArrow(_frequencies(place), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
@@ -380,14 +382,21 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     rows = sample.mapInArrow(_vectors(place), "doc_id long, toxic long, terms array<long>, counts array<long>").toArrow().to_batches()
     index = build_index(((r["doc_id"].as_py(), r["toxic"].as_py(), dict(zip(r["terms"].as_py(), r["counts"].as_py(), strict=True))) for b in rows for r in b.to_struct_array()), vocabulary, idf, (known.get(0, 0), known.get(1, 0)))
     unstash(sample)
-    held.destroy()
+    place.destroy()
     return index
 
 
-def _scores(shared: Callable[[], Index]) -> Callable:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are scored at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH):
+            yield batch.slice(i, BATCH)
+
+
+def _scores(shared: Broadcast[Index]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared()
-        for batch in batches:
+        index = shared.value
+        for batch in _parts(batches):
             found = index.scores(batch.column("text").to_pylist())
             keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
             names = [n for n in batch.schema.names if n != "text"]
@@ -399,7 +408,7 @@ def _scores(shared: Callable[[], Index]) -> Callable:
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (doc_ids of the nearest examples) for every row of ``docs``."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    scored = flat.mapInArrow(_scores(_shared(docs.sparkSession, index)[0]), "doc_id long, held_out boolean, score double, evidence array<long>")
+    scored = flat.mapInArrow(_scores(_shared(docs.sparkSession, index)), "doc_id long, held_out boolean, score double, evidence array<long>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -408,10 +417,10 @@ def op3_toxicity_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-def _clean(shared: Callable[[], Index]) -> Callable:
+def _clean(shared: Broadcast[Index]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared()
-        for batch in batches:
+        index = shared.value
+        for batch in _parts(batches):
             keep = pa.array([s < 0.5 for s, _ in index.scores(batch.column("text").to_pylist())], pa.bool_())
             yield batch.filter(keep)
 
@@ -421,4 +430,4 @@ def _clean(shared: Callable[[], Index]) -> Callable:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the operator predicts toxic go; all others stay as they are."""
     index = fit(docs, table(spark, sf_dir, "labels"))
-    return docs.mapInArrow(_clean(_shared(spark, index)[0]), docs.schema)
+    return docs.mapInArrow(_clean(_shared(spark, index)), docs.schema)
