@@ -123,7 +123,7 @@ def _prefix_pairs(sets: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, of_text, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    """doc_id, of_text, n_shingles, component (its number, null without words or doc_id), component_id for every row of ``docs`` (doc_id, text)."""
     rows = stash(sketches(docs), "sketches")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"))
     repeats = rows.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count() > 0
@@ -160,9 +160,9 @@ def _placed(docs: DataFrame) -> DataFrame:
         owner = owner.join(owner.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
     else:  # the smallest number of a component is its smallest doc_id
         owner = owner.withColumn("component_id", F.col("component"))
-    owner = owner.select("n_shingles", "k1", "k2", "component_id")
+    owner = owner.select("n_shingles", "k1", "k2", "component", "component_id")
     out = rows.select("doc_id", "of_text", "n_shingles", "k1", "k2").join(owner, ["n_shingles", "k1", "k2"], "left")
-    return out.select("doc_id", "of_text", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "of_text", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,8 +184,9 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # two key columns of our own, so that columns of docs with such names stay as they are
     doc, of_text = fresh(docs, "doc"), fresh(docs, "of_text")
     keys = [F.col("doc_id").alias(doc), F.col("of_text").alias(of_text)]
-    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "of_text")).alias("first"))
-    gone = stash(placed.join(first, "component_id").where(F.struct("doc_id", "of_text") != F.col("first")).select(*keys).distinct(), "gone")
+    # by number: where doc_ids repeat, two components may share their smallest one
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "of_text")).alias("first"))
+    gone = stash(placed.join(first, "component").where(F.struct("doc_id", "of_text") != F.col("first")).select(*keys).distinct(), "gone")
     keyed = docs.select("*", F.col("doc_id").cast("long").alias(doc), F.xxhash64("text").alias(of_text))
     left = keyed.join(small(gone), [doc, of_text], "left_anti")
     twice = stash(placed.groupBy(*keys).count().where("count > 1").select(doc, of_text), "twice")

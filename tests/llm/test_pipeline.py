@@ -44,3 +44,28 @@ def test_clashing_columns_and_empty_input(spark):
             own = stage(spark, own, SF)
             assert own.columns == docs.columns, name
             assert own.count() <= source.count()
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Null texts and ids, empty and very long texts, repeated rows and ids, ties, and names that clash."""
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    story = "A plain little story about the sea and a boat that went out one day and came back the next morning."
+    rows = [
+        (None, None), (None, story), (1, None), (1, None), (2, ""), (2, " \n "), (3, story), (3, story), (4, story), (5, f"{story} Mail me at someone@example.org now or never again, as far as I can see from here."), (5, "Another text under the same id, quite unlike it."),
+        (6, "word " * 40_000), (7, f"x {benchmark} y"), (8, f"x {benchmark} y"), (9, "\u2581 \U0001f600 \x00 é"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, 2, "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, __k1 int, score int, of_text string")
+    got = {name: stage(spark, docs, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    texts = {name: sorted(((r.doc_id, r.text) for r in own), key=str) for name, own in got.items() if name != "pieces"}
+    assert texts["toxicity"] == sorted(rows, key=str)
+    # the two rows under 3 agree and collapse; 4 repeats their text; 8 repeats 7; 5 keeps both of its texts
+    want = [r for k, r in enumerate(rows) if k not in (7, 8, 13)]
+    assert texts["near_dedup"] == sorted(want, key=str)
+    assert texts["decontamination"] == sorted((r for r in rows if r[0] not in (7, 8)), key=str)
+    assert texts["pii"] == sorted(((i, t and t.replace("someone@example.org", "[EMAIL]")) for i, t in rows), key=str)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got["pii"])
+    segmenter = pieces.Segmenter(pieces.Vocabulary(pieces.default_path()))
+    assert sorted(((r.doc_id, segmenter.decode(r.ids)) for r in got["pieces"]), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+    assert all(r.round_trip for r in got["pieces"])
+    for name in texts:
+        assert got[name][0].asDict().keys() == set(docs.columns) and all((r["__k1"], r.score, r.of_text) == (1, 2, "z") for r in got[name])
