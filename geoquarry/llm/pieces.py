@@ -182,19 +182,25 @@ class Segmenter:
             out.append((total + delta, [i for k, f in enumerate(found) for i in swapped.get(k, f[0])]))
         return out
 
-    def scores(self, text: str | None, n: int) -> tuple[bytes, list[float], str]:
-        """Ids of the best segmentation as little-endian bytes, the scores of the n best, and what the ids decode to."""
+    def scores(self, text: str | None, n: int) -> tuple[bytes, list[float], list[int], str]:
+        """Ids of the best segmentation as little-endian bytes, scores and checksums of the ids of the n best, and what the ids decode to."""
         if not text:
-            return b"", [0.0], ""
+            return b"", [0.0], [0], ""
         units, found = self.best(text)
         _, scores, gaps, ids, texts = zip(*found, strict=True)
-        total = sum(scores)
-        deltas = [0.0]
+        total, best = sum(scores), b"".join(ids)
+        merged: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
         for k in heapq.nsmallest(n - 1, range(len(units)), key=gaps.__getitem__):
             if gaps[k] < np.inf:
                 own = self.n_best(units[k], n)
-                deltas = sorted((d + s - own[0][0] for d in deltas for s, _ in own), reverse=True)[:n]
-        return b"".join(ids), [total + d for d in deltas], b"".join(texts).decode("utf-8")[1:]
+                merged = sorted(((d + s - own[0][0], change + ((k, alt),) if j else change) for d, change in merged for j, (s, alt) in enumerate(own)), key=lambda x: -x[0])[:n]
+        crcs = [zlib.crc32(best)]
+        for _, change in merged[1:]:
+            parts = list(ids)
+            for k, alt in change:
+                parts[k] = struct.pack(f"<{len(alt)}I", *alt)
+            crcs.append(zlib.crc32(b"".join(parts)))
+        return best, [total + d for d, _ in merged], crcs, b"".join(texts).decode("utf-8")[1:]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.text.__getitem__, ids)).decode("utf-8")[1:]
@@ -215,15 +221,15 @@ def _encoder(path: str, n: int, with_ids: bool, cache_units: int) -> Callable:
                 pieces, crcs, scores, exact, ids_of = [], [], [], [], []
                 for x in part.column("text"):
                     text = x.as_py()
-                    ids, best, back = own.scores(text, n)
+                    ids, best, checks, back = own.scores(text, n)
                     pieces.append(len(ids) // 4)
-                    crcs.append(zlib.crc32(ids))
+                    crcs.append(checks)
                     scores.append(best)
                     exact.append(back == (text or ""))
                     if with_ids:
                         ids_of.append(np.frombuffer(ids, "<i4"))
-                columns = [part.column("doc_id"), pa.array(pieces, pa.int64()), pa.array(crcs, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_())]
-                names = ["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"]
+                columns = [part.column("doc_id"), pa.array(pieces, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_())]
+                names = ["doc_id", "n_pieces", "crcs", "scores", "round_trip"]
                 if with_ids:
                     columns, names = [*columns, pa.array(ids_of, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -232,8 +238,8 @@ def _encoder(path: str, n: int, with_ids: bool, cache_units: int) -> Callable:
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST, with_ids: bool = True, cache_units: int = CACHE_UNITS) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), scores (of the n best), round_trip, ids."""
-    schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean" + ", ids array<int>" * with_ids
+    """doc_id, n_pieces, crcs (of the little-endian 32-bit ids of the n best, best first), scores (of the n best), round_trip, ids (of the best)."""
+    schema = "doc_id long, n_pieces long, crcs array<long>, scores array<double>, round_trip boolean" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(path, n, with_ids, cache_units), schema)
 
 
@@ -254,9 +260,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def op5_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode(table(spark, sf_dir, "documents"), default_path(), with_ids=False)
     margin = F.when(F.size("scores") > 1, F.get("scores", 0) - F.get("scores", 1))
-    return out.select("doc_id", "n_pieces", "ids_crc32", F.get("scores", 0).alias("score"), margin.alias("margin"), F.array_join(F.transform("scores", lambda s: s.cast("long").cast("string")), ",").alias("n_best"), "round_trip")
+    n_best = F.array_join(F.zip_with("scores", "crcs", lambda s, c: F.concat_ws(":", s.cast("string"), c.cast("string"))), ",")
+    return out.select("doc_id", "n_pieces", F.get("crcs", 0).alias("ids_crc32"), F.get("scores", 0).alias("score"), margin.alias("margin"), n_best.alias("n_best"), "round_trip")
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of piece ids for every document; a smaller cache, as executors also hold what earlier stages left."""
-    return encode(docs, default_path(), n=2, cache_units=CACHE_UNITS // 4).select("doc_id", "n_pieces", "ids_crc32", F.get("scores", 0).alias("score"), "round_trip", "ids")
+    return encode(docs, default_path(), n=2, cache_units=CACHE_UNITS // 4).select("doc_id", "n_pieces", F.get("crcs", 0).alias("ids_crc32"), F.get("scores", 0).alias("score"), "round_trip", "ids")

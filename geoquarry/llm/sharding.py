@@ -22,6 +22,8 @@ from geoquarry.llm.common import stash, table, unstash
 SHARDS, SEED = 16, "shards-1"
 #: Rows that one bucket may be expected to hold.
 BUCKET_ROWS = 20_000
+#: Buckets that even a small table is cut into.
+LEAST_BUCKETS = 256
 
 
 def _fraction(*parts: Column | str) -> Column:
@@ -48,7 +50,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_
     )
     flat = stash(flat.withColumn("key", _fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))), "rows")
     total = flat.count()
-    buckets = total // bucket_rows + 1
+    # no task is to hold more than its share, however small the table
+    buckets = max(total // bucket_rows + 1, LEAST_BUCKETS)
     keyed = flat.withColumn("b", F.least(F.floor(F.col("key") * buckets), F.lit(buckets - 1)))
     # at most (sources seen) x (buckets) counts: a stratum never has more of them than rows
     counts = keyed.groupBy("stratum", "b").agg(F.count("*").alias("n"))

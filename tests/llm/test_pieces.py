@@ -1,7 +1,9 @@
 """N-best segmentation against all segmentations of short texts; exact round trips."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from geoquarry.llm import pieces
@@ -34,6 +36,8 @@ def test_n_best_equals_brute_force(segmenter):
         got = segmenter.encode(text, 5)
         assert [s for s, _ in got] == pytest.approx(want)
         assert segmenter.scores(text, 5)[1] == pytest.approx(want)
+        # checksums are of the segmentations themselves, best first
+        assert segmenter.scores(text, 5)[2] == [zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in got]
         assert all(segmenter.decode(ids) == text for _, ids in got)
         assert len({tuple(ids) for _, ids in got}) == len(got)
 
