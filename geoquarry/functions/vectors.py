@@ -44,14 +44,21 @@ def vector_hash(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import hashlib
 
     for s in vectors:
-        yield s.map(lambda v: None if v is None else hashlib.sha256((np.asarray(v, dtype=">f8") + 0.0).astype(">f8").tobytes()).hexdigest())
+        held = s.notna().to_numpy()
+        own = [np.asarray(v, dtype="f8") for v in s[held]]
+        flat = memoryview((np.concatenate([np.zeros(0), *own]) + 0.0).astype(">f8").tobytes())
+        ends = 8 * np.cumsum([0, *map(len, own)])
+        out = np.full(len(s), None, object)
+        out[held] = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+        yield pd.Series(out)
 
 
 @F.pandas_udf(StringType())
 def float64_hex(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The sixteen hex digits of a big-endian double."""
     for s in values:
-        yield s.map(lambda v: None if v is None or v != v else np.array(v, dtype=">f8").tobytes().hex())
+        digits = s.to_numpy(">f8").tobytes().hex()
+        yield pd.Series([digits[i : i + 16] for i in range(0, len(digits), 16)], dtype=object).where(s.notna().to_numpy(), None)
 
 
 def taxonomy_distance(a: str, b: str) -> Column:

@@ -225,7 +225,7 @@ _CONTACTS = ("websites", "phones", "emails")
 def _describe_sql(name: str, descriptions: dict[str, str], hidden: tuple[str, ...] = ()) -> str:
     columns = VIEWS[name][2]
     rows = " UNION ALL ".join(
-        f"SELECT '{c}' AS name, (SELECT CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof({c})) END FROM {name} LIMIT 1) AS type, {repr(descriptions[c]) if c in descriptions else 'NULL'} AS description, {c not in hidden} AS default_projection, {len(columns)} AS column_count, (SELECT count({c}) FROM {name}) AS filled"
+        f"SELECT '{c}' AS name, (SELECT CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof({c})) END FROM {name} LIMIT 1) AS type, {repr(descriptions[c]) if c in descriptions else 'NULL'} AS description, {c not in hidden} AS default_projection, {len(columns)} AS column_count"
         for c in columns
     )
     return f"{sql(name)} {rows}"
@@ -251,7 +251,7 @@ def _session(s, sf):
 ROOFS = "WITH last AS (SELECT property_id, max(cast(completion_date AS date)) AS d FROM permits WHERE improvement_type = 'Roofing' AND completion_date IS NOT NULL AND property_id IS NOT NULL GROUP BY property_id) SELECT count(*) AS roofs, count(*) FILTER (WHERE d < date '2001-08-01' - INTERVAL '2' YEAR) AS old, round(count(*) FILTER (WHERE d < date '2001-08-01' - INTERVAL '2' YEAR) * 100.0 / count(*), 3) AS share FROM last"
 TOP = "SELECT property_id, market_value FROM properties ORDER BY market_value DESC NULLS LAST, property_id LIMIT 5"
 _add("guarded_sql", lambda s, sf: sqlguard.run(_session(s, sf), "SELECT address_city, count(*) AS n, 'drop; -- no' AS note FROM properties /* update */ WHERE owner_name ILIKE '%1%' GROUP BY address_city;"), f"{PROPS} SELECT address_city, count(*) AS n, 'drop; -- no' AS note FROM properties WHERE owner_name ILIKE '%1%' GROUP BY 1")
-_add("guarded_sql_cap", lambda s, sf: sqlguard.run(_session(s, sf), "SELECT property_id FROM properties", 5000).agg(F.least(F.count("*"), F.lit(sqlguard.MAX_LIMIT)).alias("n")), f"{PROPS} SELECT least(count(*), 1000) AS n FROM properties")
+_add("guarded_sql_cap", lambda s, sf: sqlguard.run(_session(s, sf), "SELECT property_id FROM properties", 5000).agg(F.count("*").alias("n")), f"{PROPS} SELECT least(count(*), 1000) AS n FROM properties")
 _add("param_sql", lambda s, sf: sqlguard.run_trusted(_session(s, sf), "SELECT address_city, count(*) AS n FROM properties WHERE market_value >= :least AND county_name = :county GROUP BY address_city", least=2500.0, county="Lee"), f"{PROPS} SELECT address_city, count(*) AS n FROM properties WHERE market_value >= 2500 AND county_name = 'Lee' GROUP BY 1")
 _add("roof_age", lambda s, sf: sqlguard.run(_session(s, sf), ROOFS).withColumn("share", F.col("share").cast("double")), f"{PERMITS}, q AS ({ROOFS}) SELECT roofs, old, share::DOUBLE AS share FROM q")
 _add("sql_exemplars", lambda s, sf: sqlguard.run(_session(s, sf), TOP), f"{PROPS}, q AS ({TOP}) SELECT * FROM q")

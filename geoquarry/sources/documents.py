@@ -49,11 +49,9 @@ def valid_permits(docs: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, descriptions: dict[str, str], hidden: tuple[str, ...] = ()) -> DataFrame:
-    """name, type, description (null if unknown), default_projection, column_count, filled (rows that have a value) of a table's columns."""
+    """name, type, description (null if unknown), default_projection, column_count of a table's columns; from the schema alone, no row is read."""
     columns = [(f.name, f.dataType.simpleString(), descriptions.get(f.name), f.name not in hidden, len(df.schema)) for f in df.schema]
-    known = df.sparkSession.createDataFrame(columns, "name string, type string, description string, default_projection boolean, column_count long")
-    filled = df.agg(*(F.count(F.col(c)).alias(c) for c in df.columns)).unpivot([], df.columns, "name", "filled")
-    return known.join(F.broadcast(filled), "name")
+    return df.sparkSession.createDataFrame(columns, "name string, type string, description string, default_projection boolean, column_count long")
 
 
 def integrity_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:

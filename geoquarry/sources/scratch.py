@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; where that is unset, a temporary folder is set first."""
+    """A fresh path under ``spark.checkpoint.dir``; where that is unset, a folder of this machine, which local runs alone may use."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^,\]]+(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='geoquarry-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

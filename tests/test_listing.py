@@ -12,14 +12,41 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("query", ["SELECT 1", "with a as (select 1) select * from a;", "SELECT 'drop table x' AS y", 'SELECT "update" FROM t', "SELECT 1 -- delete\n", "SELECT regexp_replace(a, 'b', 'c') FROM t", "SELECT /* insert */ `set` FROM t", "SELECT 'it''s; fine'", r"SELECT 'a\'; drop'"])
-def test_accepted(query):
-    G.validate(query)
+def test_accepted(spark, query):
+    G.validate(spark, query)
 
 
 @pytest.mark.parametrize("query", ["", "DROP TABLE x", "SELECT 1; SELECT 2", "(SELECT 1)", "SELECT replace(a, 'b', 'c') FROM t", "WITH a AS (SELECT 1) INSERT INTO b SELECT 1", "SELECT 'open", "SELECT 1 /* open", "SELECT reflect('a', 'b')", "SELECT * FROM parquet.`/etc`", "SELECT * FROM `parquet`.`/etc`", "explain select 1"])
-def test_refused(query):
+def test_refused(spark, query):
     with pytest.raises(G.QueryRejected):
-        G.validate(query)
+        G.validate(spark, query)
+
+
+_CALL = "reflect('java.lang.System', 'getProperty', 'user.home')"
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        rf"SELECT r'\', {_CALL} AS x -- '", rf'SELECT R"\", {_CALL} AS x -- "', f"SELECT * FROM many WHERE id IN (SELECT {_CALL} FROM many)", f"WITH a AS (SELECT {_CALL} AS x) SELECT * FROM a", f"SELECT system.builtin.{_CALL}", f"SELECT (SELECT (SELECT {_CALL}))",
+        "SELECT try_reflect('java.lang.System', 'exit', 1)", "SELECT * FROM many WHERE EXISTS (SELECT * FROM csv.`/etc/passwd`)", "WITH a AS (SELECT * FROM json.`/etc/passwd`) SELECT * FROM a", "SELECT (SELECT max(value) FROM text.`/etc/passwd`)", "/* a /* b */ DROP TABLE t */ DROP TABLE t",
+        "FROM many INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT *", "WITH a AS (SELECT 1) FROM a INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT *", "SELECT TRANSFORM(id) USING 'cat' FROM many", "SELECT * FROM other.many", "SELECT * FROM read_files('/etc')",
+    ],
+)
+def test_ways_around_the_guard(spark, query):
+    spark.range(20).createOrReplaceTempView("many")
+    with pytest.raises(G.QueryRejected):
+        G.run(spark, query)
+
+
+def test_queries_of_every_make_run(spark):
+    spark.range(20).createOrReplaceTempView("many")
+    for query in (
+        "WITH a AS (SELECT * FROM many) SELECT count(*) FILTER (WHERE id > 1) AS n FROM a GROUP BY id % 2 HAVING count(*) > 0 ORDER BY 1 LIMIT 3;", "SELECT id FROM many WHERE id IN (SELECT id FROM many) AND EXISTS (SELECT 1 FROM many) UNION ALL SELECT 1",
+        "SELECT rank() OVER w AS r FROM many WINDOW w AS (ORDER BY id)", "SELECT * FROM (VALUES (1, 2)) AS v(a, b)", "SELECT a.id FROM many a JOIN many b ON a.id = b.id WHERE a.id > (SELECT avg(id) FROM many)", "SELECT id FROM many LATERAL VIEW explode(array(1, 2)) x AS y",
+        "SELECT DISTINCT id FROM many EXCEPT SELECT 1", r"SELECT 'it\'s', r'\' AS b FROM many",
+    ):
+        assert G.run(spark, query).count() > 0, query
 
 
 def test_cap(spark):
