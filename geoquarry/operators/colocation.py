@@ -76,6 +76,18 @@ def size_guard(df: DataFrame, limit: int, what: str) -> DataFrame:
     return df
 
 
+def guarded_places(own: DataFrame) -> DataFrame:
+    """The places of an analysis, refused beyond MAX_PLACES with valid coordinates."""
+    size_guard(own.where(valid_coordinate()), MAX_PLACES, "places with coordinates")
+    return own
+
+
+def guarded_stages(all_cells: DataFrame, categories: DataFrame) -> None:
+    """Refuse more than MAX_CELLS cells or MAX_CATEGORIES categories, whose pairs are MAX_PAIRS at most."""
+    size_guard(all_cells, MAX_CELLS, "cells")
+    size_guard(categories, MAX_CATEGORIES, f"categories ({MAX_PAIRS} pairs)")
+
+
 def grid_of(own: DataFrame, size: int = 800) -> Grid:
     bounds = own.where(valid_coordinate()).agg(F.min("latitude"), F.max("latitude")).first()
     return grid_definition(size, bounds[0], bounds[1])

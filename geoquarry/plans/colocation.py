@@ -61,25 +61,39 @@ dist AS (SELECT x.category AS a, y.category AS b, greatest(0, least(1, 1 - list_
 sem AS (SELECT *, count(*) OVER (ORDER BY distance RANGE UNBOUNDED PRECEDING) AS reached, count(*) OVER () AS pairs FROM (SELECT a, b, round(distance, 9) AS distance FROM dist))"""
 
 
-_shared: dict[tuple[str, str, str], object] = {}
+#: Stages of the query that was asked for last; the next one starts without them, so rewritten tables are read anew.
+_stages: dict[tuple[str, str], object] = {}
 
 
 def _once(build):
-    """A stage that several steps of an analysis read: planned once for an application and a folder, and persisted.
+    """A stage that several steps of one query read: planned once and persisted for that query.
 
     What is persisted is an aggregate of the places (cells, categories, pairs) or the places of one county.
     """
 
     def run(spark: SparkSession, sf: str):
-        key = (spark.sparkContext.applicationId, sf, build.__name__)
-        if key not in _shared:
+        key = (sf, build.__name__)
+        if key not in _stages:
             found = build(spark, sf)
-            _shared[key] = tuple(x.persist() for x in found) if isinstance(found, tuple) else found.persist()
-        return _shared[key]
+            _stages[key] = tuple(x.persist() for x in found) if isinstance(found, tuple) else found.persist()
+        return _stages[key]
 
     return run
 
 
+def _fresh(run):
+    """The query with stages of its own; those of the query before it are let go."""
+
+    def asked(spark: SparkSession, sf: str) -> DataFrame:
+        for held in _stages.values():
+            for x in held if isinstance(held, tuple) else (held,):
+                x.unpersist()
+        _stages.clear()
+        return run(spark, sf)
+
+    return asked
+
+
 @_once
 def _grid(spark: SparkSession, sf: str):
     own = C.universe(view(spark, sf, "places"), "lee")
@@ -94,7 +108,7 @@ def _parts(spark: SparkSession, sf: str):
 
 
 def _add(name, run, oracle=None):
-    QUERIES[name] = run
+    QUERIES[name] = _fresh(run)
     if oracle:
         ORACLES[name] = f"WITH {oracle}"
 
@@ -161,7 +175,7 @@ def _preflight_sql(table: str, pair: bool) -> str:
 
 _add("coloc_preflight", lambda s, sf: _round(C.preflight(C.universe(view(s, sf, "places"), "lee"), A, B)), f"{_BASE} {_preflight_sql('own', True)}")
 _add("discovery_preflight", lambda s, sf: _round(C.preflight(C.universe(view(s, sf, "places"), "lee"))), f"{_BASE} {_preflight_sql('own', False)}")
-_add("size_guard", lambda s, sf: C.size_guard(C.universe(view(s, sf, "places"), "lee"), C.MAX_PLACES * 10, "places").groupBy("address_locality").agg(F.count("*").alias("n")), f"{_BASE} SELECT address_locality, count(*) AS n FROM own GROUP BY 1")
+_add("size_guard", lambda s, sf: C.guarded_places(C.universe(view(s, sf, "places"), "lee")).groupBy("address_locality").agg(F.count("*").alias("n")), f"{_BASE} SELECT address_locality, count(*) AS n FROM own GROUP BY 1")
 _add("coloc_cells", lambda s, sf: C.pair_cells(_grid(s, sf), A, B).orderBy("lat_idx", "lon_idx"), f"{_BASE}, {_PAIR} SELECT lat_idx, lon_idx, density, n_a, n_b, has_a, has_b FROM pb")
 _OBSERVED = "obs AS (SELECT count(*) AS n_cells, count(*) FILTER (has_a) AS cells_a, count(*) FILTER (has_b) AS cells_b, count(*) FILTER (has_a AND has_b) AS joint FROM pb)"
 _add("coloc_observed", lambda s, sf: _round(C.observed(C.pair_cells(_grid(s, sf), A, B))), f"{_BASE}, {_PAIR}, {_OBSERVED} SELECT *, round(cells_a * cells_b / n_cells, 6) AS expected, round(joint * n_cells / (cells_a * cells_b), 6) AS lift FROM obs")
@@ -178,24 +192,28 @@ _add(
 
 
 def _analyze_pair(s, sf):
-    """Observed statistics, null, taxonomy and vector distance of one pair, in one row."""
-    own = _grid(s, sf)
+    """Observed statistics, null, taxonomy and vector distance of one pair, in one row; refused beyond the bounds on places, cells and categories."""
+    C.guarded_places(C.universe(view(s, sf, "places"), "lee"))
+    own, all_cells, _, categories = _parts(s, sf)
+    C.guarded_stages(all_cells, categories)
     pair = C.pair_cells(own, A, B)
     first = C.observed(pair).select("n_cells", "cells_a", "cells_b", "joint", "expected", "lift")
     null = C.permutation_null(pair, SEED).drop("observed")
     paths = C.modal_paths(own)
     a, b = (paths.where(F.col("category") == c).select(F.col("path").alias(f"path_{k}")) for k, c in (("a", A), ("b", B)))
-    out = first.join(null).join(a, how="left").join(b, how="left")
+    # one row at most: null where a category is not eligible or has no vector
+    apart = S.pair_distances(_vectors(s, sf, categories).where(F.col("category").isin(A, B))).select(F.col("distance").alias("vector_distance"))
+    out = first.join(null).join(a, how="left").join(b, how="left").join(apart, how="left")
     return _round(out.withColumn("taxonomy_distance", taxonomy_distance("path_a", "path_b")))
 
 
 _TAXONOMY = "CASE WHEN len(pa) > 0 AND len(pb_) > 0 THEN 1 - 2.0 * coalesce(list_position(list_transform(range(1, greatest(len(pa), len(pb_)) + 2), lambda i: coalesce(pa[i] = pb_[i], false)), false) - 1, 0) / (len(pa) + len(pb_)) END"
 _add(
     "analyze_pair", _analyze_pair,
-    f"{_BASE}, {_PAIR}, {_OBSERVED}, {_NULL}, {_PATHS}, two AS (SELECT (SELECT path FROM modal WHERE category = '{A}') AS path_a, (SELECT path FROM modal WHERE category = '{B}') AS path_b), "
+    f"{_BASE}, {_PAIR}, {_OBSERVED}, {_NULL}, {_SEM}, two AS (SELECT (SELECT path FROM modal WHERE category = '{A}') AS path_a, (SELECT path FROM modal WHERE category = '{B}') AS path_b), "
     "seg AS (SELECT *, string_split(path_a, '/') AS pa, string_split(path_b, '/') AS pb_ FROM two), "
     "nul AS (SELECT round(avg(null_joint), 6) AS null_mean, round(stddev_pop(null_joint), 6) AS null_deviation, round(CASE WHEN max(permutable) > 0 THEN (1 + count(*) FILTER (null_joint >= observed)) / 200 END, 6) AS p_value, round(max(observed) / nullif(avg(null_joint), 0), 6) AS conditioned_lift, max(permutable) AS permutable, max(fixed_strata) AS fixed_strata FROM nc) "
-    f"SELECT obs.*, round(cells_a * cells_b / n_cells, 6) AS expected, round(joint * n_cells / (cells_a * cells_b), 6) AS lift, nul.*, path_a, path_b, round({_TAXONOMY}, 6) AS taxonomy_distance FROM obs, nul, seg",
+    f"SELECT obs.*, round(cells_a * cells_b / n_cells, 6) AS expected, round(joint * n_cells / (cells_a * cells_b), 6) AS lift, nul.*, path_a, path_b, (SELECT round(distance, 6) FROM sem WHERE a = '{A}' AND b = '{B}') AS vector_distance, round({_TAXONOMY}, 6) AS taxonomy_distance FROM obs, nul, seg",
 )
 
 # -- all pairs ---------------------------------------------------------------------------------------------------------
@@ -293,16 +311,20 @@ _add("semantic_reference", lambda s, sf: _round(S.reference(s, _distances(s, sf)
 
 
 def _family(s, sf):
-    return S.frontier(_evidence(s, sf)).where("family").select("a", "b", "rank", "place")
+    """The family as a table of its own: FAMILY rows at most, so that the later steps start from them alone."""
+    found = S.frontier(_evidence(s, sf)).where("family").select("a", "b", "rank", "place")
+    return s.createDataFrame(found.collect(), found.schema)
 
 
 def _validated(s, sf):
     """The family's counts, exact null and Holm values on the validation half, and the guards on all cells."""
     own, all_cells, occupied, categories = _parts(s, sf)
-    incident = C.incidence(occupied, categories)
+    family = _family(s, sf)
+    # the family's categories alone: at most twice FAMILY of them
+    named = family.select(F.col("a").alias("category")).unionByName(family.select(F.col("b").alias("category"))).distinct()
+    incident = C.incidence(C.incidence(occupied, categories), named)
     half = C.split(all_cells, SPLIT_SEED).where("half = 'validation'").select("lat_idx", "lon_idx", "density")
     half_incident = incident.join(half.select("lat_idx", "lon_idx"), ["lat_idx", "lon_idx"], "left_semi")
-    family = _family(s, sf)
     seen = family.join(C.joint_counts(half_incident), ["a", "b"], "left").withColumn("joint", F.coalesce("joint", F.lit(0)).cast("long"))
     null = C.exact_null(half, half_incident, seen)
     tested = C.holm(seen.select("a", "b", "place").join(null, ["a", "b"]), "p", "place")
@@ -335,8 +357,10 @@ _add(
 
 
 def _discover_county(s, sf):
-    """Front end: guard the size, then discover; one row for each family pair with the census beside it."""
-    C.size_guard(C.universe(view(s, sf, "places"), "lee"), C.MAX_PLACES, "places")
+    """Front end: guard places, cells and categories (and so pairs), then discover; one row for each family pair with the census beside it."""
+    C.guarded_places(C.universe(view(s, sf, "places"), "lee"))
+    _, all_cells, _, categories = _parts(s, sf)
+    C.guarded_stages(all_cells, categories)
     return _round(_validated(s, sf).join(_census(s, sf).select("cells", "categories", F.col("reason").alias("empty_reason"))))
 
 

@@ -144,3 +144,38 @@ def test_areas(spark):
         assert {(r.area_id, r.id) for r in geo.area_join(points, df).collect()} == want
     finally:
         geo.BROADCAST_AREAS = before
+
+
+def test_guards_refuse_beyond_their_bounds(spark, monkeypatch):
+    from geoquarry.operators import colocation as C
+
+    places = spark.range(12).selectExpr("id", "cast(IF(id < 2, 91, 26) as double) as latitude", "cast(-82 as double) as longitude")
+    cells, categories = spark.range(5), spark.range(4)
+    monkeypatch.setattr(C, "MAX_PLACES", 10)  # two of the twelve have no valid coordinates
+    monkeypatch.setattr(C, "MAX_CELLS", 5)
+    monkeypatch.setattr(C, "MAX_CATEGORIES", 4)
+    assert C.guarded_places(places).count() == 12
+    C.guarded_stages(cells, categories)
+    monkeypatch.setattr(C, "MAX_PLACES", 9)
+    with pytest.raises(ValueError, match="refused"):
+        C.guarded_places(places)
+    for bound, least in (("MAX_CELLS", 4), ("MAX_CATEGORIES", 3)):
+        with monkeypatch.context() as m:
+            m.setattr(C, bound, least)
+            with pytest.raises(ValueError, match="refused"):
+                C.guarded_stages(cells, categories)
+    assert C.MAX_PAIRS == 256 * 255 // 2
+
+
+def test_rewritten_tables_are_read_anew(spark, tmp_path):
+    import shutil
+
+    from geoquarry import catalogue
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "d")
+    before = catalogue.QUERIES["cell_density"](spark, str(tmp_path / "d")).agg({"density": "sum"}).first()[0]
+    half = spark.read.parquet(f"{tmp_path}/d/lineitem.parquet").where("l_orderkey % 2 = 0").toPandas()
+    (tmp_path / "d" / "lineitem.parquet").chmod(0o644)
+    half.to_parquet(tmp_path / "d" / "lineitem.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    after = catalogue.QUERIES["cell_density"](spark, str(tmp_path / "d")).agg({"density": "sum"}).first()[0]
+    assert 0 < after < before
