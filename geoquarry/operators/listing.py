@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 500
@@ -38,10 +40,27 @@ def lookup(keys: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def shard_of(keys: DataFrame, shards: DataFrame, key: str) -> DataFrame:
-    """Keys with the shard whose range [from_parcel, to_parcel] holds them, in text order; null where none does."""
-    few = shards.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
-    side = F.broadcast(shards) if few else shards
-    return keys.join(side, F.col(key).between(F.col("from_parcel"), F.col("to_parcel")), "left").select(*keys.columns, "shard_index")
+    """Keys with the shard whose range [from_parcel, to_parcel] holds them, in text order; null where none does.
+
+    Ranges do not overlap. Up to BROADCAST_SHARDS of them are sorted once and searched by bisection in each task; more
+    are met by a range join.
+    """
+    known = shards.where("from_parcel is not null").select("from_parcel", "to_parcel", "shard_index").limit(BROADCAST_SHARDS + 1).collect()
+    if len(known) > BROADCAST_SHARDS:
+        return keys.join(shards, F.col(key).between(F.col("from_parcel"), F.col("to_parcel")), "left").select(*keys.columns, "shard_index")
+    known.sort(key=lambda r: r.from_parcel.encode())
+    low, high = (np.array([getattr(r, c).encode() for r in known], dtype=object) for c in ("from_parcel", "to_parcel"))
+    number = np.array([*(r.shard_index for r in known), 0])
+
+    @F.pandas_udf("int")
+    def holds(values: pd.Series) -> pd.Series:
+        own = values.fillna("").str.encode("utf-8").to_numpy(object)
+        at = np.searchsorted(low, own, side="right") - 1
+        inside = (at >= 0) & values.notna().to_numpy()
+        inside[inside] = own[inside] <= high[at[inside]]
+        return pd.Series(number[at]).astype("Int32").where(inside)
+
+    return keys.select(*keys.columns, holds(key).alias("shard_index"))
 
 
 def page_slices(shards: DataFrame, limit: int, offset: int) -> DataFrame:

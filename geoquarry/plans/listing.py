@@ -86,19 +86,37 @@ _add("get_property", lambda s, sf: (lambda p: L.lookup(_table(s, sf, "orders").s
 _SHARDS = "shards AS (SELECT (c_custkey // 64)::INT AS shard_index, min(parcel_identifier) AS from_parcel, max(parcel_identifier) AS to_parcel, count(*) AS count, CASE WHEN c_custkey // 64 % 9 = 4 THEN NULL ELSE 'shard-' || c_custkey // 64 END AS shard_cid FROM (SELECT *, cast(parcel_identifier as bigint) AS c_custkey FROM properties) GROUP BY c_custkey // 64)"
 
 
+#: Entries that one JSON document of a fixture holds at most.
+DOCUMENT = 1024
+
+
+def _bounded(number: str) -> F.Column:
+    """Groups of DOCUMENT neighbouring numbers, so that no document grows with the table."""
+    return F.floor(F.col(number).cast("long") / DOCUMENT).alias("part")
+
+
+def _layouts(s, sf):
+    """Manifests of several counties in one folder: flat ones, sharded ones, and ones without either."""
+    number, entry, ref = F.col("n_nationkey"), F.struct(F.col("n_name").alias("propertyId")), F.struct(F.col("n_nationkey").cast("int").alias("shardIndex"))
+    path = scratch(s, "layouts")
+    _table(s, sf, "nation").select(F.col("n_name").alias("county"), F.when(number % 3 == 0, F.array(ref)).alias("shards"), F.when(number % 3 == 1, F.array(entry, entry)).alias("entries")).write.json(path)
+    return D.layouts(D.read(s, path, "manifest_or_index")).select("county", "layout", F.coalesce(F.size("shards"), F.lit(0)).alias("shards"), F.coalesce(F.size("entries"), F.lit(0)).alias("entries"))
+
+
 def _shards(s, sf):
     """Range shards of parcels, written as a JSON index and read back."""
     own = view(s, sf, "properties").withColumn("shardIndex", F.expr("cast(cast(parcel_identifier as bigint) div 64 as int)"))
     refs = own.groupBy("shardIndex").agg(F.min("parcel_identifier").alias("fromParcel"), F.max("parcel_identifier").alias("toParcel"), F.count("*").cast("int").alias("count")).withColumn("shardCid", F.when(F.col("shardIndex") % 9 != 4, F.concat(F.lit("shard-"), "shardIndex")))
-    docs = refs.groupBy((F.col("shardIndex") % 8).alias("part")).agg(F.collect_list(F.struct("shardIndex", "fromParcel", "toParcel", "count", "shardCid")).alias("shards")).select(F.lit("lee").alias("county"), "shards")
+    docs = refs.groupBy(_bounded("shardIndex")).agg(F.collect_list(F.struct("shardIndex", "fromParcel", "toParcel", "count", "shardCid")).alias("shards")).select(F.lit("lee").alias("county"), "shards")
     path = scratch(s, "shard-index")
     docs.write.json(path)
-    read = D.read(s, path, "shard_index")
-    assert D.shards_or_flat(read) == "sharded"
-    return D.rows(read, "shard_index").select(F.col("shardIndex").alias("shard_index"), F.col("fromParcel").alias("from_parcel"), F.col("toParcel").alias("to_parcel"), F.col("count").cast("long").alias("count"), F.col("shardCid").alias("shard_cid"))
+    # a county that publishes the flat layout beside it
+    s.createDataFrame([("collier", [("p1", "1", "c1")])], "county string, entries array<struct<propertyId: string, parcelIdentifier: string, cid: string>>").write.mode("append").json(path)
+    return D.rows(D.layouts(D.read(s, path, "manifest_or_index")).where("layout = 'sharded'").drop("layout", "entries"), "shard_index").select(F.col("shardIndex").alias("shard_index"), F.col("fromParcel").alias("from_parcel"), F.col("toParcel").alias("to_parcel"), F.col("count").cast("long").alias("count"), F.col("shardCid").alias("shard_cid"))
 
 
 _add("shard_scan", _shards, f"{PROPS}, {_SHARDS} SELECT * FROM shards")
+_add("manifest_layouts", _layouts, "SELECT n_name AS county, CASE n_nationkey % 3 WHEN 0 THEN 'sharded' WHEN 1 THEN 'flat' ELSE 'unknown' END AS layout, (n_nationkey % 3 = 0)::INT AS shards, CASE WHEN n_nationkey % 3 = 1 THEN 2 ELSE 0 END AS entries FROM nation")
 _add("shard_range_join", lambda s, sf: L.shard_of(_table(s, sf, "orders").select("o_orderkey", F.lpad((F.col("o_custkey") * 2).cast("string"), 10, "0").alias("parcel")), _shards(s, sf), "parcel"), f"{PROPS}, {_SHARDS} SELECT o_orderkey, parcel, shard_index FROM (SELECT o_orderkey, lpad(cast(o_custkey * 2 as string), 10, '0') AS parcel FROM orders) LEFT JOIN shards ON parcel BETWEEN from_parcel AND to_parcel")
 _add("shard_page_slices", lambda s, sf: L.page_slices(_shards(s, sf), 500, 100), f"{PROPS}, {_SHARDS}, b AS (SELECT *, coalesce(sum(count) OVER (ORDER BY shard_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM shards) SELECT shard_index, greatest(100 - before, 0)::BIGINT AS start, least(600 - before, count)::BIGINT AS end FROM b WHERE before < 600 AND before + count > 100 AND shard_cid IS NOT NULL")
 
@@ -106,7 +124,7 @@ _add("shard_page_slices", lambda s, sf: L.page_slices(_shards(s, sf), 500, 100),
 def _manifest(s, sf):
     """A flat manifest with sizes and digests, written as JSON and read back."""
     entry = F.struct(F.col("property_id").alias("propertyId"), F.col("parcel_identifier").alias("parcelIdentifier"), F.concat("property_id", F.lit(".json")).alias("filePath"), F.sha2("owner_name", 256).alias("sha256"), "cid", F.length("owner_name").cast("long").alias("fileSizeBytes"))
-    docs = view(s, sf, "properties").groupBy(F.lower("county_name").alias("county"), F.col("address_city").alias("part")).agg(F.collect_list(entry).alias("entries")).drop("part")
+    docs = view(s, sf, "properties").groupBy(F.lower("county_name").alias("county"), "address_city", _bounded("parcel_identifier")).agg(F.collect_list(entry).alias("entries")).select("county", "entries")
     path = scratch(s, "manifest")
     docs.write.json(path)
     return D.rows(D.read(s, path, "manifest"), "manifest")
@@ -134,7 +152,7 @@ _add("integrity_audit", _integrity, "SELECT n_name AS file_path, CASE WHEN n_nat
 def _geo_index(s, sf):
     entry = F.struct(F.col("parcel_identifier").alias("parcelIdentifier"), "latitude", "longitude", F.col("avm_value").alias("currentAvmValue"), F.col("property_type").alias("propertyType"))
     path = scratch(s, "geo-index")
-    view(s, sf, "properties").groupBy(F.col("county_name").alias("county"), "address_city").agg(F.collect_list(entry).alias("entries")).drop("address_city").write.json(path)
+    view(s, sf, "properties").groupBy(F.col("county_name").alias("county"), "address_city", _bounded("parcel_identifier")).agg(F.collect_list(entry).alias("entries")).select("county", "entries").write.json(path)
     return D.rows(D.read(s, path, "geo_index"), "geo_index")
 
 
@@ -209,9 +227,10 @@ def _catalog(s, sf):
         F.when(F.col("s_suppkey") % 10 == 7, F.concat(F.lit("Bad Key "), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("county-"), F.col("s_suppkey").cast("string"))).alias("countyKey"),
         F.when(F.col("s_suppkey") % 11 == 3, "fl").otherwise("FL").alias("stateCode"),
         F.lpad((F.col("s_suppkey") - (F.col("s_suppkey") % 13 == 5).cast("int")).cast("string"), 5, "1").alias("countyFips"),
+        "s_suppkey",
     )
     path = scratch(s, "catalog")
-    own.groupBy("stateCode").agg(F.collect_list(F.struct("countyKey", "stateCode", "countyFips")).alias("counties")).select(F.lit("r").alias("revision"), "counties").write.json(path)
+    own.groupBy("stateCode", _bounded("s_suppkey")).agg(F.collect_list(F.struct("countyKey", "stateCode", "countyFips")).alias("counties")).select(F.lit("r").alias("revision"), "counties").write.json(path)
     return D.rows(D.read(s, path, "catalog"), "catalog").select(F.col("countyKey").alias("county_key"), F.col("stateCode").alias("state_code"), F.col("countyFips").alias("county_fips"))
 
 

@@ -11,6 +11,7 @@ SCHEMAS = {
     "geo_index": "county string, entries array<struct<parcelIdentifier: string, latitude: double, longitude: double, currentAvmValue: double, propertyType: string>>",
     "manifest": "county string, entries array<struct<propertyId: string, parcelIdentifier: string, filePath: string, sha256: string, cid: string, fileSizeBytes: long>>",
     "shard_index": "county string, shards array<struct<shardIndex: int, fromParcel: string, toParcel: string, count: int, shardCid: string>>",
+    "manifest_or_index": "county string, shards array<struct<shardIndex: int, fromParcel: string, toParcel: string, count: int, shardCid: string>>, entries array<struct<propertyId: string, parcelIdentifier: string, cid: string>>",
     "shard": "shardIndex int, entries array<struct<propertyId: string, parcelIdentifier: string, cid: string, fileSizeBytes: long>>",
     "permit_cache": "parcelId string, harvestedAt string, permits array<struct<permitNumber: string, completionDate: string>>, _corrupt string",
     "catalog": "revision string, counties array<struct<countyKey: string, stateCode: string, countyFips: string>>",
@@ -37,9 +38,9 @@ def coverage_of(docs: DataFrame, county: str) -> DataFrame:
     return rows(docs.where(county_key(F.col("county")) == county), "coverage")
 
 
-def shards_or_flat(docs: DataFrame) -> str:
-    """``sharded`` for documents of the sharded layout, else ``flat``."""
-    return "sharded" if "shards" in docs.columns else "flat"
+def layouts(docs: DataFrame) -> DataFrame:
+    """Documents read as ``manifest_or_index`` with their layout: sharded where they list shards, else flat where they list entries, else unknown."""
+    return docs.withColumn("layout", F.when(F.col("shards").isNotNull(), "sharded").when(F.col("entries").isNotNull(), "flat").otherwise("unknown"))
 
 
 def valid_permits(docs: DataFrame) -> DataFrame:
