@@ -5,6 +5,8 @@ Tables: functions (id, name, code, file_path) and chunks (function_id, chunk_ind
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ EXTENSIONS = ("js", "mjs", "cjs", "ts", "tsx")
 #: Queries that a batch search sends out at once, and distances that a task holds at once.
 BROADCAST_QUERIES = 100_000
 CELLS = 1 << 22
+VERSION = "at long, version string"
 
 
 def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -68,11 +71,21 @@ def valid_rows(functions: DataFrame, own_chunks: DataFrame, width: int) -> DataF
     return named.join(per.select(F.col("function_id").alias("id")), "id", "left_semi")
 
 
-def write(functions: DataFrame, own_chunks: DataFrame, path: str, width: int) -> None:
-    """Both tables in one new version folder; readers take a version when both are there."""
+def write(functions: DataFrame, own_chunks: DataFrame, path: str, width: int) -> str:
+    """Both tables as one new version below ``path``; it counts once its name is in the list of versions, which comes last."""
+    version, spark = uuid.uuid4().hex, functions.sparkSession
     good = valid_rows(functions, own_chunks, width)
-    good.write.parquet(f"{path}/functions")
-    own_chunks.join(good.select(F.col("id").alias("function_id")), "function_id", "left_semi").write.parquet(f"{path}/chunks")
+    good.write.parquet(f"{path}/{version}/functions")
+    kept = spark.read.schema(good.schema).parquet(f"{path}/{version}/functions")
+    own_chunks.join(kept.select(F.col("id").alias("function_id")), "function_id", "left_semi").write.parquet(f"{path}/{version}/chunks")
+    spark.createDataFrame([(time.time_ns(), version)], VERSION).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Functions and chunks of the last version that was written whole; half-written ones are never seen."""
+    last = spark.read.schema(VERSION).parquet(f"{path}/versions").orderBy(F.desc("at"), "version").first()
+    return tuple(spark.read.parquet(f"{path}/{last['version']}/{name}") for name in ("functions", "chunks"))
 
 
 def width_check(own_chunks: DataFrame, width: int) -> DataFrame:
@@ -92,7 +105,7 @@ def delete(functions: DataFrame, own_chunks: DataFrame, ids: DataFrame) -> tuple
 
 
 def incremental(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
-    """The next version: rows of unchanged files stay, rows of changed files come from ``new``; files without code are reported, not kept."""
+    """The next version: rows of unchanged files stay, rows of changed files come from ``new``; those without code carry an ``error``, and ``write`` leaves them out."""
     kept = old.join(changed, "file_path", "left_anti")
     fresh = new.join(changed, "file_path", "left_semi").withColumn("error", F.when(F.trim(F.coalesce("code", F.lit(""))) == "", "no code"))
     return kept.withColumn("error", F.lit(None).cast("string")).unionByName(fresh)

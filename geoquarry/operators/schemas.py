@@ -9,6 +9,8 @@ COMBINATORS = ("oneOf", "allOf", "anyOf")
 #: Properties that carry plumbing, not content.
 DROPPED = ("source_http_request",)
 _PROPERTY = "map<string, struct<description: string, deprecated: boolean, enum: array<string>>>"
+#: Combinators in combinators that a search for one property follows.
+DEPTH = 4
 #: Depth 0 and 1 of a schema: its own properties and those of its combinators' members.
 SCHEMA = f"properties {_PROPERTY}, " + ", ".join(f"{c} array<struct<properties: {_PROPERTY}>>" for c in COMBINATORS)
 
@@ -39,16 +41,26 @@ def properties(schemas: DataFrame) -> DataFrame:
     parsed = schemas.select("cid", F.from_json("schema", SCHEMA).alias("s"))
     nodes = F.concat(F.array(F.col("s.properties")), *(F.transform(F.coalesce(F.col(f"s.{c}"), F.array().cast(f"array<struct<properties:{_PROPERTY}>>")), lambda m: m["properties"]) for c in COMBINATORS))
     flat = parsed.select("cid", F.posexplode(nodes).alias("position", "node")).select("cid", "position", F.explode("node").alias("property", "p"))
-    kept = flat.where(~F.coalesce("p.deprecated", F.lit(False)) & ~F.col("property").isin(*DROPPED))
+    kept = flat.where(~F.coalesce("p.deprecated", F.lit(False)) & ~F.lower("property").isin(*DROPPED))
     described = F.when(F.trim(F.coalesce("p.description", F.lit(""))) != "", F.col("position"))
     return kept.groupBy("cid", "property").agg(F.min_by("p.description", described).alias("description"), F.min_by("p.enum", "position").alias("enum"))
 
 
+def _nested(depth: int) -> str:
+    """Fields of a schema with combinators to the given depth."""
+    return f"properties {_PROPERTY}" + "".join(f", {c} array<struct<{_nested(depth - 1)}>>" for c in COMBINATORS if depth)
+
+
+def _nodes(s: Column, depth: int) -> Column:
+    """Properties of a schema, then those of its combinators' members, each with its own combinators before the next."""
+    below = (F.coalesce(F.flatten(F.transform(s[c], lambda m: _nodes(m, depth - 1))), F.array().cast(f"array<{_PROPERTY}>")) for c in COMBINATORS if depth)
+    return F.concat(F.array(s["properties"]), *below)
+
+
 def property_schema(schemas: DataFrame, name: str) -> DataFrame:
-    """cid, property, deprecated, enum of the first node that has the property, in any case, own properties first."""
-    parsed = schemas.select("cid", F.from_json("schema", SCHEMA).alias("s"))
-    nodes = F.concat(F.array(F.col("s.properties")), *(F.transform(F.coalesce(F.col(f"s.{c}"), F.array().cast(f"array<struct<properties:{_PROPERTY}>>")), lambda m: m["properties"]) for c in COMBINATORS))
-    flat = parsed.select("cid", F.posexplode(nodes).alias("position", "node")).select("cid", "position", F.explode("node").alias("property", "p")).where(F.lower("property") == name.strip().lower())
+    """cid, property, deprecated, enum of the first node that has the property, in any case, own properties first; combinators are followed DEPTH deep."""
+    parsed = schemas.select("cid", F.from_json("schema", _nested(DEPTH)).alias("s"))
+    flat = parsed.select("cid", F.posexplode(_nodes(F.col("s"), DEPTH)).alias("position", "node")).select("cid", "position", F.explode("node").alias("property", "p")).where(F.lower("property") == name.strip().lower())
     first = flat.groupBy("cid").agg(F.min_by(F.struct("property", "p"), "position").alias("hit"))
     return first.select("cid", F.col("hit.property").alias("property"), F.coalesce("hit.p.deprecated", F.lit(False)).alias("deprecated"), F.array_join("hit.p.enum", ",").alias("enum"))
 

@@ -69,7 +69,7 @@ _add(
 def _written(s, sf):
     path = scratch(s, "index")
     K.write(_functions(s, sf), _chunks(s, sf), path, 64)
-    return s.read.parquet(f"{path}/functions"), s.read.parquet(f"{path}/chunks")
+    return K.read(s, path)
 
 
 _GOOD = f"{_FUNCTIONS}, {_CHUNKS}, fit AS (SELECT function_id FROM chunks GROUP BY 1 HAVING count(*) = count(*) FILTER (len(vector) = 64)), good AS (SELECT * FROM functions WHERE name IS NOT NULL AND trim(coalesce(code, '')) <> '' AND id IN (SELECT function_id FROM fit))"

@@ -40,3 +40,25 @@ def test_batches_of_any_size(spark, monkeypatch):
         monkeypatch.setattr(K, "BROADCAST_QUERIES", limit)
         monkeypatch.setattr(K, "CELLS", cells)
         assert {(r.query_id, r.place): (r.function_id, r.chunk_index) for r in K.nearest_batch(chunks, queries, 5).collect()} == want
+
+
+def test_a_version_counts_once_it_is_whole(spark, tmp_path):
+    functions = spark.createDataFrame([(1, "a", "x = 1", "f.ts"), (2, "b", " ", "f.ts")], "id long, name string, code string, file_path string")
+    chunks = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [1.0, 2.0])], "function_id long, chunk_index int, vector array<double>")
+    first = K.write(functions, chunks, str(tmp_path), 2)
+    assert [r.id for r in K.read(spark, str(tmp_path))[0].collect()] == [1]
+    # a second version whose chunks and entry are missing
+    functions.write.parquet(f"{tmp_path}/half/functions")
+    assert [r.function_id for r in K.read(spark, str(tmp_path))[1].collect()] == [1]
+    second = K.write(functions.withColumn("id", F.col("id") + 10), chunks.withColumn("function_id", F.col("function_id") + 10), str(tmp_path), 2)
+    assert first != second and [r.id for r in K.read(spark, str(tmp_path))[0].collect()] == [11]
+
+
+def test_properties_are_found_in_nested_combinators(spark):
+    from geoquarry.operators import schemas as J
+
+    deep = '{"anyOf": [{"allOf": [{"oneOf": [{"properties": {"Area": {"deprecated": true, "enum": ["a", "b"]}}}]}]}], "properties": {"x": {}}}'
+    both = '{"oneOf": [{"properties": {"AREA": {"enum": ["late"]}}, "allOf": [{"properties": {"area": {"enum": ["later"]}}}]}], "properties": {"area": {"enum": ["own"]}}}'
+    docs = spark.createDataFrame([("1", deep), ("2", both), ("3", "{}"), ("4", None)], "cid string, schema string")
+    got = {r.cid: (r.property, r.deprecated, r.enum) for r in J.property_schema(docs, " area ").collect()}
+    assert got == {"1": ("Area", True, "a,b"), "2": ("area", False, "own")}
