@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from geoquarry.functions.geometry import in_box, in_polygon, valid_coordinate
 
-#: Areas are requests, not data; beyond this number they are joined by shuffle on a coarse grid.
-BROADCAST_AREAS = 10_000
-#: Degrees of that grid's cells.
-CELL = 1.0
+#: Degrees of the finest grid's cells.
+CELL = 1 / 64
 
 
 def validate_areas(areas: DataFrame) -> DataFrame:
@@ -34,18 +32,21 @@ def _bounds(areas: DataFrame) -> DataFrame:
 def area_join(points: DataFrame, areas: DataFrame) -> DataFrame:
     """Points (latitude, longitude, ...) with the id of every area that holds them.
 
-    Few areas are broadcast after their number is checked; many meet the points on a coarse grid instead.
+    Areas and points meet on grids whose cells double from CELL on: an area is on the grid where it covers four cells at
+    most, and a point on every grid that has areas (a few dozen exist), so no pair is tried that shares no cell.
     """
     own = points.where(valid_coordinate())
-    bounded = _bounds(areas)
+    span = F.greatest(F.col("hi_lat") - F.col("lo_lat"), F.col("hi_lon") - F.col("lo_lon"))
+    bounded = _bounds(areas).withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span, F.lit(CELL)) / CELL))).cast("int"))
+    levels = [r[0] for r in bounded.select("__level").distinct().collect()]
+
+    def cell(c: str) -> F.Column:
+        return F.floor(F.col(c) / (CELL * F.pow(F.lit(2.0), F.col("__level"))))
+
+    celled = bounded.withColumn("__lat", F.explode(F.sequence(cell("lo_lat"), cell("hi_lat")))).withColumn("__lon", F.explode(F.sequence(cell("lo_lon"), cell("hi_lon"))))
     inside = in_box(F.col("lo_lat"), F.col("hi_lat"), F.col("lo_lon"), F.col("hi_lon")) & (F.col("is_box") | in_polygon(F.col("ring")))
-    if bounded.limit(BROADCAST_AREAS + 1).count() <= BROADCAST_AREAS:
-        met = own.join(F.broadcast(bounded), inside)
-    else:
-        steps = {k: F.explode(F.sequence(F.floor(F.col(f"lo_{k}") / CELL), F.floor(F.col(f"hi_{k}") / CELL))) for k in ("lat", "lon")}
-        celled = bounded.withColumn("cell_lat", steps["lat"]).withColumn("cell_lon", steps["lon"])
-        met = own.withColumns({"cell_lat": F.floor(F.col("latitude") / CELL), "cell_lon": F.floor(F.col("longitude") / CELL)}).join(celled, ["cell_lat", "cell_lon"]).where(inside)
-    return met.select("area_id", *points.columns)
+    placed = own.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({"__lat": cell("latitude"), "__lon": cell("longitude")})
+    return placed.join(celled, ["__level", "__lat", "__lon"]).where(inside).select("area_id", *points.columns)
 
 
 def area_sums(points: DataFrame, areas: DataFrame, value: str) -> DataFrame:

@@ -301,11 +301,25 @@ def _digest_rows(s, sf):
     return vectors.withColumn("hash", vector_hash("vector"))
 
 
-_add("vector_hash", lambda s, sf: s.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", vector_hash(F.col("embedding").cast("array<double>")).alias("hash")))
-_add("float64_hex", lambda s, sf: view(s, sf, "places").select("gers_id", float64_hex("latitude").alias("latitude_hex")))
-_add("corpus_digest", lambda s, sf: S.corpus_digest(_digest_rows(s, sf), C.category_records(*(lambda p: (p[0], p[3]))(_parts(s, sf)))))
-_add("ledger_digest", lambda s, sf: S.ledger_digest(S.percentiles(_distances(s, sf)), _digest_rows(s, sf)))
-_add("semantic_reference", lambda s, sf: _round(S.reference(s, _distances(s, sf), _digest_rows(s, sf), C.category_records(*(lambda p: (p[0], p[3]))(_parts(s, sf))))))
+
+
+def _bits(x: str) -> str:
+    """The sixteen hex digits of a double in SQL: exponent by logarithm (put right where it was rounded), then the fraction."""
+    e = f"(floor(log2(abs({x}))) - (pow(2.0, floor(log2(abs({x})))) > abs({x}))::INT + (pow(2.0, floor(log2(abs({x}))) + 1) <= abs({x}))::INT)"
+    return f"CASE WHEN {x} = 0 THEN '0000000000000000' ELSE lpad(lower(hex((CASE WHEN {x} < 0 THEN 9223372036854775808 ELSE 0 END + ({e} + 1023)::HUGEINT * 4503599627370496 + ((abs({x}) / pow(2.0, {e}) - 1) * 4503599627370496)::HUGEINT)::UBIGINT)), 16, '0') END"
+
+
+_HASH = "sha256(unhex(array_to_string(list_transform({v}, lambda x: " + _bits("x") + "), '')))"
+_add("vector_hash", lambda s, sf: s.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", vector_hash(F.col("embedding").cast("array<double>")).alias("hash")), f"e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, {_HASH.format(v='v')} AS hash FROM e")
+_add("float64_hex", lambda s, sf: view(s, sf, "places").select("gers_id", float64_hex("latitude").alias("latitude_hex")), f"{sql('places')} SELECT gers_id, {_bits('latitude')} AS latitude_hex FROM places")
+_DIGESTS = f"""{_BASE}, {_SEM}, eh AS (SELECT category, {_HASH.format(v='vec')} AS hash FROM ev),
+cl AS (SELECT eh.category, '["' || eh.category || '","Overture category label: ' || replace(eh.category, '_', ' ') || '. Full taxonomy hierarchy: ' || path || '.","' || hash || '"]' AS line FROM eh JOIN elig USING (category) LEFT JOIN modal USING (category)),
+cd AS (SELECT count(*) AS categories, sha256(string_agg(line, chr(10) ORDER BY category) || chr(10)) AS digest FROM cl),
+ll AS (SELECT a, b, '["' || a || '","' || b || '","' || x.hash || '","' || y.hash || '","' || {_bits('distance')} || '","' || reached || '","' || pairs || '"]' AS line FROM sem JOIN eh x ON x.category = a JOIN eh y ON y.category = b),
+ld AS (SELECT count(*) AS pairs, sha256(string_agg(line, chr(10) ORDER BY a, b) || chr(10)) AS digest FROM ll)"""
+_add("corpus_digest", lambda s, sf: S.corpus_digest(_digest_rows(s, sf), C.category_records(*(lambda p: (p[0], p[3]))(_parts(s, sf)))), f"{_DIGESTS} SELECT * FROM cd")
+_add("ledger_digest", lambda s, sf: S.ledger_digest(S.percentiles(_distances(s, sf)), _digest_rows(s, sf)), f"{_DIGESTS} SELECT * FROM ld")
+_add("semantic_reference", lambda s, sf: _round(S.reference(s, _distances(s, sf), _digest_rows(s, sf), C.category_records(*(lambda p: (p[0], p[3]))(_parts(s, sf))))), f"{_DIGESTS}, qt AS (SELECT {', '.join(f'round(quantile_disc(distance, {q}), 6) AS p{int(q * 100)}' for q in S.QUANTILES)} FROM sem) SELECT qt.*, categories, cd.digest AS corpus_digest, ld.pairs, ld.digest AS ledger_digest FROM qt, cd, ld")
 
 # -- validation --------------------------------------------------------------------------------------------------------
 

@@ -139,11 +139,16 @@ def test_areas(spark):
     want = {(1, "p1"), (1, "p2"), (2, "p1")}
     assert {(r.area_id, r.id) for r in geo.area_join(points, df).collect()} == want
     assert {r.area_id: (r.total, r.n) for r in geo.area_sums(points, df, "value").collect()} == {1: (100.0, 2), 2: (100.0, 1)}
-    before, geo.BROADCAST_AREAS = geo.BROADCAST_AREAS, 0
-    try:
-        assert {(r.area_id, r.id) for r in geo.area_join(points, df).collect()} == want
-    finally:
-        geo.BROADCAST_AREAS = before
+    # areas of every size, the whole world and a single point among them, against all pairs
+    rng = __import__("random").Random(4)
+    spots = [(str(i), rng.uniform(-90, 90), rng.uniform(-180, 180), 1.0) for i in range(300)]
+    boxes = [(0, -90.0, 90.0, -180.0, 180.0, None), (1, spots[0][1], spots[0][1], spots[0][2], spots[0][2], None)]
+    for k in range(2, 60):
+        lat, lon, size = rng.uniform(-90, 80), rng.uniform(-180, 170), 2.0 ** rng.uniform(-7, 6)
+        boxes.append((k, lat, min(lat + size, 90.0), lon, min(lon + size * rng.random() + 0.001, 180.0), None))
+    got = {(r.area_id, r.id) for r in geo.area_join(spark.createDataFrame(spots, points.schema), spark.createDataFrame(boxes, df.schema)).collect()}
+    assert got == {(k, i) for i, lat, lon, _ in spots for k, x0, x1, y0, y1, _ in boxes if x0 <= lat <= x1 and y0 <= lon <= y1}
+    assert geo.area_join(points, df.limit(0)).count() == 0
 
 
 def test_guards_refuse_beyond_their_bounds(spark, monkeypatch):
