@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -86,6 +87,9 @@ def worker_cache[T](key: Hashable, build: Callable[[], T]) -> T:
 
 def release_worker_cache() -> None:
     """Let go of what an earlier stage kept in this worker: stages of one application share workers and their memory."""
-    if _held:
-        _held.clear()
-        gc.collect()
+    _held.clear()
+    gc.collect()
+    try:  # freed memory stays with the process until it is told to give it back
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

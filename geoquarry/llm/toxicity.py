@@ -49,7 +49,7 @@ MARGIN = 1e-4
 #: Pseudo-votes of the base rate, and what keeps weights finite at distance 0.
 SHRINK, EPS = 1.0, 0.1
 #: Words whose places a worker keeps.
-WORDS = 80_000
+WORDS = 50_000
 #: Examples that are returned as evidence.
 EVIDENCE = 5
 
