@@ -74,6 +74,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if stash_bytes(df) <= BROADCAST_BYTES else df
 
 
+#: Rows of one Arrow batch in stages that hand whole texts to Python.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most ARROW_ROWS rows at once to Python: texts are long, and JVM and worker each hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 _held: dict[Hashable, object] = {}
 
 

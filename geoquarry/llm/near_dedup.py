@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from geoquarry.llm import setsketch
-from geoquarry.llm.common import fresh, release_worker_cache, small, stash, table, unstash
+from geoquarry.llm.common import fresh, release_worker_cache, small, small_batches, stash, table, unstash
 from geoquarry.llm.components import connected_components
 from geoquarry.llm.shingles import WORDS, shingle_set
 
@@ -180,6 +180,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The row that stays has the group's smallest doc_id and, among those, the smallest hash of the text; rows that agree
     in both collapse to one.
     """
+    small_batches(spark)
     placed = stash(_placed(docs.select("doc_id", "text")).where("doc_id is not null and n_shingles > 0"), "placed")
     # two key columns of our own, so that columns of docs with such names stay as they are
     doc, of_text = fresh(docs, "doc"), fresh(docs, "of_text")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoquarry.llm.common import release_worker_cache, stash, table, unstash
+from geoquarry.llm.common import release_worker_cache, small_batches, stash, table, unstash
 
 #: Labelled rows of each class that fitting may use.
 EXAMPLES = 2000
@@ -429,5 +429,6 @@ def _clean(shared: Broadcast[Index]) -> Callable:
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the operator predicts toxic go; all others stay as they are."""
+    small_batches(spark)
     index = fit(docs, table(spark, sf_dir, "labels"))
     return docs.mapInArrow(_clean(_shared(spark, index)), docs.schema)
