@@ -48,8 +48,8 @@ BATCH, BLOCK, LONG_SHARE = 128, 32, 0.1
 MARGIN = 1e-4
 #: Pseudo-votes of the base rate, and what keeps weights finite at distance 0.
 SHRINK, EPS = 1.0, 0.1
-#: Words whose places a worker keeps.
-WORDS = 50_000
+#: Words whose places a worker keeps: in the query, and in the pipeline, whose executors also hold what other stages need.
+WORDS, STAGE_WORDS = 250_000, 50_000
 #: Examples that are returned as evidence.
 EVIDENCE = 5
 
@@ -71,11 +71,11 @@ _NOWHERE = np.zeros(0, np.int32)
 
 
 class _Places(dict):
-    """word -> places of its terms; keeps WORDS words that are terms themselves."""
+    """word -> places of its terms; keeps so many words that are terms themselves."""
 
     def __init__(self, own: Vocabulary) -> None:
         super().__init__()
-        self.place = own.get
+        self.place, self.most = own.get, own.keep
         #: from the longest on: length, and the places of a word beginning with those of its own beginnings
         self.stems: list[tuple[int, Callable[[bytes], np.ndarray | None]]] = []
         for k in sorted(PREFIXES):
@@ -93,7 +93,7 @@ class _Places(dict):
         out, i = self.begun(w), self.place(w)
         if i is not None:
             out = np.append(out, np.int32(i))
-            if len(self) < WORDS:
+            if len(self) < self.most:
                 self[w] = out
         return out
 
@@ -101,8 +101,9 @@ class _Places(dict):
 class Vocabulary(dict):
     """term -> place; counts the terms of a text without building those it does not hold."""
 
-    def __init__(self, terms: list[bytes]) -> None:
+    def __init__(self, terms: list[bytes], keep: int = WORDS) -> None:
         super().__init__((t, i) for i, t in enumerate(terms))
+        self.keep = keep
 
     @cached_property
     def of_word(self) -> _Places:
@@ -137,7 +138,7 @@ class Vocabulary(dict):
         return dict(zip(place.tolist(), n.astype(int).tolist(), strict=True))
 
     def __reduce__(self):
-        return Vocabulary, (list(self),)
+        return Vocabulary, (list(self), self.keep)
 
 
 class Postings:
@@ -356,7 +357,7 @@ def _frequencies(shared: Broadcast[Vocabulary]) -> Callable:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, keep: int = WORDS) -> Index:
     """Learn from at most ``examples`` training rows of each class; document frequencies cover all of ``docs``."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     order = [F.md5(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string"))), F.col("doc_id")]
@@ -370,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     pooled = (F.col("d1") + F.col("d0") + 1.0) / (n1 + n0 + 2)
     z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n1 + 1) + 1 / (n0 + 1)) + 1e-12)
     known_terms = by_term.select("term", z.alias("z")).toArrow().sort_by("term")
-    vocabulary, z2 = Vocabulary(known_terms["term"].to_pylist()), 1 + np.square(known_terms["z"].to_numpy())
+    vocabulary, z2 = Vocabulary(known_terms["term"].to_pylist(), keep), 1 + np.square(known_terms["z"].to_numpy())
     place = _shared(docs.sparkSession, vocabulary)
     df, rows = np.zeros(len(vocabulary)), 0
     if vocabulary:
@@ -430,5 +431,5 @@ def _clean(shared: Broadcast[Index]) -> Callable:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the operator predicts toxic go; all others stay as they are."""
     small_batches(spark)
-    index = fit(docs, table(spark, sf_dir, "labels"))
+    index = fit(docs, table(spark, sf_dir, "labels"), keep=STAGE_WORDS)
     return docs.mapInArrow(_clean(_shared(spark, index)), docs.schema)
