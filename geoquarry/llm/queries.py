@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoquarry.llm import decontamination, fill_in_middle, html_text, media, near_dedup, oracles, pieces, pii, secrets, sharding, token_files, toxicity, word_bpe
+from geoquarry.llm import decontamination, fill_in_middle, html_text, media, merkle, near_dedup, oracles, pieces, pii, secrets, sharding, token_files, toxicity, word_bpe
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_secret_automaton": secrets.op9_secret_automaton,
     "op10_token_id_files": token_files.op10_token_id_files,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_octopus_manifest": merkle.op12_octopus_manifest,
     "op13_speculative_bpe": word_bpe.op13_speculative_bpe,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,4 +28,5 @@ ORACLES = {
     "op8_spaced_seed_decontamination": decontamination.ORACLE,
     "op4_stratified_interleaving": sharding.ORACLE,
     "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_octopus_manifest": merkle.ORACLE,
 }
