@@ -25,7 +25,6 @@ null doc_id is kept; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import os
@@ -41,8 +40,8 @@ from geoquarry.llm.common import table, worker_cache
 
 #: Runs and words that one generation of the caches may hold, and the longest that is cached.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 48
-#: Rows and characters of texts that are encoded together.
-SLICE_ROWS, SLICE_CHARS = 500, 2_000_000
+#: Rows and bytes of texts that are encoded together.
+SLICE_ROWS, SLICE_BYTES = 500, 2_000_000
 #: Bytes as the visible characters that byte-level models hold: printable ones stand for themselves, the others follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -218,7 +217,6 @@ class Encoder:
         self.automaton.make_automaton()
         self.added = {t["content"]: t["id"] for t in added}
         self.by_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
-        self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         cut = json.dumps(own.get("pre_tokenizer") or {})
         steps = [s.get("type") for s in (own.get("normalizer") or {}).get("normalizers", [])]
         self.latin = json.dumps(_OWN_SPLIT) in cut and '"use_regex": false' in cut and steps == ["NFC", "Replace", "Lowercase"]
@@ -288,18 +286,30 @@ class Encoder:
         self.long = []
         return out
 
+
+class Decoder:
+    """The tokens' strings by id."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        known = own["model"]["vocab"] | {t["content"]: t["id"] for t in own.get("added_tokens", [])}
+        self.tokens: list[str | None] = [None] * (max(known.values(), default=-1) + 1)
+        for token, i in known.items():
+            self.tokens[i] = token
+
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' strings with spaces between; special tokens stay."""
         tokens = self.tokens
         return " ".join([t for i in ids.tolist() if i < len(tokens) and (t := tokens[i]) is not None])
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in parts of bounded rows and bytes of the text column; a longer text is a part of its own."""
-    size = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(text)), np.int64, batch.num_rows)
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded rows and bytes of a column; a longer value is a part of its own."""
+    size = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)), np.int64, batch.num_rows)
     begin, held = 0, 0
     for k, n in enumerate(size.tolist()):
-        if k > begin and (k - begin >= SLICE_ROWS or held + n > SLICE_CHARS):
+        if k > begin and (k - begin >= SLICE_ROWS or held + n > SLICE_BYTES):
             yield batch.slice(begin, k - begin)
             begin, held = k, 0
         held += n
@@ -312,44 +322,28 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, ids (binary, 32 bits each, little-endian) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = worker_cache(("word-bpe", path), lambda: Encoder(path))
         for batch in batches:
             for part in slices(batch):
-                raw = encoder.encode(part.column("text").to_pylist())
-                ends = np.cumsum([0, *map(len, raw)]) // 4
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encoder.encode(part.column("text").to_pylist()), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, text of every row of ``encoded`` (doc_id, ids)."""
+    """doc_id, ids, text of every row of ``encoded`` (doc_id, ids); null ids are no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        decoder = worker_cache(("word-bpe-tokens", path), lambda: Decoder(path))
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(k, SLICE_ROWS)
-                texts = [encoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in part.column("ids")]
+            for part in slices(batch, "ids"):
+                texts = [decoder.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else "" for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
-
-
-def id_digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of 32-bit little-endian ids), text of every row of ``encoded`` (doc_id, ids, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in batch.column("ids")]
-            columns = [batch.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in raw], pa.string()), batch.column("text")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "text"])
-
-    return encoded.select("doc_id", "ids", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def default_path() -> str:
@@ -360,5 +354,5 @@ def default_path() -> str:
 
 def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
-    done = id_digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
-    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    done = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
