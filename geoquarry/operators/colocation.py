@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoquarry.functions.geometry import Grid, grid_definition, stratum_id, valid_coordinate
+from geoquarry.operators.ranks import ranked
 
 # Bounds and names that enter results.
 PERMUTATIONS = 199
@@ -217,9 +218,10 @@ def pair_guard(pairs: DataFrame, joint: int = MIN_JOINT, lift: float = MIN_LIFT)
 
 
 def rank_pairs(pairs: DataFrame) -> DataFrame:
-    """Rank by z, zero-variance excess first, then names in locale order. The pairs were bounded by a guard."""
+    """Rank by z, zero-variance excess first, then names in locale order; pairs are ranked over range partitions."""
     score = F.when(F.col("zero_variance_excess"), F.lit(float("inf"))).otherwise(F.coalesce("z", F.lit(float("-inf"))))
-    return pairs.withColumn("rank", F.row_number().over(Window.orderBy(score.desc(), F.collate("a", "UNICODE"), F.collate("b", "UNICODE"))))
+    placed = ranked(pairs, [score.desc(), F.collate("a", "UNICODE").asc(), F.collate("b", "UNICODE").asc()], name="rank")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def split(all_cells: DataFrame, seed: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from geoquarry.operators.ranks import last_before, running_sum
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 500
-#: Shard references are a catalog; up to this number they are broadcast.
-BROADCAST_SHARDS = 100_000
 
 
 def text_or_null(c: str) -> Column:
@@ -40,33 +38,23 @@ def lookup(keys: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def shard_of(keys: DataFrame, shards: DataFrame, key: str) -> DataFrame:
-    """Keys with the shard whose range [from_parcel, to_parcel] holds them, in text order; null where none does.
+    """Keys with the shard whose range [from_parcel, to_parcel] holds them, in the order of the texts' bytes; null where none does.
 
-    Ranges do not overlap. Up to BROADCAST_SHARDS of them are sorted once and searched by bisection in each task; more
-    are met by a range join.
+    Keys and range starts are sorted together over many partitions, and each key takes the last range that starts before it,
+    from an earlier partition if need be. So where ranges overlap, a range ends where the next one starts, and of ranges with
+    one start the last by end and number counts. Null keys are in no shard.
     """
-    known = shards.where("from_parcel is not null").select("from_parcel", "to_parcel", "shard_index").limit(BROADCAST_SHARDS + 1).collect()
-    if len(known) > BROADCAST_SHARDS:
-        return keys.join(shards, F.col(key).between(F.col("from_parcel"), F.col("to_parcel")), "left").select(*keys.columns, "shard_index")
-    known.sort(key=lambda r: r.from_parcel.encode())
-    low, high = (np.array([getattr(r, c).encode() for r in known], dtype=object) for c in ("from_parcel", "to_parcel"))
-    number = np.array([*(r.shard_index for r in known), 0])
-
-    @F.pandas_udf("int")
-    def holds(values: pd.Series) -> pd.Series:
-        own = values.fillna("").str.encode("utf-8").to_numpy(object)
-        at = np.searchsorted(low, own, side="right") - 1
-        inside = (at >= 0) & values.notna().to_numpy()
-        inside[inside] = own[inside] <= high[at[inside]]
-        return pd.Series(number[at]).astype("Int32").where(inside)
-
-    return keys.select(*keys.columns, holds(key).alias("shard_index"))
+    own = F.struct(F.col("from_parcel").alias("low"), F.col("to_parcel").alias("high"), F.col("shard_index").alias("number"))
+    starts = shards.where("from_parcel is not null").select(F.col("from_parcel").alias("__at"), own.alias("__range"))
+    asked = keys.select(F.col(key).alias("__at"), F.struct(*keys.columns).alias("__asked"))
+    both = starts.unionByName(asked, allowMissingColumns=True)
+    met = last_before(both, "__range", [F.col("__at").asc_nulls_first(), F.col("__range").asc_nulls_last()], "__last")
+    return met.where("__asked is not null").select("__asked.*", F.when(F.col("__at") <= F.col("__last.high"), F.col("__last.number")).alias("shard_index"))
 
 
 def page_slices(shards: DataFrame, limit: int, offset: int) -> DataFrame:
     """shard_index, start, end of the rows that a page takes from each shard; shards without content still count."""
-    window = Window.orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.withColumn("before", F.coalesce(F.sum("count").over(window), F.lit(0)))
+    placed = running_sum(shards, "count", [F.col("shard_index").asc()], name="reached").withColumn("before", F.col("reached") - F.coalesce("count", F.lit(0)))
     start, end = F.greatest(F.lit(offset) - F.col("before"), F.lit(0)), F.least(F.lit(offset + limit) - F.col("before"), F.col("count"))
     return placed.where((F.col("before") < offset + limit) & (F.col("before") + F.col("count") > offset) & F.col("shard_cid").isNotNull()).select("shard_index", start.cast("long").alias("start"), end.cast("long").alias("end"))
 

@@ -70,3 +70,19 @@ def running_sum(df: DataFrame, value: str, order: Sequence[Column], within: Sequ
     local = Window.partitionBy(_PART, *within).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, 0)
     totals = _before(rows.groupBy(_PART, *within).agg(F.sum("__v").alias("__n")), within, "__n")
     return _met(rows.withColumn("__own", F.sum("__v").over(local)), totals, within).select(*df.columns, (F.col("__before") + F.col("__own")).alias(name))
+
+
+def last_before(df: DataFrame, value: str, order: Sequence[Column], name: str = "last") -> DataFrame:
+    """``df`` with ``name``: the last ``value`` that is not null among the row and all rows before it, null where there is none."""
+    rows = dealt(df, order)
+    local = Window.partitionBy(_PART).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.groupBy(_PART).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(_ROW))).alias("__last"))
+    # one row for each partition: the driver carries the values over
+    held, carried = None, []
+    for r in sorted(own.collect(), key=lambda r: r[_PART]):
+        carried.append((r[_PART], held))
+        held = r["__last"] if r["__last"] is not None else held
+    schema = StructType([own.schema[_PART], StructField("__before", own.schema["__last"].dataType)])
+    totals = df.sparkSession.createDataFrame(carried, schema)
+    found = rows.withColumn("__own", F.last(value, ignorenulls=True).over(local))
+    return _met(found, totals, ()).select(*df.columns, F.coalesce("__own", "__before").alias(name))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from geoquarry.functions.vectors import category_gloss, cosine_distance, float64_hex
 from geoquarry.operators import colocation as C
+from geoquarry.operators.ranks import running_sum
+from geoquarry.sources.scratch import stored
 
 QUANTILES = (0.0, 0.2, 0.5, 0.8, 0.9, 0.95, 1.0)
 
@@ -32,11 +34,12 @@ def to_reference(embeddings: DataFrame, reference: int = 0) -> DataFrame:
 def percentiles(distances: DataFrame) -> DataFrame:
     """Inclusive empirical distribution with ties: ``reached`` pairs are no farther, of ``pairs``.
 
-    Counts of distinct distances are summed, not rows, and the pairs are at most MAX_PAIRS.
+    Counts of distinct distances are summed over range partitions, so ties are one row and no task holds all distances.
     """
     counts = distances.groupBy("distance").agg(F.count("*").alias("n"))
-    running = counts.select("distance", F.sum("n").over(Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)).alias("reached"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("pairs"))
-    return distances.join(running, "distance").select("a", "b", "distance", "reached", "pairs", (F.col("reached") / F.col("pairs")).alias("percentile"))
+    running = running_sum(counts, "n", [F.col("distance").asc()])
+    total = counts.agg(F.sum("n").alias("pairs"))
+    return distances.join(running, "distance").join(F.broadcast(total)).select("a", "b", "distance", "reached", "pairs", (F.col("reached") / F.col("pairs")).alias("percentile"))
 
 
 def quantiles(distances: DataFrame) -> DataFrame:
@@ -56,8 +59,9 @@ def evidence(ranked: DataFrame, percentile: DataFrame) -> DataFrame:
 
 def frontier(evidence: DataFrame) -> DataFrame:
     """The first FRONTIER passing pairs in rank order; the first FAMILY of them are the family."""
-    placed = evidence.where("passed").withColumn("place", F.row_number().over(Window.orderBy("rank")))
-    return placed.where(F.col("place") <= C.FRONTIER).withColumn("family", F.col("place") <= C.FAMILY)
+    first = evidence.where("passed").orderBy("rank").limit(C.FRONTIER)
+    # a window over FRONTIER rows
+    return first.withColumn("place", F.row_number().over(Window.orderBy("rank"))).withColumn("family", F.col("place") <= C.FAMILY)
 
 
 def _digest(rows: DataFrame, line: list, keys: list[str]) -> F.Column:
@@ -90,19 +94,43 @@ def reference(spark: SparkSession, distances: DataFrame, hashed: DataFrame, reco
     return quantiles(distances).join(corpus).join(ledger)
 
 
-def pmf_rows(cells: DataFrame) -> DataFrame:
-    """stratum, overlap, probability on the support of each stratum, from a table of log-factorials."""
-    strata = cells.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if("has_a").alias("a"), F.count_if("has_b").alias("b"))
-    rows = strata.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("a") + F.col("b") - F.col("n")), F.least("a", "b"))).alias("overlap"))
+def log_factorials(spark: SparkSession, most: int) -> DataFrame:
+    """i, log_factorial for i from 0 to ``most``: one cumulative table, summed over range partitions."""
+    logs = spark.range(most + 1).select(F.col("id").alias("i"), F.when(F.col("id") > 1, F.log(F.col("id").cast("double"))).otherwise(0.0).alias("log"))
+    return running_sum(logs, "log", [F.col("i").asc()], name="log_factorial").drop("log")
 
-    def log_factorial(x: F.Column) -> F.Column:
-        return F.aggregate(F.filter(F.sequence(F.lit(0), x.cast("int")), lambda i: i > 1), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
 
-    def choose(x: F.Column, y: F.Column) -> F.Column:
-        return log_factorial(x) - log_factorial(y) - log_factorial(x - y)
+#: Numbers up to which the table of log-factorials is one broadcast array (8 bytes each).
+TABLE_NUMBERS = 100_000
 
-    k = F.col("overlap")
-    return rows.select("stratum", "n", "a", "b", "overlap", F.exp(choose(F.col("a"), k) + choose(F.col("n") - F.col("a"), F.col("b") - k) - choose(F.col("n"), F.col("b"))).alias("probability"))
+
+def pmf_rows(cells: DataFrame, broadcast_numbers: int = TABLE_NUMBERS) -> DataFrame:
+    """stratum, overlap, probability on the support of each stratum, from one cumulative table of log-factorials.
+
+    The table goes out as one array where it has at most ``broadcast_numbers`` numbers; a larger one is joined, once for each
+    number that a stratum or a row of its support needs.
+    """
+    sizes = cells.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if("has_a").alias("a"), F.count_if("has_b").alias("b"))
+    strata = stored(sizes, "strata")
+    most = strata.agg(F.max("n")).first()[0] or 0
+    table = log_factorials(cells.sparkSession, most)
+    if most < broadcast_numbers:
+        held = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "log_factorial"))), lambda x: x["log_factorial"]).alias("__logs"))
+        strata = strata.join(F.broadcast(held))
+
+    def met(rows: DataFrame, names: dict[str, F.Column]) -> DataFrame:
+        if most < broadcast_numbers:
+            return rows.withColumns({name: F.get("__logs", number.cast("int")) for name, number in names.items()})
+        for name, number in names.items():
+            rows = rows.withColumn("i", number.cast("long")).join(table.withColumnRenamed("log_factorial", name), "i").drop("i")
+        return rows
+
+    n, a, b, k = (F.col(c) for c in ("n", "a", "b", "overlap"))
+    rows = met(strata, {"__n": n, "__b": b, "__nb": n - b, "__a": a, "__na": n - a}).select("*", F.explode(F.sequence(F.greatest(F.lit(0), a + b - n), F.least("a", "b"))).alias("overlap"))
+    rows = met(rows, {"__k": k, "__ak": a - k, "__bk": b - k, "__rest": n - a - b + k})
+    # C(a, k) C(n - a, b - k) / C(n, b)
+    log = F.col("__a") - F.col("__k") - F.col("__ak") + F.col("__na") - F.col("__bk") - F.col("__rest") - F.col("__n") + F.col("__b") + F.col("__nb")
+    return rows.select("stratum", "n", "a", "b", "overlap", F.exp(log).alias("probability"))
 
 
 def magnitude(pairs: DataFrame, all_cells: DataFrame) -> DataFrame:
