@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from geoquarry.llm import near_dedup, setsketch
+from geoquarry.llm import components, near_dedup, setsketch
 from geoquarry.llm.components import connected_components
 from geoquarry.llm.shingles import shingle_set
 
@@ -122,3 +122,30 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {98: 98, 99: 98, 100: 98}
+
+
+def test_components_of_long_chains(spark):
+    """Ascending, descending, shuffled, with the two smallest at both ends; a hub of high number; settled in a logarithm of rounds."""
+    rng = random.Random(8)
+    n = 1000
+    orders = [list(range(n)), list(range(n))[::-1], rng.sample(range(n), n), [0, *rng.sample(range(2, n), n - 2), 1]]
+    edges = [(base * n + a, base * n + b) for base, order in enumerate(orders) for a, b in zip(order, order[1:], strict=False)]
+    edges += [(10 * n, 9 * n + i) for i in range(300)]
+    calls = []
+    stash = components.stash
+    components.stash = lambda df, name: calls.append(name) or stash(df, name)
+    try:
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        components.stash = stash
+    assert got == {**{base * n + i: base * n for base in range(4) for i in range(n)}, **{9 * n + i: 9 * n for i in range(300)}, 10 * n: 9 * n}
+    assert calls.count("parents") <= 2 * 14
+
+
+def test_versions_of_one_document(spark):
+    """Each of 120 versions shares nine tenths with the next; the smallest ids are at the two ends."""
+    words = [f"w{i}" for i in range(100 + 10 * 119)]
+    order = [0, *range(2, 120), 1]
+    docs = spark.createDataFrame([(i, " ".join(words[10 * k : 10 * k + 100])) for k, i in enumerate(order)], "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
