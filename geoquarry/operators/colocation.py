@@ -8,13 +8,16 @@ preflight and size guards reach the driver.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoquarry.functions.geometry import Grid, grid_definition, stratum_id, valid_coordinate
-from geoquarry.operators.ranks import ranked
+from geoquarry.operators.pairs import pair_sums
+from geoquarry.operators.ranks import ranked, running_sum
+from geoquarry.sources.scratch import stored
 
 # Bounds and names that enter results.
 PERMUTATIONS = 199
@@ -24,6 +27,8 @@ FRONTIER, FAMILY = 32, 5
 FULL_JOINT, FULL_SHARE = 50, 0.02
 MAX_PLACES, MAX_CELLS, MAX_CATEGORIES, MAX_PAIRS = 100_000, 20_000, 256, 32_640
 MAX_STATES, MAX_TRANSITIONS, EPSILON = 20_001, 5_000_000, 1e-12
+#: Distributions shorter than this are convolved directly, and so many at a time.
+DIRECT, FAN = 256, 16
 SPLIT_VERSION = "stratified-sha256-cell-split-v1"
 SEED_VERSION = "place-colocation-candidate-discovery-v1"
 
@@ -158,16 +163,22 @@ def permutation_null(own_cells: DataFrame, seed: str, rounds: int = PERMUTATIONS
     """Mean, deviation, one-sided p and conditioned lift of the joint count when B is dealt anew within strata.
 
     In each round the first B cells of a stratum by hash hold B. Strata whose overlap cannot vary add a constant and
-    are never expanded. Windows are by (round, stratum), so rounds spread over the cluster.
+    are never expanded. Rounds are dealt where a stratum's cells are, and a task sums each round before anything is
+    shuffled: what moves are the cells once, and one number for each round and task.
     """
     cell = own_cells.withColumns({"stratum": stratum_id(), "cell": F.concat_ws(":", "lat_idx", "lon_idx")})
     strata = cell.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if("has_a").alias("a"), F.count_if("has_b").alias("b"), F.count_if(F.col("has_a") & F.col("has_b")).alias("ab"))
     least = F.greatest(F.lit(0), F.col("a") + F.col("b") - F.col("n"))
     strata = strata.withColumns({"least": least, "varies": least < F.least("a", "b")})
-    loose = cell.join(strata.where("varies").select("stratum", "b"), "stratum")
-    dealt = loose.select("stratum", "cell", "has_a", "b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    order = Window.partitionBy("round", "stratum").orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col("round").cast("string"), "stratum", "cell"), 256), "cell")
-    joint = dealt.withColumn("r", F.row_number().over(order)).where((F.col("r") <= F.col("b")) & F.col("has_a")).groupBy("round").agg(F.count("*").alias("moved"))
+    # a stratum is one row with its cells (a block of 8 x 8 at most); it deals all rounds from them and tells each round's count
+    loose = cell.groupBy("stratum").agg(F.collect_list(F.struct("cell", "has_a")).alias("cells")).join(strata.where("varies").select("stratum", "b"), "stratum")
+
+    def moved(number: Column) -> Column:
+        hashed = F.transform("cells", lambda c: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), number.cast("string"), F.col("stratum"), c["cell"]), 256).alias("hash"), c["cell"].alias("cell"), c["has_a"].alias("has_a")))
+        return F.size(F.filter(F.slice(F.array_sort(hashed), 1, F.col("b").cast("int")), lambda c: c["has_a"]))
+
+    dealt = loose.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), moved)).alias("round", "moved"))
+    joint = dealt.groupBy("round").agg(F.sum("moved").alias("moved"))
     # one row of constants, and one row for each round
     fixed = strata.agg(F.coalesce(F.sum(F.when(~F.col("varies"), F.col("least"))), F.lit(0)).alias("fixed"), F.count_if("varies").alias("permutable"), F.count_if(~F.col("varies")).alias("fixed_strata"), F.coalesce(F.sum("ab"), F.lit(0)).alias("observed"))
     counts = own_cells.sparkSession.range(rounds).withColumnRenamed("id", "round").join(joint, "round", "left").join(F.broadcast(fixed)).withColumn("null_joint", F.coalesce("moved", F.lit(0)) + F.col("fixed"))
@@ -180,30 +191,27 @@ def permutation_null(own_cells: DataFrame, seed: str, rounds: int = PERMUTATIONS
 # -- all pairs -----------------------------------------------------------------------------------------------------
 
 
-def joint_counts(incident: DataFrame) -> DataFrame:
-    """a < b, joint: cells that hold both. A cell has at most (eligible categories)^2 / 2 pairs, a checked number."""
-    x, y = (incident.select("lat_idx", "lon_idx", F.col("category").alias(c)) for c in ("a", "b"))
-    return x.join(y, ["lat_idx", "lon_idx"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("joint"))
+def joint_counts(incident: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """a < b, joint: cells that hold both, by blocks of categories. ``categories`` are those of ``incident`` if none are given."""
+    ones = incident.select("lat_idx", "lon_idx", "category", F.lit(1).alias("n"), F.lit(1).alias("m"))
+    return pair_sums(ones, ["lat_idx", "lon_idx"], incident if categories is None else categories).select("a", "b", "joint")
 
 
-def pair_moments(all_cells: DataFrame, incident: DataFrame) -> DataFrame:
+def pair_moments(all_cells: DataFrame, incident: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """a < b, mean and variance of the joint count under independence within strata, summed over strata."""
     cell = all_cells.select("lat_idx", "lon_idx", stratum_id().alias("stratum"))
     strata = cell.groupBy("stratum").agg(F.count("*").alias("n"))
-    marginal = incident.join(cell, ["lat_idx", "lon_idx"]).groupBy("stratum", "category").agg(F.count("*").alias("m"))
-    x, y = (marginal.select("stratum", F.col("category").alias(c), F.col("m").alias(f"m_{c}")) for c in ("a", "b"))
-    n, a, b = F.col("n"), F.col("m_a"), F.col("m_b")
-    both = x.join(y, "stratum").where("a < b").join(strata, "stratum")
-    variance = F.when(n > 1, b * (a / n) * (1 - a / n) * (n - b) / (n - 1)).otherwise(0.0)
-    return both.groupBy("a", "b").agg(F.sum(a * b / n).alias("mean"), F.sum(variance).alias("variance"))
+    marginal = incident.join(cell, ["lat_idx", "lon_idx"]).groupBy("stratum", "category").agg(F.count("*").alias("m")).join(strata, "stratum")
+    return pair_sums(marginal, ["stratum"], incident if categories is None else categories).select("a", "b", "mean", "variance")
 
 
 def pair_stats(all_cells: DataFrame, incident: DataFrame) -> DataFrame:
     """Marginals, joint, lift, mean, variance, z (null at variance 0) and the zero-variance excess of each pair that meets."""
     n = all_cells.agg(F.count("*").alias("n_cells"))
-    marginal = incident.groupBy("category").agg(F.count("*").alias("m"))
+    # a category table: a few numbers for each category
+    marginal = stored(incident.groupBy("category").agg(F.count("*").alias("m")), "marginals")
     a, b = (marginal.select(F.col("category").alias(c), F.col("m").alias(f"cells_{c}")) for c in ("a", "b"))
-    out = joint_counts(incident).join(a, "a").join(b, "b").join(pair_moments(all_cells, incident), ["a", "b"]).join(F.broadcast(n))
+    out = joint_counts(incident, marginal).join(a, "a").join(b, "b").join(pair_moments(all_cells, incident, marginal), ["a", "b"]).join(F.broadcast(n))
     return out.withColumns(
         {
             "lift": F.col("joint") * F.col("n_cells") / (F.col("cells_a") * F.col("cells_b")),
@@ -266,7 +274,7 @@ def pmf(n: int, a: int, b: int) -> np.ndarray:
 
 
 def convolve_null(strata: list[tuple[int, int, int]], joint: int, states: int = MAX_STATES, transitions: int = MAX_TRANSITIONS) -> tuple[float | None, float | None, int, int, str | None]:
-    """(raw p, conservative p, states, transitions, reason) of strata (n, a, b); fails closed beyond the caps."""
+    """(raw p, conservative p, states, transitions, reason) of a few strata (n, a, b), folded one after another; what ``exact_null`` has to agree with."""
     distribution, used = np.ones(1), 0
     for n, a, b in strata:
         own = pmf(n, a, b)
@@ -281,6 +289,25 @@ def convolve_null(strata: list[tuple[int, int, int]], joint: int, states: int =
     return raw, min(1.0, raw + EPSILON), len(distribution), used, None
 
 
+def convolved(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distribution of a sum; by FFT where both are long."""
+    if min(len(x), len(y)) < DIRECT:
+        return np.convolve(x, y)
+    n = len(x) + len(y) - 1
+    size = 1 << (n - 1).bit_length()
+    return np.maximum(np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)[:n], 0)
+
+
+def powered(x: np.ndarray, times: int) -> np.ndarray:
+    """The distribution of the sum of ``times`` draws of one."""
+    out = np.ones(1)
+    while times:
+        if times & 1:
+            out = convolved(out, x)
+        x, times = (convolved(x, x), times >> 1) if times > 1 else (x, 0)
+    return out
+
+
 def stratum_marginals(all_cells: DataFrame, incident: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, stratum, n, m_a, m_b for each of the (few) pairs and each stratum."""
     cell = all_cells.select("lat_idx", "lon_idx", stratum_id().alias("stratum"))
@@ -292,16 +319,67 @@ def stratum_marginals(all_cells: DataFrame, incident: DataFrame, pairs: DataFram
     return out.select("a", "b", "stratum", "n", *(F.coalesce(f"m_{c}", F.lit(0)).alias(f"m_{c}") for c in "ab"))
 
 
-def exact_null(all_cells: DataFrame, incident: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact tail of the joint count under independence within strata for pairs (a, b, joint); one group for each pair."""
+def null_costs(strata: DataFrame, max_states: int = MAX_STATES, max_transitions: int = MAX_TRANSITIONS) -> DataFrame:
+    """a, b, states, transitions, reason (null within the caps) of folding each pair's strata one after another, without folding them.
+
+    Before a stratum there are 1 + (sum of the largest overlaps before) states; it adds one transition for each of them and each
+    overlap of its support. Both are running sums in the order of the strata. The first stratum over a cap ends the fold.
+    """
+    n, a, b = F.col("n"), F.col("m_a"), F.col("m_b")
+    largest = F.least(a, b)
+    rows = strata.withColumns({"largest": largest, "support": largest - F.greatest(F.lit(0), a + b - n) + 1})
+    rows = running_sum(rows, "largest", [F.col("stratum").asc()], ["a", "b"], "upto").withColumn("step", (F.col("upto") - F.col("largest") + 1) * F.col("support"))
+    rows = running_sum(rows, "step", [F.col("stratum").asc()], ["a", "b"], "transitions")
+    over = (F.col("upto") + 1 > max_states) | (F.col("transitions") > max_transitions)
+    ends = rows.groupBy("a", "b").agg(F.max("upto").alias("upto"), F.max("transitions").alias("used"), F.min(F.when(over, F.struct("transitions", (F.col("upto") - F.col("largest") + 1).alias("states")))).alias("stop"))
+    stopped = F.col("stop").isNotNull()
+    return ends.select("a", "b", F.when(stopped, F.col("stop.states")).otherwise(F.col("upto") + 1).alias("states"), F.when(stopped, F.col("stop.transitions")).otherwise(F.col("used")).alias("transitions"), F.when(stopped, "the exact null is over its computation cap").alias("reason"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("stratum")
-        raw, p, states, used, reason = convolve_null(list(zip(group.n, group.m_a, group.m_b, strict=True)), int(group.joint.iloc[0]))
-        return pd.DataFrame([[group.a.iloc[0], group.b.iloc[0], int(group.joint.iloc[0]), raw, p, states, used, reason]], columns=["a", "b", "joint", "raw_p", "p", "states", "transitions", "reason"])
 
-    rows = stratum_marginals(all_cells, incident, pairs).join(pairs.select("a", "b", "joint"), ["a", "b"])
-    return rows.groupBy("a", "b").applyInPandas(run, "a string, b string, joint long, raw_p double, p double, states long, transitions long, reason string")
+def null_distributions(strata: DataFrame, fan: int = FAN) -> DataFrame:
+    """a, b, shift, probs: the distribution of the joint count of each pair (a, b, stratum, n, m_a, m_b), from ``shift`` on.
+
+    A stratum whose overlap cannot vary only shifts. Of the others, those that agree in (n, m_a, m_b) are one power;
+    powers are then convolved ``fan`` at a time, level by level, so no group holds all strata of a pair.
+    """
+    n, a, b = F.col("n"), F.col("m_a"), F.col("m_b")
+    low = F.greatest(F.lit(0), a + b - n)
+    shifts = strata.groupBy("a", "b").agg(F.sum(low).alias("shift"))
+    alike = strata.where(low < F.least(a, b)).groupBy("a", "b", "n", "m_a", "m_b").agg(F.count("*").alias("times"))
+
+    def power(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            probs = [powered(pmf(r.n, r.m_a, r.m_b)[max(0, r.m_a + r.m_b - r.n) :], r.times) for r in part.itertuples()]
+            yield part[["a", "b"]].assign(slot=part["place"], probs=probs)
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        out = np.ones(1)
+        for probs in group.sort_values("slot")["probs"]:
+            out = convolved(out, np.asarray(probs))
+        return pd.DataFrame([[group["a"].iloc[0], group["b"].iloc[0], group["slot"].iloc[0] // fan, out]], columns=["a", "b", "slot", "probs"])
+
+    schema = "a string, b string, slot long, probs array<double>"
+    placed = ranked(alike, [F.col("n").asc(), F.col("m_a").asc(), F.col("m_b").asc()], ["a", "b"])
+    level = stored(placed.mapInPandas(power, schema), "powers")
+    left = (level.agg(F.max("slot")).first()[0] or 0) + 1
+    while left > 1:
+        level = stored(level.groupBy("a", "b", F.floor(F.col("slot") / fan)).applyInPandas(fold, schema), "folded")
+        left = -(-left // fan)
+    return shifts.join(level.drop("slot"), ["a", "b"], "left").select("a", "b", "shift", F.coalesce("probs", F.array(F.lit(1.0))).alias("probs"))
+
+
+def exact_null(all_cells: DataFrame, incident: DataFrame, pairs: DataFrame, max_states: int = MAX_STATES, max_transitions: int = MAX_TRANSITIONS) -> DataFrame:
+    """Exact tail of the joint count under independence within strata for pairs (a, b, joint); a pair over the caps has no p, and a reason."""
+    strata = stored(stratum_marginals(all_cells, incident, pairs), "strata")
+    costs = stored(null_costs(strata, max_states, max_transitions), "costs")
+    fit = strata.join(costs.where("reason is null").select("a", "b"), ["a", "b"], "left_semi")
+    rows = pairs.select("a", "b", F.col("joint").cast("long").alias("joint")).join(costs, ["a", "b"], "left").join(null_distributions(fit), ["a", "b"], "left")
+    rows = rows.withColumn("total", F.aggregate("probs", F.lit(0.0), lambda s, x: s + x))
+    tail = F.aggregate(F.slice("probs", F.greatest(F.lit(1), (F.col("joint") - F.col("shift") + 1).cast("int")), F.greatest(F.lit(0), (F.size("probs") - F.greatest(F.lit(0), F.col("joint") - F.col("shift"))).cast("int"))), F.lit(0.0), lambda s, x: s + x)
+    whole = F.abs(F.col("total") - 1) <= 1e-9
+    raw = F.when(whole, tail / F.col("total"))
+    reason = F.coalesce("reason", F.when(~whole, "the exact null does not sum to one"))
+    return rows.select("a", "b", "joint", raw.alias("raw_p"), F.when(raw.isNotNull(), F.least(F.lit(1.0), raw + EPSILON)).alias("p"), F.coalesce("states", F.lit(1)).cast("long").alias("states"), F.coalesce("transitions", F.lit(0)).cast("long").alias("transitions"), reason.alias("reason"))
 
 
 def holm(tests: DataFrame, p: str, order: str) -> DataFrame:

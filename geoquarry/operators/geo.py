@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from geoquarry.functions.geometry import in_box, in_polygon, valid_coordinate
+from geoquarry.sources.scratch import stored
 
 #: Degrees of the finest grid's cells.
 CELL = 1 / 64
+#: Points of one cell that may meet its areas in one task.
+HOT_CELL = 100_000
 
 
 def validate_areas(areas: DataFrame) -> DataFrame:
@@ -29,11 +32,12 @@ def _bounds(areas: DataFrame) -> DataFrame:
     return out.withColumns({f"{'lo' if f is F.array_min else 'hi'}_{k}": F.when(F.col("is_box"), F.col(f"{'min' if f is F.array_min else 'max'}_{k}")).otherwise(ring(f, k)) for f in (F.array_min, F.array_max) for k in ("lat", "lon")})
 
 
-def area_join(points: DataFrame, areas: DataFrame) -> DataFrame:
+def area_join(points: DataFrame, areas: DataFrame, hot: int = HOT_CELL) -> DataFrame:
     """Points (latitude, longitude, ...) with the id of every area that holds them.
 
     Areas and points meet on grids whose cells double from CELL on: an area is on the grid where it covers four cells at
-    most, and a point on every grid that has areas (a few dozen exist), so no pair is tried that shares no cell.
+    most, and a point on every grid that has areas (a few dozen exist), so no pair is tried that shares no cell. A cell of
+    more than ``hot`` points is split: its points are dealt over parts of about ``hot``, and its areas are in every part.
     """
     own = points.where(valid_coordinate())
     span = F.greatest(F.col("hi_lat") - F.col("lo_lat"), F.col("hi_lon") - F.col("lo_lon"))
@@ -46,6 +50,17 @@ def area_join(points: DataFrame, areas: DataFrame) -> DataFrame:
     celled = bounded.withColumn("__lat", F.explode(F.sequence(cell("lo_lat"), cell("hi_lat")))).withColumn("__lon", F.explode(F.sequence(cell("lo_lon"), cell("hi_lon"))))
     inside = in_box(F.col("lo_lat"), F.col("hi_lat"), F.col("lo_lon"), F.col("hi_lon")) & (F.col("is_box") | in_polygon(F.col("ring")))
     placed = own.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({"__lat": cell("latitude"), "__lon": cell("longitude")})
+    # cells of areas that hold many points, counted before anything is dealt: fewer than one for every ``hot`` points and grid
+    cells = celled.select("__level", "__lat", "__lon").distinct()
+    counts = placed.groupBy("__level", "__lat", "__lon").agg(F.count("*").alias("__n")).where(F.col("__n") > hot)
+    crowded = stored(counts.join(cells, ["__level", "__lat", "__lon"], "left_semi").withColumn("__parts", F.ceil(F.col("__n") / hot).cast("int")).drop("__n"), "crowded")
+    if crowded.limit(1).count():
+        # by the row's own values, so that a repeated task deals it to the same part
+        values = [c for c, t in points.dtypes if "map<" not in t and "variant" not in t]
+        dealt = F.pmod(F.xxhash64(*values), F.coalesce("__parts", F.lit(1)))
+        placed = placed.join(crowded, ["__level", "__lat", "__lon"], "left").withColumn("__part", dealt.cast("int")).drop("__parts")
+        celled = celled.join(crowded, ["__level", "__lat", "__lon"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+        return placed.join(celled, ["__level", "__lat", "__lon", "__part"]).where(inside).select("area_id", *points.columns)
     return placed.join(celled, ["__level", "__lat", "__lon"]).where(inside).select("area_id", *points.columns)
 
 

@@ -14,9 +14,6 @@ QUERIES, ORACLES = {}, {}
 A, B = "blue_gear", "red_widget"
 SEED = C.seed_of("lee", A, B, 800, "2026-01")
 SPLIT_SEED = C.seed_of("lee", "2026-01", C.SEED_VERSION)
-#: The correctness tables are small, so queries guard joints at 8 there; the default of the operators is 20.
-JOINT = 8
-
 _BASE = f"""{sql("places")},
 own AS (SELECT * FROM places WHERE county_key = 'lee' AND is_hosted_service IS DISTINCT FROM TRUE),
 ok AS (SELECT *, nullif(trim(taxonomy_primary), '') AS category FROM own WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180),
@@ -50,7 +47,7 @@ ps{tag} AS (SELECT a, b, joint, x.m AS cells_a, y.m AS cells_b, mean, variance,
 
 
 _HALF = """dh AS (SELECT * FROM halves WHERE half = 'discovery'), di AS (SELECT inc.* FROM inc SEMI JOIN dh ON inc.lat_idx = dh.lat_idx AND inc.lon_idx = dh.lon_idx)"""
-_RANKED = f"""ranked AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN zero_variance_excess THEN 'inf'::DOUBLE ELSE coalesce(z, '-inf'::DOUBLE) END DESC, a, b) AS rank FROM psd WHERE joint >= {JOINT} AND lift >= 2)"""
+_RANKED = f"""ranked AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN zero_variance_excess THEN 'inf'::DOUBLE ELSE coalesce(z, '-inf'::DOUBLE) END DESC, a, b) AS rank FROM psd WHERE joint >= {C.MIN_JOINT} AND lift >= 2)"""
 _PATHS = """paths AS (SELECT category, taxonomy_hierarchy AS path, count(*) AS support FROM g WHERE category IS NOT NULL GROUP BY 1, 2),
 tops AS (SELECT category, max(support) FILTER (path IS NOT NULL) AS top, sum(support) AS total FROM paths GROUP BY 1),
 modal AS (SELECT category, min(path) FILTER (support = top AND path IS NOT NULL) AS path, any_value(top) AS support, any_value(total) AS total, greatest(count(*) FILTER (support = top AND path IS NOT NULL) - 1, 0) AS ambiguity FROM paths JOIN tops USING (category) GROUP BY 1)"""
@@ -249,7 +246,7 @@ def _discovery_half(s, sf):
 @_once
 def _ranked(s, sf):
     _, half, incident, _ = _discovery_half(s, sf)
-    return C.rank_pairs(C.pair_guard(C.pair_stats(half, incident), JOINT))
+    return C.rank_pairs(C.pair_guard(C.pair_stats(half, incident)))
 
 
 _RANK_SQL = f"{_BASE}, {_SPLIT}, {_HALF}, {_pairs('dh', 'di', 'd')}, {_RANKED}"

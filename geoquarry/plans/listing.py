@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoquarry.operators import coverage as V, geo, listing as L, sqlguard
 from geoquarry.sources import documents as D
-from geoquarry.sources.scratch import scratch
+from geoquarry.sources.scratch import scratch, stored
 from geoquarry.sources.views import VIEWS, sql, view
 
 QUERIES, ORACLES = {}, {}
@@ -183,16 +183,16 @@ _add("permit_total", lambda s, sf: V.permit_coverage(view(s, sf, "permits")).agg
 
 
 def _permit_cache(s, sf):
-    """Cache documents for a third of the parcels; some lack their parcel or hold permits without a number."""
+    """Cache documents of all parcels with permits; some lack their parcel, do not parse, or hold permits without a number."""
     permit = F.struct(F.when(F.col("source_system") != "tyler", F.col("permit_number")).alias("permitNumber"), F.col("completion_date").alias("completionDate"))
-    docs = view(s, sf, "permits").where("cast(parcel_identifier as bigint) % 3 = 0").groupBy("parcel_identifier").agg(F.collect_list(permit).alias("permits"))
+    docs = view(s, sf, "permits").groupBy("parcel_identifier").agg(F.collect_list(permit).alias("permits"))
     path = scratch(s, "permit-cache")
     text = F.to_json(F.struct(F.when(F.col("parcel_identifier").cast("long") % 5 != 1, F.col("parcel_identifier")).alias("parcelId"), "permits"))
     docs.select(F.when(F.col("parcel_identifier").cast("long") % 7 == 2, F.concat(F.lit("{"), text)).otherwise(text).alias("value")).write.text(path)
-    return D.valid_permits(D.read(s, path, "permit_cache").cache())
+    return D.valid_permits(stored(D.read(s, path, "permit_cache"), "parsed"))
 
 
-_CACHE = f"{PERMITS}, cache AS (SELECT parcel_identifier, count(*) FILTER (source_system <> 'tyler') AS permits FROM permits WHERE cast(parcel_identifier as bigint) % 3 = 0 AND cast(parcel_identifier as bigint) % 5 <> 1 GROUP BY 1)"
+_CACHE = f"{PERMITS}, cache AS (SELECT parcel_identifier, count(*) FILTER (source_system <> 'tyler') AS permits FROM permits WHERE cast(parcel_identifier as bigint) % 5 <> 1 GROUP BY 1)"
 _add("permit_cache_scan", _permit_cache, f"{_CACHE} SELECT * FROM cache WHERE cast(parcel_identifier as bigint) % 7 <> 2")
 _add("permit_lookup", lambda s, sf: L.requested_permits(view(s, sf, "properties").select("parcel_identifier"), _permit_cache(s, sf)), f"{_CACHE}, {PROPS}, hit AS (SELECT * FROM cache WHERE cast(parcel_identifier as bigint) % 7 <> 2) SELECT p.parcel_identifier, CASE WHEN hit.parcel_identifier IS NULL THEN 'enqueued' ELSE 'cached' END AS status, permits, CASE WHEN hit.parcel_identifier IS NULL THEN '{{\"parcelId\":\"' || p.parcel_identifier || '\",\"action\":\"harvest\"}}' END AS message FROM properties p LEFT JOIN hit ON hit.parcel_identifier = p.parcel_identifier")
 _ENTRIES = "customer JOIN orders ON c_custkey = o_custkey"

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 VIEWS: dict[str, tuple[tuple[str, ...], str, dict[str, str]]] = {
     "places": (
         ("lineitem", "part"),
-        "lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1",
+        "lineitem JOIN part ON l_partkey = p_partkey",
         {
-            "gers_id": "cast(l_orderkey as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string)",
+            "gers_id": "cast(l_orderkey as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) || '-' || cast(l_linenumber as string)",
             "county_key": "CASE WHEN l_orderkey % 50 = 0 THEN 'collier' ELSE 'lee' END",
             "name_primary": "CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE p_brand || ', ' || p_name || ' Co.' END",
             "taxonomy_primary": "CASE WHEN l_orderkey % 89 = 0 THEN NULL ELSE replace(p_name, ' ', '_') END",
@@ -78,7 +78,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/{tables[0]}.parquet")
     if name == "places":
         part = spark.read.parquet(f"{sf_dir}/part.parquet")
-        source = source.where("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
+        source = source.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return source.selectExpr(*(f"{e} AS {n}" for n, e in columns.items()))
 
 

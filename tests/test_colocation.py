@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 from itertools import product
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from geoquarry.functions.geometry import grid_definition, in_polygon
 from geoquarry.functions.vectors import cosine_distance, float64_hex, taxonomy_distance, vector_hash
 from geoquarry.operators import colocation as C, geo, semantics as S
+from geoquarry.operators.pairs import pair_sums
 
 
 def one(spark, column, **values):
@@ -80,6 +82,67 @@ def test_exact_null_equals_convolution(spark):
     assert C.exact_null(all_cells, incident, pairs).first().raw_p == pytest.approx(C.convolve_null([tuple(s) for s in strata.values()], joint)[0])
 
 
+def test_exact_null_by_a_tree(spark):
+    """Many strata, some that cannot vary and many alike, against folding them one after another; caps."""
+    rng = np.random.default_rng(9)
+    pairs = [("p", "q"), ("p", "r"), ("q", "r")]
+    rows, want = [], {}
+    for k, (a, b) in enumerate(pairs):
+        strata = []
+        for s in range(150 * (k + 1)):
+            n = int(rng.integers(1, 40))
+            strata.append((n, int(rng.integers(0, n + 1)), int(rng.integers(0, n + 1)) if s % 3 else n))
+        rows += [(a, b, f"{s:04d}", *x) for s, x in enumerate(strata)]
+        want[a, b] = strata
+    table = spark.createDataFrame(rows, "a string, b string, stratum string, n long, m_a long, m_b long")
+    got = {(r.a, r.b): r for r in C.null_distributions(table, fan=4).collect()}
+    costs = {(r.a, r.b): r for r in C.null_costs(table, 5000, 2_500_000).collect()}
+    assert {r.reason is None for r in costs.values()} == {True, False}
+    for pair, strata in want.items():
+        whole = np.ones(1)
+        for x in strata:
+            whole = np.convolve(whole, C.pmf(*x))
+        own = np.zeros(len(whole))
+        own[got[pair].shift : got[pair].shift + len(got[pair].probs)] = got[pair].probs
+        assert np.abs(own - whole).max() < 1e-12 and abs(own[len(own) // 2 :].sum() - whole[len(own) // 2 :].sum()) < 1e-12
+        _, _, states, transitions, reason = C.convolve_null(strata, 0, 5000, 2_500_000)
+        assert (costs[pair].states, costs[pair].transitions, costs[pair].reason) == (states, transitions, reason)
+    x = rng.random(700) / 700
+    assert np.abs(C.convolved(x, x[:300]) - np.convolve(x, x[:300])).max() < 1e-12
+    assert np.abs(C.powered(x[:50], 5) - np.convolve(np.convolve(np.convolve(np.convolve(x[:50], x[:50]), x[:50]), x[:50]), x[:50])).max() < 1e-12
+    assert C.null_distributions(table.where("n = m_b and a = 'p' and b = 'q'")).first().probs == [1.0]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_pair_sums_by_blocks(spark, block):
+    rng = np.random.default_rng(2)
+    rows = [(s, f"c{c:02d}", n, int(rng.integers(1, n + 1))) for s in range(40) for n in [int(rng.integers(1, 9))] for c in range(11) if rng.random() < 0.4]
+    df = spark.createDataFrame(rows, "s int, category string, n long, m long")
+    got = {(r.a, r.b): (r.joint, r.mean, r.variance) for r in pair_sums(df, ["s"], df, block).collect()}
+    want = {}
+    for s, a, n, x in rows:
+        for t, b, _, y in rows:
+            if s == t and a < b:
+                j, m, v = want.get((a, b), (0, 0.0, 0.0))
+                want[a, b] = (j + x * y, m + x * y / n, v + (x * (n - x) * y * (n - y) / (n * n * (n - 1)) if n > 1 else 0))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    # sums of whole numbers are whole: a pair that cannot vary has a mean without rounding
+    fixed = spark.createDataFrame([(s, c, 49, 49 if c == "x" else 7) for s in range(30) for c in "xy"], "s int, category string, n long, m long")
+    r = pair_sums(fixed, ["s"], fixed).first()
+    assert (r.mean, r.variance) == (210.0, 0.0)
+    assert pair_sums(df.limit(0), ["s"], df.limit(0)).count() == 0
+
+
+def test_largest_frontier(spark):
+    """20,000 cells that all hold 256 categories: 32,640 pairs, 653 million meetings, none of them a row."""
+    all_cells = spark.range(20_000).select((F.col("id") / 200).cast("long").alias("lat_idx"), (F.col("id") % 200).alias("lon_idx"), (1 + F.col("id") % 5).alias("density"))
+    incident = all_cells.select("lat_idx", "lon_idx", F.explode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.format_string("c%03d", i))).alias("category"))
+    began = time.time()
+    out = C.joint_counts(incident).agg(F.count("*").alias("n"), F.min("joint").alias("lo"), F.max("joint").alias("hi")).first()
+    assert tuple(out) == (32_640, 20_000, 20_000)
+    assert time.time() - began < 60
+
+
 def test_holm(spark):
     for p, want in (([0.01, 0.01, 0.04], [0.03, 0.03, 0.04]), ([1.0, 0.01], [1.0, 0.02]), ([None, 0.01], [1.0, 0.02])):
         df = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double")
@@ -149,6 +212,12 @@ def test_areas(spark):
     got = {(r.area_id, r.id) for r in geo.area_join(spark.createDataFrame(spots, points.schema), spark.createDataFrame(boxes, df.schema)).collect()}
     assert got == {(k, i) for i, lat, lon, _ in spots for k, x0, x1, y0, y1, _ in boxes if x0 <= lat <= x1 and y0 <= lon <= y1}
     assert geo.area_join(points, df.limit(0)).count() == 0
+    # a city centre: crowded cells are split, and the rows are the same
+    centre = [(f"c{i}", 26.0 + i % 7 * 1e-4, -82.0, 1.0) for i in range(500)]
+    some = spark.createDataFrame(spots + centre, points.schema)
+    around = spark.createDataFrame([*boxes[:9], (90, 25.0, 27.0, -83.0, -81.0, None), (91, 26.0, 26.0002, -82.0, -82.0, None)], df.schema)
+    rows = lambda hot: sorted((r.area_id, r.id) for r in geo.area_join(some, around, hot).collect())
+    assert rows(20) == rows(10**6) and sum(k == 90 for k, _ in rows(20)) >= 500
 
 
 def test_guards_refuse_beyond_their_bounds(spark, monkeypatch):
