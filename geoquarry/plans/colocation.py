@@ -328,8 +328,9 @@ def _family(s, sf):
 
 
 def _validated(s, sf):
-    """The family's counts, exact null and Holm values on the validation half, and the guards on all cells."""
+    """The family's counts, exact null and Holm values on the validation half, and the guards on all cells; refused beyond the bounds on cells and categories."""
     own, all_cells, occupied, categories = _parts(s, sf)
+    C.guarded_stages(all_cells, categories)
     family = _family(s, sf)
     # the family's categories alone: at most twice FAMILY of them
     named = family.select(F.col("a").alias("category")).unionByName(family.select(F.col("b").alias("category"))).distinct()
@@ -342,7 +343,20 @@ def _validated(s, sf):
     return S.full_universe(tested, C.pair_stats(all_cells, incident), all_cells)
 
 
-_add("exact_null", lambda s, sf: _round(_validated(s, sf).select("a", "b", "joint", "raw_p", "states", "transitions")))
+#: The validation half, each family pair's strata in order, the fold of their distributions one after another as lists, Holm's steps.
+_VALIDATED = f"""{_EVIDENCE}, {_pairs('st', 'inc')}, fam AS (SELECT a, b, rank, place FROM fr WHERE place <= 5),
+vh AS (SELECT * FROM halves WHERE half = 'validation'), vi AS (SELECT inc.* FROM inc SEMI JOIN vh ON inc.lat_idx = vh.lat_idx AND inc.lon_idx = vh.lon_idx),
+vj AS (SELECT f.a, f.b, count(y.category) AS joint FROM fam f LEFT JOIN vi x ON x.category = f.a LEFT JOIN vi y ON y.category = f.b AND y.lat_idx = x.lat_idx AND y.lon_idx = x.lon_idx GROUP BY 1, 2),
+vn AS (SELECT stratum, count(*) AS n FROM vh GROUP BY 1), vm AS (SELECT stratum, category, count(*) AS m FROM vi JOIN vh USING (lat_idx, lon_idx) GROUP BY 1, 2),
+vs AS (SELECT f.a, f.b, row_number() OVER (PARTITION BY f.a, f.b ORDER BY vn.stratum) AS k, n, coalesce(x.m, 0) AS ma, coalesce(y.m, 0) AS mb FROM fam f CROSS JOIN vn LEFT JOIN vm x ON x.stratum = vn.stratum AND x.category = f.a LEFT JOIN vm y ON y.stratum = vn.stratum AND y.category = f.b),
+vo AS (SELECT *, least(ma, mb) AS top, list_transform(range(0, least(ma, mb) + 1), lambda i: CASE WHEN i >= ma + mb - n THEN exp(lgamma(ma + 1) - lgamma(i + 1) - lgamma(ma - i + 1) + lgamma(n - ma + 1) - lgamma(mb - i + 1) - lgamma(greatest(n - ma - mb + i, 0) + 1) - lgamma(n + 1) + lgamma(mb + 1) + lgamma(n - mb + 1)) ELSE 0 END) AS own FROM vs),
+vc AS (SELECT a, b, 1 + sum(top) AS states, sum((upto - top + 1) * (top - greatest(0, ma + mb - n) + 1)) AS transitions FROM (SELECT *, sum(top) OVER (PARTITION BY a, b ORDER BY k) AS upto FROM vo) GROUP BY 1, 2),
+fold AS (SELECT a, b, 0::BIGINT AS k, [1.0::DOUBLE] AS d FROM fam UNION ALL SELECT f.a, f.b, f.k + 1, list_transform(range(0, len(f.d) + len(o.own) - 1), lambda t: list_sum(list_transform(range(greatest(0, t - len(o.own) + 1), least(t, len(f.d) - 1) + 1), lambda i: f.d[i + 1] * o.own[t - i + 1]))) FROM fold f JOIN vo o ON o.a = f.a AND o.b = f.b AND o.k = f.k + 1),
+nul AS (SELECT a, b, coalesce(list_sum(d[joint + 1:]), 0) / list_sum(d) AS raw_p, joint, states::BIGINT AS states, transitions::BIGINT AS transitions, place FROM (SELECT a, b, arg_max(d, k) AS d FROM fold GROUP BY 1, 2) JOIN vj USING (a, b) JOIN vc USING (a, b) JOIN fam USING (a, b)),
+hol AS (SELECT *, least(1, raw_p + 1e-12) AS p, row_number() OVER (ORDER BY least(1, raw_p + 1e-12), place) - 1 AS r, count(*) OVER () AS m FROM nul),
+val AS (SELECT hol.a, hol.b, place, hol.joint, round(raw_p, 6) AS raw_p, round(p, 6) AS p, states, transitions, NULL::VARCHAR AS reason, round(max(least(1, (m - r) * p)) OVER (ORDER BY r), 6) AS holm_p, ps.joint AS full_joint, round(ps.lift, 6) AS full_lift, floor, ps.joint >= floor AS joint_passed, coalesce(ps.lift >= 2, false) AS lift_passed
+  FROM hol LEFT JOIN ps ON ps.a = hol.a AND ps.b = hol.b, (SELECT greatest(50, ceil(0.02 * count(*)))::BIGINT AS floor FROM cells))"""
+_add("exact_null", lambda s, sf: _round(_validated(s, sf).select("a", "b", "joint", "raw_p", "states", "transitions")), f"RECURSIVE {_VALIDATED} SELECT a, b, joint, raw_p, states, transitions FROM val")
 _add(
     "hypergeom_pmf", lambda s, sf: (lambda p: _round(S.pmf_rows(C.pair_cells(p[0], A, B).withColumn("stratum", stratum_id()))))(_parts(s, sf)),
     f"{_BASE}, {_PAIR}, h AS (SELECT stratum, count(*) AS n, count(*) FILTER (has_a) AS a, count(*) FILTER (has_b) AS b FROM pb GROUP BY 1), k AS (SELECT *, unnest(range(greatest(0, a + b - n), least(a, b) + 1)) AS overlap FROM h) "
@@ -351,7 +365,7 @@ _add(
 _HOLM_SQL = f"{_RANK_SQL}, src AS (SELECT a, b, rank, round(least(1, 1 / (1 + z * z)), 6) AS p FROM ranked), o AS (SELECT *, row_number() OVER (ORDER BY p, rank) - 1 AS r, count(*) OVER () AS m FROM src)"
 _add("holm", lambda s, sf: _round(C.holm(_ranked(s, sf).select("a", "b", "rank", F.round(F.least(F.lit(1.0), 1 / (1 + F.col("z") * F.col("z"))), 6).alias("p")), "p", "rank")), f"{_HOLM_SQL} SELECT a, b, rank, p, round(max(least(1, (m - r) * p)) OVER (ORDER BY r), 6) AS holm_p FROM o")
 _add("magnitude_guard", lambda s, sf: (lambda p: _round(S.magnitude(_all_pairs(s, sf).select("a", "b", "joint", "lift"), p[1])))(_parts(s, sf)), f"{_BASE}, {_pairs('st', 'inc')}, fl AS (SELECT greatest(50, ceil(0.02 * count(*)))::BIGINT AS floor FROM cells) SELECT a, b, joint, round(lift, 6) AS lift, floor, joint >= floor AS joint_passed, coalesce(lift >= 2, false) AS lift_passed FROM ps, fl")
-_add("discover_pairs", lambda s, sf: _round(_validated(s, sf)))
+_add("discover_pairs", lambda s, sf: _round(_validated(s, sf)), f"RECURSIVE {_VALIDATED} SELECT * FROM val")
 
 
 def _census(s, sf):
@@ -359,12 +373,12 @@ def _census(s, sf):
     return S.census(all_cells, categories, _ranked(s, sf), _evidence(s, sf))
 
 
-_add(
-    "discovery_census", _census,
-    f"{_EVIDENCE}, n AS (SELECT (SELECT count(*) FROM cells) AS cells, (SELECT count(*) FROM elig) AS categories, (SELECT count(*) FROM ranked) AS guarded_pairs, (SELECT count(*) FROM evid) AS evaluated_pairs, (SELECT count(*) FROM evid WHERE passed) AS passing_pairs) "
-    "SELECT cells, categories, CASE WHEN categories < 2 THEN 0 ELSE categories * (categories - 1) // 2 END AS pairs, guarded_pairs, evaluated_pairs, passing_pairs, least(32, passing_pairs) AS frontier_pairs, least(5, passing_pairs) AS family_pairs, "
-    "CASE WHEN categories < 2 THEN 'too few categories' WHEN guarded_pairs = 0 THEN 'no pair met the guards' WHEN passing_pairs = 0 THEN 'no pair met the distance guard' END AS reason FROM n",
-)
+_CENSUS = (
+    "n AS (SELECT (SELECT count(*) FROM cells) AS cells, (SELECT count(*) FROM elig) AS categories, (SELECT count(*) FROM ranked) AS guarded_pairs, (SELECT count(*) FROM evid) AS evaluated_pairs, (SELECT count(*) FROM evid WHERE passed) AS passing_pairs), "
+    "census AS (SELECT cells, categories, CASE WHEN categories < 2 THEN 0 ELSE categories * (categories - 1) // 2 END AS pairs, guarded_pairs, evaluated_pairs, passing_pairs, least(32, passing_pairs) AS frontier_pairs, least(5, passing_pairs) AS family_pairs, "
+    "CASE WHEN categories < 2 THEN 'too few categories' WHEN guarded_pairs = 0 THEN 'no pair met the guards' WHEN passing_pairs = 0 THEN 'no pair met the distance guard' END AS reason FROM n)"
+)
+_add("discovery_census", _census, f"{_EVIDENCE}, {_CENSUS} SELECT * FROM census")
 
 
 def _discover_county(s, sf):
@@ -375,4 +389,4 @@ def _discover_county(s, sf):
     return _round(_validated(s, sf).join(_census(s, sf).select("cells", "categories", F.col("reason").alias("empty_reason"))))
 
 
-_add("discover_county", _discover_county)
+_add("discover_county", _discover_county, f"RECURSIVE {_VALIDATED}, {_CENSUS} SELECT val.*, cells, categories, census.reason AS empty_reason FROM val, census")
