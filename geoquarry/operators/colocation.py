@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoquarry.functions.geometry import Grid, grid_definition, stratum_id, valid_coordinate
-from geoquarry.operators.pairs import pair_sums
+from geoquarry.operators.pairs import Numbered, pair_sums
 from geoquarry.operators.ranks import ranked, running_sum
 from geoquarry.sources.scratch import stored
 
@@ -191,18 +191,18 @@ def permutation_null(own_cells: DataFrame, seed: str, rounds: int = PERMUTATIONS
 # -- all pairs -----------------------------------------------------------------------------------------------------
 
 
-def joint_counts(incident: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def joint_counts(incident: DataFrame, categories: Numbered | None = None) -> DataFrame:
     """a < b, joint: cells that hold both, by blocks of categories. ``categories`` are those of ``incident`` if none are given."""
     ones = incident.select("lat_idx", "lon_idx", "category", F.lit(1).alias("n"), F.lit(1).alias("m"))
-    return pair_sums(ones, ["lat_idx", "lon_idx"], incident if categories is None else categories).select("a", "b", "joint")
+    return pair_sums(ones, ["lat_idx", "lon_idx"], categories or Numbered(incident)).select("a", "b", "joint")
 
 
-def pair_moments(all_cells: DataFrame, incident: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def pair_moments(all_cells: DataFrame, incident: DataFrame, categories: Numbered | None = None) -> DataFrame:
     """a < b, mean and variance of the joint count under independence within strata, summed over strata."""
     cell = all_cells.select("lat_idx", "lon_idx", stratum_id().alias("stratum"))
     strata = cell.groupBy("stratum").agg(F.count("*").alias("n"))
     marginal = incident.join(cell, ["lat_idx", "lon_idx"]).groupBy("stratum", "category").agg(F.count("*").alias("m")).join(strata, "stratum")
-    return pair_sums(marginal, ["stratum"], incident if categories is None else categories).select("a", "b", "mean", "variance")
+    return pair_sums(marginal, ["stratum"], categories or Numbered(incident)).select("a", "b", "mean", "variance")
 
 
 def pair_stats(all_cells: DataFrame, incident: DataFrame) -> DataFrame:
@@ -211,7 +211,8 @@ def pair_stats(all_cells: DataFrame, incident: DataFrame) -> DataFrame:
     # a category table: a few numbers for each category
     marginal = stored(incident.groupBy("category").agg(F.count("*").alias("m")), "marginals")
     a, b = (marginal.select(F.col("category").alias(c), F.col("m").alias(f"cells_{c}")) for c in ("a", "b"))
-    out = joint_counts(incident, marginal).join(a, "a").join(b, "b").join(pair_moments(all_cells, incident, marginal), ["a", "b"]).join(F.broadcast(n))
+    numbered = Numbered(marginal)
+    out = joint_counts(incident, numbered).join(a, "a").join(b, "b").join(pair_moments(all_cells, incident, numbered), ["a", "b"]).join(F.broadcast(n))
     return out.withColumns(
         {
             "lift": F.col("joint") * F.col("n_cells") / (F.col("cells_a") * F.col("cells_b")),
@@ -323,34 +324,42 @@ def null_costs(strata: DataFrame, max_states: int = MAX_STATES, max_transitions:
     """a, b, states, transitions, reason (null within the caps) of folding each pair's strata one after another, without folding them.
 
     Before a stratum there are 1 + (sum of the largest overlaps before) states; it adds one transition for each of them and each
-    overlap of its support. Both are running sums in the order of the strata. The first stratum over a cap ends the fold.
+    overlap of its support. The first is a running sum in the order of the strata. The first stratum over a cap ends the
+    fold; where it lies is looked for in pairs over a cap alone.
     """
     n, a, b = F.col("n"), F.col("m_a"), F.col("m_b")
     largest = F.least(a, b)
     rows = strata.withColumns({"largest": largest, "support": largest - F.greatest(F.lit(0), a + b - n) + 1})
     rows = running_sum(rows, "largest", [F.col("stratum").asc()], ["a", "b"], "upto").withColumn("step", (F.col("upto") - F.col("largest") + 1) * F.col("support"))
-    rows = running_sum(rows, "step", [F.col("stratum").asc()], ["a", "b"], "transitions")
+    totals = stored(rows.groupBy("a", "b").agg((F.max("upto") + 1).alias("states"), F.sum("step").alias("transitions")), "totals")
+    beyond = (F.col("states") > max_states) | (F.col("transitions") > max_transitions)
+    within = totals.where(~beyond).withColumn("reason", F.lit(None).cast("string"))
+    if not totals.where(beyond).limit(1).count():
+        return within
+    late = running_sum(rows.join(totals.where(beyond).select("a", "b"), ["a", "b"], "left_semi"), "step", [F.col("stratum").asc()], ["a", "b"], "transitions")
     over = (F.col("upto") + 1 > max_states) | (F.col("transitions") > max_transitions)
-    ends = rows.groupBy("a", "b").agg(F.max("upto").alias("upto"), F.max("transitions").alias("used"), F.min(F.when(over, F.struct("transitions", (F.col("upto") - F.col("largest") + 1).alias("states")))).alias("stop"))
-    stopped = F.col("stop").isNotNull()
-    return ends.select("a", "b", F.when(stopped, F.col("stop.states")).otherwise(F.col("upto") + 1).alias("states"), F.when(stopped, F.col("stop.transitions")).otherwise(F.col("used")).alias("transitions"), F.when(stopped, "the exact null is over its computation cap").alias("reason"))
+    stops = late.where(over).groupBy("a", "b").agg(F.min(F.struct("transitions", (F.col("upto") - F.col("largest") + 1).alias("states"))).alias("stop"))
+    return within.unionByName(stops.select("a", "b", "stop.states", "stop.transitions", F.lit("the exact null is over its computation cap").alias("reason")))
 
 
 def null_distributions(strata: DataFrame, fan: int = FAN) -> DataFrame:
     """a, b, shift, probs: the distribution of the joint count of each pair (a, b, stratum, n, m_a, m_b), from ``shift`` on.
 
     A stratum whose overlap cannot vary only shifts. Of the others, those that agree in (n, m_a, m_b) are one power;
-    powers are then convolved ``fan`` at a time, level by level, so no group holds all strata of a pair.
+    powers are dealt into groups of about ``fan`` and convolved, and what they give again, level by level, so no group holds
+    all strata of a pair.
     """
     n, a, b = F.col("n"), F.col("m_a"), F.col("m_b")
     low = F.greatest(F.lit(0), a + b - n)
     shifts = strata.groupBy("a", "b").agg(F.sum(low).alias("shift"))
-    alike = strata.where(low < F.least(a, b)).groupBy("a", "b", "n", "m_a", "m_b").agg(F.count("*").alias("times"))
+    alike = stored(strata.where(low < F.least(a, b)).groupBy("a", "b", "n", "m_a", "m_b").agg(F.count("*").alias("times")), "alike")
+    most = alike.groupBy("a", "b").count().agg(F.max("count")).first()[0] or 0
 
-    def power(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            probs = [powered(pmf(r.n, r.m_a, r.m_b)[max(0, r.m_a + r.m_b - r.n) :], r.times) for r in part.itertuples()]
-            yield part[["a", "b"]].assign(slot=part["place"], probs=probs)
+    def power(group: pd.DataFrame) -> pd.DataFrame:
+        out = np.ones(1)
+        for r in group.sort_values(["n", "m_a", "m_b"]).itertuples():
+            out = convolved(out, powered(pmf(r.n, r.m_a, r.m_b)[max(0, r.m_a + r.m_b - r.n) :], r.times))
+        return pd.DataFrame([[group["a"].iloc[0], group["b"].iloc[0], group["slot"].iloc[0], out]], columns=["a", "b", "slot", "probs"])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         out = np.ones(1)
@@ -358,12 +367,11 @@ def null_distributions(strata: DataFrame, fan: int = FAN) -> DataFrame:
             out = convolved(out, np.asarray(probs))
         return pd.DataFrame([[group["a"].iloc[0], group["b"].iloc[0], group["slot"].iloc[0] // fan, out]], columns=["a", "b", "slot", "probs"])
 
-    schema = "a string, b string, slot long, probs array<double>"
-    placed = ranked(alike, [F.col("n").asc(), F.col("m_a").asc(), F.col("m_b").asc()], ["a", "b"])
-    level = stored(placed.mapInPandas(power, schema), "powers")
-    left = (level.agg(F.max("slot")).first()[0] or 0) + 1
+    schema, left = "a string, b string, slot long, probs array<double>", max(1, -(-most // fan))
+    slots = alike.withColumn("slot", F.pmod(F.xxhash64("n", "m_a", "m_b"), F.lit(left)))
+    level = slots.groupBy("a", "b", "slot").applyInPandas(power, schema)
     while left > 1:
-        level = stored(level.groupBy("a", "b", F.floor(F.col("slot") / fan)).applyInPandas(fold, schema), "folded")
+        level = stored(level, "folded").groupBy("a", "b", F.floor(F.col("slot") / fan)).applyInPandas(fold, schema)
         left = -(-left // fan)
     return shifts.join(level.drop("slot"), ["a", "b"], "left").select("a", "b", "shift", F.coalesce("probs", F.array(F.lit(1.0))).alias("probs"))
 

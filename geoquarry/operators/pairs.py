@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from geoquarry.operators.ranks import ranked
+from geoquarry.sources.scratch import stored
 
 #: Categories of one block; a matrix of sums has BLOCK x BLOCK numbers.
 BLOCK = 256
@@ -64,18 +65,28 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from given()
 
 
-def pair_sums(rows: DataFrame, keys: list[str], categories: DataFrame, block: int = BLOCK) -> DataFrame:
+class Numbered:
+    """Categories with numbers from 0 in their order, and whether they fill more than one block."""
+
+    def __init__(self, categories: DataFrame, block: int = BLOCK) -> None:
+        """``block`` below BLOCK is for tests."""
+        self.block = block
+        self.table = stored(ranked(categories.select("category").distinct(), [F.col("category").asc()], name="id"), "numbers")
+        self.several = self.table.where(F.col("id") >= block).limit(1).count() > 0
+
+
+def pair_sums(rows: DataFrame, keys: list[str], categories: Numbered) -> DataFrame:
     """a < b, joint, mean, variance over rows (keys, category, n, m): the category's count m of the key's n.
 
     joint sums m_a m_b; mean sums m_a m_b / n and variance m_a (n - m_a) m_b (n - m_b) / (n n (n - 1)), the moments of
-    overlaps of independent draws. ``categories`` (category) names those that count. ``block`` is for tests.
+    overlaps of independent draws. Categories without a number do not count.
     """
-    named = ranked(categories.select("category").distinct(), [F.col("category").asc()], name="id")
+    named, block = categories.table, categories.block
     placed = rows.join(named, "category").withColumns({"x": F.floor(F.col("id") / block), "at": (F.col("id") % block).cast("int")})
     lists = placed.groupBy(*keys, "n", "x").agg(F.collect_list(F.struct("at", F.col("m").cast("long").alias("m"))).alias("own"))
     lists = lists.select(*keys, "n", "x", F.col("own.at").alias("ids"), F.col("own.m").alias("m"))
     sides = [lists.select(*keys, "n", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "ids", "m"))) for s in "xy"]
-    if categories.select("category").distinct().limit(block + 1).count() > block:
+    if categories.several:
         both = sides[0].join(sides[1].drop("n"), keys).where("x_x <= x_y")
     else:  # every list meets itself alone
         both = sides[0].withColumns({f"{c}_y": F.col(f"{c}_x") for c in ("x", "ids", "m")})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geoquarry.functions.geometry import grid_definition, in_polygon
 from geoquarry.functions.vectors import cosine_distance, float64_hex, taxonomy_distance, vector_hash
 from geoquarry.operators import colocation as C, geo, semantics as S
-from geoquarry.operators.pairs import pair_sums
+from geoquarry.operators.pairs import Numbered, pair_sums
 
 
 def one(spark, column, **values):
@@ -118,7 +118,7 @@ def test_pair_sums_by_blocks(spark, block):
     rng = np.random.default_rng(2)
     rows = [(s, f"c{c:02d}", n, int(rng.integers(1, n + 1))) for s in range(40) for n in [int(rng.integers(1, 9))] for c in range(11) if rng.random() < 0.4]
     df = spark.createDataFrame(rows, "s int, category string, n long, m long")
-    got = {(r.a, r.b): (r.joint, r.mean, r.variance) for r in pair_sums(df, ["s"], df, block).collect()}
+    got = {(r.a, r.b): (r.joint, r.mean, r.variance) for r in pair_sums(df, ["s"], Numbered(df, block)).collect()}
     want = {}
     for s, a, n, x in rows:
         for t, b, _, y in rows:
@@ -128,9 +128,9 @@ def test_pair_sums_by_blocks(spark, block):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
     # sums of whole numbers are whole: a pair that cannot vary has a mean without rounding
     fixed = spark.createDataFrame([(s, c, 49, 49 if c == "x" else 7) for s in range(30) for c in "xy"], "s int, category string, n long, m long")
-    r = pair_sums(fixed, ["s"], fixed).first()
+    r = pair_sums(fixed, ["s"], Numbered(fixed)).first()
     assert (r.mean, r.variance) == (210.0, 0.0)
-    assert pair_sums(df.limit(0), ["s"], df.limit(0)).count() == 0
+    assert pair_sums(df.limit(0), ["s"], Numbered(df.limit(0))).count() == 0
 
 
 def test_largest_frontier(spark):
