@@ -129,9 +129,22 @@ _add(
     f"WITH {_PARTS} SELECT 'cid-' || word AS cid, property, CASE WHEN k % 2 = 0 AND k % 5 <> 1 AND k % 3 <> 0 THEN 'about ' || property ELSE 'from a combinator' END AS description FROM q",
 )
 _add(
-    "get_property_schema", lambda s, sf: J.property_schema(_schemas(s, sf), " Economy "),
+    "get_property_schema", lambda s, sf: J.property_schema(_deep(_schemas(s, sf)), " Economy "),
     f"WITH {_PARTS} SELECT 'cid-' || word AS cid, property, CASE WHEN k % 2 = 0 THEN k % 5 = 1 ELSE false END AS deprecated, CASE WHEN k % 2 = 0 THEN 'x,' || size END AS enum FROM q WHERE property = 'economy'",
 )
+_add(
+    "property_answer", lambda s, sf: J.property_answer(_deep(_schemas(s, sf)), "economy"),
+    f"WITH {_PARTS}, h AS (SELECT * FROM words LEFT JOIN (SELECT * FROM q WHERE property = 'economy') USING (word)), e AS (SELECT *, CASE WHEN property IS NULL THEN 'not found' WHEN k % 2 = 0 AND k % 5 = 1 THEN 'deprecated' END AS error FROM h) "
+    "SELECT 'cid-' || word AS cid, property, CASE WHEN error IS NULL AND k % 2 = 0 THEN 'x,' || size END AS enum, error FROM e",
+)
+
+
+def _deep(schemas: DataFrame) -> DataFrame:
+    """Every third schema lies twelve combinators deep, each beside a member with other properties."""
+    wrapped = F.concat(F.repeat(F.lit('{"allOf":[{"properties":{"other":{"deprecated":true}}},'), F.lit(12)), "schema", F.repeat(F.lit("]}"), F.lit(12)))
+    return schemas.withColumn("schema", F.when(F.length("cid") % 3 == 1, wrapped).otherwise(F.col("schema")))
+
+
 _add(
     "enum_filter",
     lambda s, sf: _enum(s, sf),

@@ -62,3 +62,24 @@ def test_properties_are_found_in_nested_combinators(spark):
     docs = spark.createDataFrame([("1", deep), ("2", both), ("3", "{}"), ("4", None)], "cid string, schema string")
     got = {r.cid: (r.property, r.deprecated, r.enum) for r in J.property_schema(docs, " area ").collect()}
     assert got == {"1": ("Area", True, "a,b"), "2": ("area", False, "own")}
+
+
+def test_property_answers(spark):
+    from geoquarry.operators import schemas as J
+
+    def wrap(inner, depth):
+        for k in range(depth):
+            c = ("oneOf", "allOf", "anyOf")[k % 3]
+            inner = '{"%s": [{"properties": {"x%d": {}}}, %s]}' % (c, k, inner)
+        return inner
+
+    area = '{"properties": {"Area ": {"enum": ["a", "b", 3], "deprecated_enum_values": %s}}}'
+    docs = [("deep", wrap(area % '["b"]', 12)), ("keys", area % '{"a": "old", "3": 1}'), ("old", wrap('{"properties": {"area": {"deprecated": true, "enum": ["a"]}}}', 3)), ("none", "{}"), ("null", None), ("broken", "{"), ("plain", '{"properties": {"area": {"description": "d"}}, "oneOf": {"not": "a list"}}')]
+    # depth first: the later member of the first combinator wins over the first member of a later one
+    docs.append(("order", '{"anyOf": [{"properties": {"area": {"enum": ["z"]}}}], "oneOf": [{"properties": {"x": {}}}, {"allOf": [{"properties": {"area": {"enum": ["y"]}}}]}]}'))
+    df = spark.createDataFrame(docs, "cid string, schema string")
+    got = {r.cid: (r.enum, r.error) for r in J.property_answer(df, " AREA").collect()}
+    assert got == {"deep": ("a,3", None), "keys": ("b", None), "old": (None, "deprecated"), "none": (None, "not found"), "null": (None, "not found"), "broken": (None, "not found"), "plain": (None, None), "order": ("y", None)}
+    kinds = spark.createDataFrame([("1", '{"properties": {"property_type": {"enum": ["old"]}}}'), ("2", '{"properties": {"Property_Type": {"enum": ["own"]}}}')], "cid string, schema string")
+    assert {r.cid: r.enum for r in J.property_answer(kinds, "property_type").collect()} == {"1": "LandParcel,Building,Unit,ManufacturedHome", "2": "own"}
+    assert J.walk(df.limit(0)).count() == 0
