@@ -5,7 +5,6 @@ Tables: functions (id, name, code, file_path) and chunks (function_id, chunk_ind
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from geoquarry.functions.vectors import store_distance
+from geoquarry.sources import log
 from geoquarry.sources.scratch import scratch
 
 MAX_TOKENS = 8192
@@ -25,7 +25,6 @@ EXTENSIONS = ("js", "mjs", "cjs", "ts", "tsx")
 #: Queries that a batch search sends out at once, and distances that a task holds at once.
 BROADCAST_QUERIES = 100_000
 CELLS = 1 << 22
-VERSION = "at long, version string"
 
 
 def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -71,21 +70,42 @@ def valid_rows(functions: DataFrame, own_chunks: DataFrame, width: int) -> DataF
     return named.join(per.select(F.col("function_id").alias("id")), "id", "left_semi")
 
 
-def write(functions: DataFrame, own_chunks: DataFrame, path: str, width: int) -> str:
-    """Both tables as one new version below ``path``; it counts once its name is in the list of versions, which comes last."""
+class Conflict(Exception):
+    """Another writer has put a version on top of the one that a commit builds on."""
+
+
+def head(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and name of the last version below ``path``; (0, None) if there is none."""
+    return log.head(spark, f"{path}/log")
+
+
+def write(functions: DataFrame, own_chunks: DataFrame, path: str, width: int, parent: int | None = None) -> str:
+    """Both tables as one new version below ``path``, on top of version number ``parent`` (the last one if none is given).
+
+    The tables are written first; then the version takes the next number of the log, which only one writer can. A writer
+    that comes too late gets ``Conflict`` and has changed nothing that readers see.
+    """
     version, spark = uuid.uuid4().hex, functions.sparkSession
+    parent = head(spark, path)[0] if parent is None else parent
     good = valid_rows(functions, own_chunks, width)
     good.write.parquet(f"{path}/{version}/functions")
     kept = spark.read.schema(good.schema).parquet(f"{path}/{version}/functions")
     own_chunks.join(kept.select(F.col("id").alias("function_id")), "function_id", "left_semi").write.parquet(f"{path}/{version}/chunks")
-    spark.createDataFrame([(time.time_ns(), version)], VERSION).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    if not log.append(spark, f"{path}/log", parent + 1, version):
+        raise Conflict(f"version {parent + 1} is there already; read the last version and build on it")
     return version
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Functions and chunks of the last version that was written whole; half-written ones are never seen."""
-    last = spark.read.schema(VERSION).parquet(f"{path}/versions").orderBy(F.desc("at"), "version").first()
-    return tuple(spark.read.parquet(f"{path}/{last['version']}/{name}") for name in ("functions", "chunks"))
+def read(spark: SparkSession, path: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Functions and chunks of one version, the last that was written whole if none is named; half-written ones are never seen."""
+    version = version or head(spark, path)[1]
+    return tuple(spark.read.parquet(f"{path}/{version}/{name}") for name in ("functions", "chunks"))
+
+
+def delete_version(spark: SparkSession, path: str, ids: DataFrame, width: int) -> str:
+    """A version without the functions ``ids`` (id) and their chunks, on top of the last one; the versions before keep theirs."""
+    parent, version = head(spark, path)
+    return write(*delete(*read(spark, path, version), ids), path, width, parent)
 
 
 def width_check(own_chunks: DataFrame, width: int) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from geoquarry.functions.geometry import in_box, stratum_id, valid_coordinate
 from geoquarry.functions.text import seed_hash
 from geoquarry.functions.vectors import category_gloss, cosine_distance, float64_hex, taxonomy_distance, vector_hash
 from geoquarry.operators import colocation as C, semantics as S
+from geoquarry.sources.scratch import stored
 from geoquarry.sources.views import sql, view
 
 QUERIES, ORACLES = {}, {}
@@ -58,35 +61,36 @@ dist AS (SELECT x.category AS a, y.category AS b, greatest(0, least(1, 1 - list_
 sem AS (SELECT *, count(*) OVER (ORDER BY distance RANGE UNBOUNDED PRECEDING) AS reached, count(*) OVER () AS pairs FROM (SELECT a, b, round(distance, 9) AS distance FROM dist))"""
 
 
-#: Stages of the query that was asked for last; the next one starts without them, so rewritten tables are read anew.
-_stages: dict[tuple[str, str], object] = {}
+#: Stages of the query that is being planned; each query starts without any, so rewritten tables are read anew.
+_stages: ContextVar[dict] = ContextVar("stages")
 
 
 def _once(build):
-    """A stage that several steps of one query read: planned once and persisted for that query.
+    """A stage that several steps of one query read: planned once and written for that query.
 
-    What is persisted is an aggregate of the places (cells, categories, pairs) or the places of one county.
+    What is written is an aggregate of the places (cells, categories, pairs) or the places of one county. The tables
+    belong to the plan that reads them: planning another query takes nothing from it, and a lost executor costs no stage.
     """
 
     def run(spark: SparkSession, sf: str):
-        key = (sf, build.__name__)
-        if key not in _stages:
+        key, held = (sf, build.__name__), _stages.get()
+        if key not in held:
             found = build(spark, sf)
-            _stages[key] = tuple(x.persist() for x in found) if isinstance(found, tuple) else found.persist()
-        return _stages[key]
+            held[key] = tuple(stored(x, build.__name__) for x in found) if isinstance(found, tuple) else stored(found, build.__name__)
+        return held[key]
 
     return run
 
 
 def _fresh(run):
-    """The query with stages of its own; those of the query before it are let go."""
+    """The query with stages of its own."""
 
     def asked(spark: SparkSession, sf: str) -> DataFrame:
-        for held in _stages.values():
-            for x in held if isinstance(held, tuple) else (held,):
-                x.unpersist()
-        _stages.clear()
-        return run(spark, sf)
+        token = _stages.set({})
+        try:
+            return run(spark, sf)
+        finally:
+            _stages.reset(token)
 
     return asked
 
@@ -98,10 +102,20 @@ def _grid(spark: SparkSession, sf: str):
 
 
 @_once
-def _parts(spark: SparkSession, sf: str):
+def _counts(spark: SparkSession, sf: str):
     own = _grid(spark, sf)
-    occupied = C.occupancy(own)
-    return own, C.cells(own), occupied, C.eligible(occupied)
+    return C.cells(own), C.occupancy(own)
+
+
+@_once
+def _categories(spark: SparkSession, sf: str):
+    return C.eligible(_counts(spark, sf)[1])
+
+
+def _parts(spark: SparkSession, sf: str):
+    """(places, cells, occupancy, eligible categories)."""
+    all_cells, occupied = _counts(spark, sf)
+    return _grid(spark, sf), all_cells, occupied, _categories(spark, sf)
 
 
 def _add(name, run, oracle=None):

@@ -76,6 +76,18 @@ _GOOD = f"{_FUNCTIONS}, {_CHUNKS}, fit AS (SELECT function_id FROM chunks GROUP
 _add("corpus_write", lambda s, sf: (lambda w: w[1].groupBy("function_id").agg(F.count("*").alias("n")))(_written(s, sf)), f"WITH {_GOOD} SELECT function_id, count(*) AS n FROM chunks WHERE function_id IN (SELECT id FROM good) GROUP BY 1")
 _add("corpus_by_file", lambda s, sf: (lambda w: K.by_file(*w).where("file_path like 'src1/%'").select("id", "file_path", F.size("vectors").alias("n"), F.round(F.get(F.get("vectors", 0), 0), 6).alias("first")))(_written(s, sf)), f"WITH {_GOOD} SELECT id, file_path, count(*)::INT AS n, round(arg_min(vector[1], chunk_index), 6) AS first FROM good JOIN chunks ON function_id = id WHERE file_path LIKE 'src1/%' GROUP BY 1, 2")
 _add("corpus_delete", lambda s, sf: (lambda t: t[1].groupBy("function_id").agg(F.count("*").alias("n")))(K.delete(_functions(s, sf), _chunks(s, sf), _functions(s, sf).where("id % 5 = 0").select("id"))), f"WITH {_CHUNKS} SELECT function_id, count(*) AS n FROM chunks WHERE function_id % 5 <> 0 OR function_id NOT IN (SELECT doc_id FROM documents) GROUP BY 1")
+
+
+
+def _versions(s, sf):
+    """A first version, and one on top of it without every fifth function; the last is read."""
+    path = scratch(s, "index")
+    K.write(_functions(s, sf), _chunks(s, sf), path, 64)
+    K.delete_version(s, path, _functions(s, sf).where("id % 5 = 0").select("id"), 64)
+    return K.read(s, path)
+
+
+_add("corpus_versions", lambda s, sf: _versions(s, sf)[1].groupBy("function_id").agg(F.count("*").alias("n")), f"WITH {_GOOD} SELECT function_id, count(*) AS n FROM chunks WHERE function_id IN (SELECT id FROM good WHERE id % 5 <> 0) GROUP BY 1")
 _add("vector_width_check", lambda s, sf: K.width_check(_chunks(s, sf), 64), f"WITH {_CHUNKS} SELECT count(*) AS n, count(*) FILTER (len(vector) <> 64) AS wrong, count(*) FILTER (len(vector) <> 64) > 0 AS rebuild FROM chunks")
 _add(
     "incremental_index",

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoquarry.operators import corpus as K
@@ -83,3 +84,24 @@ def test_property_answers(spark):
     kinds = spark.createDataFrame([("1", '{"properties": {"property_type": {"enum": ["old"]}}}'), ("2", '{"properties": {"Property_Type": {"enum": ["own"]}}}')], "cid string, schema string")
     assert {r.cid: r.enum for r in J.property_answer(kinds, "property_type").collect()} == {"1": "LandParcel,Building,Unit,ManufacturedHome", "2": "own"}
     assert J.walk(df.limit(0)).count() == 0
+
+
+def test_two_writers_on_one_version(spark, tmp_path):
+    path = str(tmp_path)
+    chunks = spark.createDataFrame([(i, 0, [1.0, 0.0]) for i in range(4)], "function_id long, chunk_index int, vector array<double>")
+    functions = spark.createDataFrame([(i, "n", "c", "f") for i in range(4)], "id long, name string, code string, file_path string")
+    assert K.head(spark, path) == (0, None)
+    first = K.write(functions, chunks, path, 2)
+    parent, name = K.head(spark, path)
+    assert (parent, name) == (1, first)
+    before = K.read(spark, path)
+    # two writers build on the first version; the second to commit is refused and readers see the other's rows alone
+    second = K.write(functions.where("id > 0"), chunks, path, 2, parent)
+    with pytest.raises(K.Conflict):
+        K.write(functions.where("id > 1"), chunks, path, 2, parent)
+    assert K.head(spark, path) == (2, second)
+    assert sorted(r.id for r in K.read(spark, path)[0].collect()) == [1, 2, 3] and sorted(r.function_id for r in K.read(spark, path)[1].collect()) == [1, 2, 3]
+    K.delete_version(spark, path, functions.where("id = 3").select("id"), 2)
+    assert sorted(r.function_id for r in K.read(spark, path)[1].collect()) == [1, 2] and K.head(spark, path)[0] == 3
+    # who reads an earlier version keeps it
+    assert before[0].count() == 4 and K.read(spark, path, second)[0].count() == 3
