@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -22,8 +23,8 @@ from geoquarry.sources.scratch import scratch
 MAX_TOKENS = 8192
 MAX_K = 50
 EXTENSIONS = ("js", "mjs", "cjs", "ts", "tsx")
-#: Queries that a batch search sends out at once, and distances that a task holds at once.
-BROADCAST_QUERIES = 100_000
+#: Queries, and bytes of their vectors, that a batch search sends out at once, and distances that a task holds at once.
+BROADCAST_QUERIES, QUERY_BYTES = 100_000, 32 << 20
 CELLS = 1 << 22
 
 
@@ -143,26 +144,35 @@ def nearest(own_chunks: DataFrame, functions: DataFrame, query: list[float], k:
     return top.select("function_id", "chunk_index", "distance").join(functions.withColumnRenamed("id", "function_id"), "function_id")
 
 
-def _k_best(queries: list[tuple[int, list[float] | None]], k: int, types: list[pa.DataType]) -> Callable:
-    """For mapInArrow: the k nearest rows of a partition to each query, kept while the partition streams by."""
-    by_width: dict[int, list[int]] = {}
-    for i, (_, v) in enumerate(queries):
-        by_width.setdefault(len(v or ()), []).append(i)
-    sides = {d: (np.array(i), np.array([[np.nan if x is None else x for x in queries[j][1] or ()] for j in i], float).reshape(len(i), d)) for d, i in by_width.items()}
+def _sides(found: pa.Table) -> tuple[list, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Ids of queries, and for each width which of them have it, with their vectors as one matrix; values that are null are no numbers."""
+    vectors = found["query"].combine_chunks()
+    widths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+    values, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(widths) - widths
+    sides = {}
+    for width in np.unique(widths[widths > 0]).tolist():
+        which = np.flatnonzero(widths == width)
+        sides[width] = (which, values[starts[which][:, None] + np.arange(width)])
+    return found["query_id"].to_pylist(), sides
+
+
+def _k_best(shared: Broadcast, n: int, k: int, types: list[pa.DataType]) -> Callable:
+    """For mapInArrow: the k nearest rows of a partition to each of the ``n`` queries, kept while the partition streams by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, sides = shared.value
         q, d, f, c = np.zeros(0, int), np.zeros(0), None, None
-        worst = np.full(len(queries), np.inf)
-        step = max(1, CELLS // max(len(queries), 1))
+        worst = np.full(n, np.inf)
+        step = max(1, CELLS // max(n, 1))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 own_f, own_c = (np.array(part.column(i).to_pylist()) for i in (0, 1))
                 vectors = part.column(2).to_pylist()
-                distance = np.full((len(queries), part.num_rows), np.inf)
+                distance = np.full((n, part.num_rows), np.inf)
                 for width, (which, side) in sides.items():
                     rows = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == width], int)
-                    if width and len(rows):
+                    if len(rows):
                         x = np.array([[np.nan if e is None else e for e in vectors[i]] for i in rows], float)
                         with np.errstate(all="ignore"):
                             found = 1 - side @ x.T / (np.sqrt((side * side).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1)))
@@ -179,28 +189,31 @@ def _k_best(queries: list[tuple[int, list[float] | None]], k: int, types: list[p
                 q, d, f, c, place = (x[place < k] for x in (q, d, f, c, place))
                 worst[q[place == k - 1]] = d[place == k - 1]
         if f is not None:
-            ids = [queries[i][0] for i in q.tolist()]
+            ids = [queries[i] for i in q.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, d.tolist(), f.tolist(), c.tolist()), types, strict=True)], ["query_id", "distance", "function_id", "chunk_index"])
 
     return run
 
 
-def nearest_batch(own_chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest_batch(own_chunks: DataFrame, queries: DataFrame, k: int, query_bytes: int | None = None) -> DataFrame:
     """query_id, function_id, chunk_index, distance, place of the k nearest chunks of each query (query_id, query).
 
-    Queries go out in blocks of about BROADCAST_QUERIES, one after another. Each task keeps its own k best while its
+    Queries go out in blocks, one after another, as broadcast matrices of about BROADCAST_QUERIES rows and QUERY_BYTES at most. Each task keeps its own k best while its
     rows stream by, so what is held and moved is partitions x queries x k rows. Distances count to 12 digits; a pair
     without one (zero vectors, other widths, values that are no numbers) is infinitely far.
     """
-    k = max(1, min(k, MAX_K))
-    spark, blocks = own_chunks.sparkSession, max(1, -(-queries.count() // BROADCAST_QUERIES))
+    k, query_bytes = max(1, min(k, MAX_K)), query_bytes or QUERY_BYTES
+    spark = own_chunks.sparkSession
     own, asked = own_chunks.select("function_id", "chunk_index", F.col("vector").cast("array<double>")), queries.select("query_id", F.col("query").cast("array<double>"))
     fields = [asked.schema["query_id"], StructField("distance", DoubleType()), own.schema["function_id"], own.schema["chunk_index"]]
     types, schema = [to_arrow_type(f.dataType) for f in fields], StructType([StructField(f.name, f.dataType) for f in fields])
 
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("width")).first()
+    blocks = max(1, -(-size["n"] // BROADCAST_QUERIES), -(-size["n"] * 8 * max(size["width"] or 1, 1) // query_bytes))
+
     def search(block: DataFrame) -> DataFrame:
         found = block.toArrow()
-        hits = own.mapInArrow(_k_best(list(zip(found["query_id"].to_pylist(), found["query"].to_pylist(), strict=True)), k, types), schema)
+        hits = own.mapInArrow(_k_best(spark.sparkContext.broadcast(_sides(found)), found.num_rows, k, types), schema)
         placed = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "function_id", "chunk_index")))
         return placed.where(F.col("place") <= k).select("query_id", "function_id", "chunk_index", "distance", "place")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoquarry.operators.ranks import last_before, running_sum
+from geoquarry.operators.ranks import last_before, page, running_sum
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 500
 
@@ -20,8 +20,8 @@ def number_or_null(c: str) -> Column:
 def list_properties(properties: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     """A page by parcel, with the address joined from its parts that are not blank."""
     address = F.nullif(F.concat_ws(", ", *(text_or_null(c) for c in ("address_street", "address_city", "address_zip"))), F.lit(""))
-    page = properties.orderBy("parcel_identifier", "property_id").offset(max(0, offset)).limit(max(1, min(limit, MAX_LIMIT)))
-    return page.select("parcel_identifier", "property_id", text_or_null("cid").alias("cid"), address.alias("address"), number_or_null("avm_value").alias("avm_value"))
+    rows = page(properties, [F.asc("parcel_identifier"), F.asc("property_id")], max(1, min(limit, MAX_LIMIT)), max(0, offset))
+    return rows.select("parcel_identifier", "property_id", text_or_null("cid").alias("cid"), address.alias("address"), number_or_null("avm_value").alias("avm_value"))
 
 
 def lookup(keys: DataFrame, properties: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoquarry.operators import ranks
+
 #: Contact lists stay out of the default projection.
 CONTACT_COLUMNS = ("websites", "phones", "emails")
 SORT_FIELDS = ("name_primary", "taxonomy_primary", "basic_category", "confidence", "address_locality", "address_postcode", "gers_id")
@@ -109,7 +111,7 @@ def page(places: DataFrame, f: PlaceFilter, sort: str = "gers_id", descending: b
     if sort not in SORT_FIELDS:
         raise ValueError(f"cannot sort by {sort}")
     first = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
-    return rows(places, f).orderBy(first, F.asc("gers_id")).offset(_offset(offset)).limit(_limit(limit))
+    return ranks.page(rows(places, f), [first, F.asc("gers_id")], _limit(limit), _offset(offset))
 
 
 def _limit(n: int) -> int:

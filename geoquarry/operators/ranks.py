@@ -86,3 +86,28 @@ def last_before(df: DataFrame, value: str, order: Sequence[Column], name: str =
     totals = df.sparkSession.createDataFrame(carried, schema)
     found = rows.withColumn("__own", F.last(value, ignorenulls=True).over(local))
     return _met(found, totals, ()).select(*df.columns, F.coalesce("__own", "__before").alias(name))
+
+
+#: Rows up to which a page is taken by Spark's own top-k, which gathers all rows before its end in one task.
+NEAR_ROWS = 10_000
+
+
+def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int, near: int = NEAR_ROWS) -> DataFrame:
+    """``limit`` rows from ``offset`` on, in order. Beyond ``near`` rows only the partitions that hold the page are read again.
+
+    The table is dealt by ranges of the sort key; the numbers of rows of its partitions tell which of them the page lies in.
+    Rows with equal keys come in any order, so ``order`` should end with a key of its own for each row.
+    """
+    if offset + limit <= near:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    rows = dealt(df, order)
+    begin, held = 0, []
+    for r in sorted(rows.groupBy(_PART).agg(F.count("*").alias("n")).collect(), key=lambda r: r[_PART]):
+        if begin < offset + limit and begin + r["n"] > offset:
+            held.append((r[_PART], max(0, offset - begin), min(r["n"], offset + limit - begin)))
+        begin += r["n"]
+    inside = F.lit(False)
+    for part, first, end in held:
+        inside = inside | ((F.col(_PART) == part) & (F.col(_ROW) >= first) & (F.col(_ROW) < end))
+    # the page itself: at most ``limit`` rows
+    return rows.where(inside).orderBy(_PART, _ROW).drop(_PART, _ROW)

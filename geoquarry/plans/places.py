@@ -49,6 +49,11 @@ _add(
     lambda p: P.group(p, P.PlaceFilter("lee", hosted="exclude"), "address_locality", limit=7, offset=3),
     "SELECT address_locality AS category, count(*) AS n FROM places WHERE county_key = 'lee' AND is_hosted_service IS DISTINCT FROM TRUE GROUP BY 1 ORDER BY n DESC, category ASC NULLS LAST LIMIT 7 OFFSET 3",
 )
+_add(
+    "places_deep_page",
+    lambda p: P.page(p, P.PlaceFilter("lee"), "confidence", limit=500, offset=20_000),
+    f"SELECT {_ROWS} FROM places WHERE county_key = 'lee' ORDER BY confidence ASC NULLS LAST, gers_id LIMIT 500 OFFSET 20000",
+)
 _add(
     "places_page",
     lambda p: P.page(p, P.PlaceFilter("lee", min_confidence=0.7), "name_primary", descending=True, limit=10_000, offset=25),

@@ -63,3 +63,17 @@ def test_no_single_task_window(spark):
         assert "SinglePartition" not in plan
     assert R.running_sum(df, "v", [F.col("id").asc()]).agg(F.max("reached")).first()[0] == 1500.0
     assert R.ranked(df.limit(0), [F.col("id").asc()]).count() == 0 and R.running_sum(df.limit(0), "v", [F.col("id").asc()]).count() == 0
+
+
+def test_deep_pages(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(50)]), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, i long").repartition(3)
+    order = [F.asc_nulls_last("k"), F.desc("i")]
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, -r[1]))
+    for limit, offset in ((10, 0), (100, 2450), (1, 4999), (50, 4990), (7, 6000), (3000, 1000)):
+        for near in (0, 10_000):
+            assert [tuple(r) for r in R.page(df, order, limit, offset, near).collect()] == want[offset : offset + limit]
+    # of the partitions only those of the page send rows on
+    out = R.page(df, order, 10, 2500, 0)
+    assert "TakeOrdered" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 10
