@@ -172,6 +172,8 @@ def permutation_null(own_cells: DataFrame, seed: str, rounds: int = PERMUTATIONS
     strata = strata.withColumns({"least": least, "varies": least < F.least("a", "b")})
     # a stratum is one row with its cells (a block of 8 x 8 at most); it deals all rounds from them and tells each round's count
     loose = cell.groupBy("stratum").agg(F.collect_list(F.struct("cell", "has_a")).alias("cells")).join(strata.where("varies").select("stratum", "b"), "stratum")
+    # a stratum is a small row and much work, so rows are dealt by number and not by size
+    loose = loose.repartition(int(own_cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stratum")
 
     def moved(number: Column) -> Column:
         hashed = F.transform("cells", lambda c: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), number.cast("string"), F.col("stratum"), c["cell"]), 256).alias("hash"), c["cell"].alias("cell"), c["has_a"].alias("has_a")))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from geoquarry.operators.ranks import ranked
 from geoquarry.sources.scratch import stored
@@ -71,8 +71,12 @@ class Numbered:
     def __init__(self, categories: DataFrame, block: int = BLOCK) -> None:
         """``block`` below BLOCK is for tests."""
         self.block = block
-        self.table = stored(ranked(categories.select("category").distinct(), [F.col("category").asc()], name="id"), "numbers")
-        self.several = self.table.where(F.col("id") >= block).limit(1).count() > 0
+        own = stored(categories.select("category").distinct(), "categories")
+        self.several = own.limit(block + 1).count() > block
+        if self.several:
+            self.table = stored(ranked(own, [F.col("category").asc()], name="id"), "numbers")
+        else:  # a window over one block at most
+            self.table = own.withColumn("id", (F.row_number().over(Window.orderBy("category")) - 1).cast("long"))
 
 
 def pair_sums(rows: DataFrame, keys: list[str], categories: Numbered) -> DataFrame:
@@ -83,6 +87,8 @@ def pair_sums(rows: DataFrame, keys: list[str], categories: Numbered) -> DataFra
     """
     named, block = categories.table, categories.block
     placed = rows.join(named, "category").withColumns({"x": F.floor(F.col("id") / block), "at": (F.col("id") % block).cast("int")})
+    # dealt by key at a fixed number of parts: the lists are small, the work on them is not
+    placed = placed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     lists = placed.groupBy(*keys, "n", "x").agg(F.collect_list(F.struct("at", F.col("m").cast("long").alias("m"))).alias("own"))
     lists = lists.select(*keys, "n", "x", F.col("own.at").alias("ids"), F.col("own.m").alias("m"))
     sides = [lists.select(*keys, "n", *(F.col(c).alias(f"{c}_{s}") for c in ("x", "ids", "m"))) for s in "xy"]

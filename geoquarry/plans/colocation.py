@@ -98,7 +98,8 @@ def _fresh(run):
 @_once
 def _grid(spark: SparkSession, sf: str):
     own = C.universe(view(spark, sf, "places"), "lee")
-    return C.gridded(own, C.grid_of(own))
+    # what any stage reads of a place
+    return C.gridded(own, C.grid_of(own)).select("gers_id", "taxonomy_primary", "taxonomy_hierarchy", "lat_idx", "lon_idx")
 
 
 @_once
