@@ -130,12 +130,19 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """Video chunks of a movi list in order, those in its "rec " lists included."""
-    for name, begin, size in _chunks(data, at, end):
-        if name == b"LIST" and data[begin : begin + 4] == b"rec ":
-            yield from _walk(data, begin + 4, min(begin + size, end))
-        elif _VIDEO.fullmatch(name):
-            yield name, begin, size
+    """Video chunks of a movi list in order, those in its "rec " lists included, however deep."""
+    lists = [(_chunks(data, at, end), end)]
+    while lists:
+        chunks, end = lists[-1]
+        for name, begin, size in chunks:
+            if name == b"LIST" and data[begin : begin + 4] == b"rec ":
+                inner = min(begin + size, end)
+                lists.append((_chunks(data, begin + 4, inner), inner))
+                break
+            if _VIDEO.fullmatch(name):
+                yield name, begin, size
+        else:
+            lists.pop()
 
 
 def parse_avi(data: bytes) -> tuple[list[bytes], int]:
@@ -286,6 +293,9 @@ def decode_frame(frame: bytes) -> np.ndarray:
     t, runs = _split(frame)
     wide, high = t.parts[0][0], t.parts[0][1]
     across, down = -(-t.width // (8 * wide)), -(-t.height // (8 * high))
+    # a block takes two bits at least
+    if across * down * wide * high > 4 * sum(map(len, runs)):
+        raise ValueError("the frame is larger than its scan")
     image, unit = np.empty((down * high * 8, across * wide * 8)), 0
     for run in runs:
         scan, at, pred = run + b"\xff" * 8, 0, [0] * len(t.parts)
@@ -375,7 +385,7 @@ def feature(blocks: np.ndarray, frame_ms: int) -> str:
 
 
 #: What broken files raise somewhere in parsing or decoding.
-_DAMAGED = (ValueError, KeyError, IndexError, struct.error, OverflowError, UnboundLocalError)
+_DAMAGED = (ValueError, KeyError, IndexError, struct.error, OverflowError, UnboundLocalError, MemoryError, RecursionError)
 
 
 # -- columns -------------------------------------------------------------------------------------------------------

@@ -291,13 +291,18 @@ def write(docs: DataFrame, where: str, path: str) -> int:
     return dealt.mapInArrow(_writer(where, path), "shard int, docs long").where("docs > 0").count()
 
 
+def shard_number(path: str) -> int:
+    """The number in a file's name, which has six digits or more."""
+    return int(re.search(r"shard-([0-9]+)\.ids$", path)[1])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             f = TokenFile(content.as_buffer())
             start, n = f.find(f.keys, f.ordinals, f.flags)
             crc = [zlib.crc32(f.ids[a : a + k].astype("<u4").tobytes()) for a, k in zip(start, n, strict=True)]
-            shard = int(path.as_py()[-10:-4])
+            shard = shard_number(path.as_py())
             keys = pa.array(f.keys, mask=f.flags == 0)
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n), pa.int32()), keys, pa.array(start), pa.array(n), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
 from geoquarry.llm import media
 
@@ -147,3 +148,19 @@ def test_damaged_media_give_nulls(spark):
     assert len(got) == len(files) and got[2].payload_bytes == 2 * media.FRAME and got[9].feature == "frames=3;shots=0-120"
     assert all(got[i].payload_sha256 is None and got[i].feature is None for i in (0, 1, 3, 4, 5, 6, 7))
     assert media.clips(spark.createDataFrame([(2, good), (3, None), (4, files[3])], "doc_id long, media binary")).count() == 1
+
+
+def test_files_that_ask_for_too_much():
+    """Lists in lists, and frames that no scan could fill, are damage like any other."""
+    frames = media.encode_frames(np.zeros((2, media.FRAME), np.uint8) + 7)
+    data = media.avi(frames)
+    movi = data.index(b"movi")
+    body = b"".join(b"00dc" + struct.pack("<I", len(f)) + f + b"\0" * (len(f) & 1) for f in frames)
+    for _ in range(3000):
+        body = b"LIST" + struct.pack("<I", len(body) + 4) + b"rec " + body
+    nested = data[: movi - 8] + b"LIST" + struct.pack("<I", len(body) + 4) + b"movi" + body
+    assert media.parse_avi(nested)[0] == frames
+    at = frames[0].index(b"\xff\xc0")
+    huge = frames[0][: at + 5] + struct.pack(">HH", 60_000, 60_000) + frames[0][at + 9 :]
+    with pytest.raises(ValueError):
+        media.decode_frame(huge)

@@ -85,3 +85,7 @@ def test_one_id_is_spread_over_files(spark, tmp_path):
     tf.write(docs, f"file://{tmp_path}/t", tf.default_path())
     rows = tf.read(spark, f"file://{tmp_path}/t").groupBy("shard").count().collect()
     assert sum(r["count"] for r in rows) == 3000 and len(rows) > 1 and max(r["count"] for r in rows) < 2000
+
+
+def test_shard_numbers_of_any_width():
+    assert [tf.shard_number(f"s3://a/shard-1/shard-{n:06d}.ids") for n in (0, 999_999, 1_000_000, 12_345_678)] == [0, 999_999, 1_000_000, 12_345_678]
