@@ -267,4 +267,4 @@ def op5_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of piece ids for every document; a smaller cache, as executors also hold what earlier stages left."""
     small_batches(spark)
-    return encode(docs, default_path(), n=2, cache_units=CACHE_UNITS // 8).select("doc_id", "n_pieces", F.get("crcs", 0).alias("ids_crc32"), F.get("scores", 0).alias("score"), "round_trip", "ids")
+    return encode(docs, default_path(), n=2, cache_units=CACHE_UNITS // 16).select("doc_id", "n_pieces", F.get("crcs", 0).alias("ids_crc32"), F.get("scores", 0).alias("score"), "round_trip", "ids")

@@ -49,7 +49,7 @@ MARGIN = 1e-4
 #: Pseudo-votes of the base rate, and what keeps weights finite at distance 0.
 SHRINK, EPS = 1.0, 0.1
 #: Words whose places a worker keeps: in the query, and in the pipeline, whose executors also hold what other stages need.
-WORDS, STAGE_WORDS = 250_000, 50_000
+WORDS, STAGE_WORDS = 250_000, 20_000
 #: Examples that are returned as evidence.
 EVIDENCE = 5
 
@@ -161,7 +161,7 @@ class Postings:
         self.long[example[own] // block, self.row[term[own]], example[own] % block] = weight[own]
         self.most = self.long.max(axis=2, initial=0.0).T
         order = np.lexsort((example[~own], term[~own]))
-        self.example, self.weight = example[~own][order].astype(np.intp), weight[~own][order]
+        self.example, self.weight = example[~own][order].astype(np.int32), weight[~own][order]
         self.start = np.concatenate([[0], np.cumsum(np.where(self.row >= 0, 0, held))])
 
     def _short(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
