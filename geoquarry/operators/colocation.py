@@ -8,6 +8,7 @@ preflight and size guards reach the driver.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,17 +75,19 @@ def preflight(own: DataFrame, a: str | None = None, b: str | None = None) -> Dat
     return own.agg(*measures)
 
 
-def size_guard(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """Refuse, never truncate: an error beyond ``limit`` rows."""
+def size_guard(df: DataFrame, limit: int, what: str, refuse: bool = True) -> DataFrame:
+    """Refuse, never truncate: an error beyond ``limit`` rows; without ``refuse`` a warning, and all rows go on."""
     found = df.limit(limit + 1).count()
     if found > limit:
-        raise ValueError(f"refused: more than {limit} {what}; nothing was left out")
+        if refuse:
+            raise ValueError(f"refused: more than {limit} {what}; nothing was left out")
+        warnings.warn(f"more than {limit} {what}: beyond what one process would take, done whole", stacklevel=2)
     return df
 
 
-def guarded_places(own: DataFrame) -> DataFrame:
-    """The places of an analysis, refused beyond MAX_PLACES with valid coordinates."""
-    size_guard(own.where(valid_coordinate()), MAX_PLACES, "places with coordinates")
+def guarded_places(own: DataFrame, refuse: bool = True) -> DataFrame:
+    """The places of an analysis, refused beyond MAX_PLACES with valid coordinates, or told of by a warning where places are only aggregated."""
+    size_guard(own.where(valid_coordinate()), MAX_PLACES, "places with coordinates", refuse)
     return own
 
 
