@@ -2,13 +2,17 @@
 
 Categories get numbers in their order and are cut into blocks of BLOCK. Each key (a cell, a stratum) keeps one list for each
 block of categories that it holds; lists of one key meet each other, blocks with blocks, and every task multiplies
-the resulting slabs of rows as matrices. A task gives one sum for each pair that it saw, so what is shuffled does
+the resulting slabs of rows as matrices. A task gives one sum for each pair and n that it saw, so what is shuffled does
 not grow with rows x pairs. With up to BLOCK categories no two rows ever meet.
+
+Sums for one n are whole numbers, and the fractions of all n are added over a common denominator, so moments are the
+exact values rounded once: they depend on no order of rows or tasks, and pairs that tie do so in all digits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +23,10 @@ from geoquarry.sources.scratch import stored
 
 #: Categories of one block; a matrix of sums has BLOCK x BLOCK numbers.
 BLOCK = 256
-#: Rows of one slab, and pairs of blocks whose sums a task holds before it gives them out.
-SLAB, HELD = 4096, 16
-_SUMS = "a long, b long, joint long, mean double, variance double"
+#: Rows of one slab, and pairs of blocks (for each n) whose sums a task holds before it gives them out.
+SLAB, HELD = 4096, 32
+_SUMS = "a long, b long, n long, joint long, spread double"
+_MOMENTS = "ia long, ib long, joint long, mean double, variance double"
 
 
 def _slab(ids: pa.Array, values: pa.Array, rows: int) -> np.ndarray:
@@ -32,15 +37,15 @@ def _slab(ids: pa.Array, values: pa.Array, rows: int) -> np.ndarray:
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    held: dict[tuple[int, int, int], list[np.ndarray]] = {}
 
     def given() -> Iterator[pa.RecordBatch]:
-        for (x, y), (joint, mean, variance) in held.items():
+        for (x, y, of), (joint, spread) in held.items():
             i, j = np.nonzero(joint)
             keep = slice(None) if x != y else i < j
             i, j = i[keep], j[keep]
-            columns = [x * BLOCK + i, y * BLOCK + j, joint[i, j].astype(np.int64), mean[i, j], variance[i, j]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "joint", "mean", "variance"])
+            columns = [x * BLOCK + i, y * BLOCK + j, np.full(len(i), of), joint[i, j].astype(np.int64), spread[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n", "joint", "spread"])
         held.clear()
 
     for batch in batches:
@@ -53,18 +58,29 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = batch.take(pa.array(order[at : min(at + SLAB, end)]))
                 of = int(n[order[at]])
                 left, right = (_slab(part.column(f"ids_{s}"), part.column(f"m_{s}"), part.num_rows) for s in "xy")
-                key = (int(x[order[at]]), int(y[order[at]]))
+                key = (int(x[order[at]]), int(y[order[at]]), of)
                 if key not in held and len(held) >= HELD:
                     yield from given()
-                joint, mean, variance = held.setdefault(key, [np.zeros((BLOCK, BLOCK)) for _ in range(3)])
-                met = left.T @ right
-                joint += met
-                mean += met / of
+                joint, spread = held.setdefault(key, [np.zeros((BLOCK, BLOCK)) for _ in range(2)])
+                joint += left.T @ right
                 if of > 1:
-                    variance += ((left * (of - left)).T @ (right * (of - right))) / (float(of) * of * (of - 1))
+                    spread += (left * (of - left)).T @ (right * (of - right))
     yield from given()
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The moments of pairs whose whole sums for each n are lists: exact fractions, rounded once."""
+    for batch in batches:
+        ia, ib, sums = (batch.column(c).to_pylist() for c in ("ia", "ib", "sums"))
+        sizes = {s["n"] for own in sums for s in own}
+        whole, square = lcm(*sizes), lcm(*(n * n * (n - 1) for n in sizes if n > 1))
+        parts = {n: (whole // n, square // (n * n * (n - 1)) if n > 1 else 0) for n in sizes}
+        joint = [sum(s["joint"] for s in own) for own in sums]
+        mean = [sum(s["joint"] * parts[s["n"]][0] for s in own) / whole for own in sums]
+        variance = [sum(int(s["spread"]) * parts[s["n"]][1] for s in own) / square for own in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(ia, pa.int64()), pa.array(ib, pa.int64()), pa.array(joint, pa.int64()), pa.array(mean, pa.float64()), pa.array(variance, pa.float64())], ["ia", "ib", "joint", "mean", "variance"])
+
+
 class Numbered:
     """Categories with numbers from 0 in their order, and whether they fill more than one block."""
 
@@ -100,6 +116,8 @@ def pair_sums(rows: DataFrame, keys: list[str], categories: Numbered) -> DataFra
     sums = both.mapInArrow(_products, _SUMS)
     # numbers in a task count in blocks of BLOCK; with smaller blocks the rest of each stays empty
     number = lambda c: F.floor(F.col(c) / BLOCK) * block + F.col(c) % BLOCK
-    total = sums.groupBy(number("a").alias("ia"), number("b").alias("ib")).agg(*(F.sum(c).alias(c) for c in ("joint", "mean", "variance")))
+    by_n = sums.groupBy(number("a").alias("ia"), number("b").alias("ib"), "n").agg(F.sum("joint").alias("joint"), F.sum("spread").alias("spread"))
+    # a pair's list has one entry for each n
+    total = by_n.groupBy("ia", "ib").agg(F.collect_list(F.struct("n", "joint", "spread")).alias("sums")).mapInArrow(_moments, _MOMENTS)
     a, b = (named.select(F.col("id").alias(f"i{c}"), F.col("category").alias(c)) for c in "ab")
     return total.join(a, "ia").join(b, "ib").select("a", "b", "joint", "mean", "variance")
