@@ -60,3 +60,14 @@ def tied(spark):
 def test_ranks_of_ties_go_by_names(tied):
     ranked, want = tied
     assert {(r.a, r.b): r.rank for r in ranked.collect()} == want
+
+
+def test_holm_orders_ties_by_rank(tied):
+    ranked, want = tied
+    rows = C.holm(ranked.select("a", "b", "rank", F.round(F.least(F.lit(1.0), 1 / (1 + F.col("z") * F.col("z"))), 6).alias("p")), "p", "rank").collect()
+    assert {(r.a, r.b): r.rank for r in rows} == want
+    at, m, reached = 0, len(rows), 0.0
+    for r in sorted(rows, key=lambda r: (r.p, want[r.a, r.b])):
+        reached = max(reached, min(1.0, (m - at) * r.p))
+        assert r.holm_p == pytest.approx(reached)
+        at += 1
