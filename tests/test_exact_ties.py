@@ -71,3 +71,15 @@ def test_holm_orders_ties_by_rank(tied):
         reached = max(reached, min(1.0, (m - at) * r.p))
         assert r.holm_p == pytest.approx(reached)
         at += 1
+
+
+@pytest.fixture(scope="module")
+def evident(tied, spark):
+    ranked, want = tied
+    distances = spark.createDataFrame([(a, b, 0.9 if (int(a[1:]) // 2 + int(b[1:]) // 2) % 2 else 0.3) for a, b in want], "a string, b string, distance double")
+    return S.evidence(ranked, S.percentiles(distances)), want
+
+
+def test_evidence_keeps_the_ranks_of_ties(evident):
+    evidence, want = evident
+    assert {(r.a, r.b): r.rank for r in evidence.collect()} == want
