@@ -83,3 +83,10 @@ def evident(tied, spark):
 def test_evidence_keeps_the_ranks_of_ties(evident):
     evidence, want = evident
     assert {(r.a, r.b): r.rank for r in evidence.collect()} == want
+
+
+def test_frontier_cuts_ties_by_names(evident):
+    evidence, want = evident
+    passing = [p for p in sorted(want, key=want.get) if (int(p[0][1:]) // 2 + int(p[1][1:]) // 2) % 2]
+    assert len(passing) > C.FRONTIER
+    assert [(r.a, r.b) for r in S.frontier(evidence).orderBy("place").collect()] == passing[: C.FRONTIER]
