@@ -107,9 +107,14 @@ def gridded(own: DataFrame, grid: Grid) -> DataFrame:
     return own.where(valid_coordinate()).withColumns({"lat_idx": grid.lat_index(), "lon_idx": grid.lon_index()})
 
 
-def cells(own: DataFrame) -> DataFrame:
-    """lat_idx, lon_idx, density from gridded places."""
-    return own.groupBy("lat_idx", "lon_idx").agg(F.count("*").alias("density"))
+def filled(own: DataFrame) -> DataFrame:
+    """lat_idx, lon_idx, category, n: gridded places by cell and category; those of a blank one have a null."""
+    return own.groupBy("lat_idx", "lon_idx", _category().alias("category")).agg(F.count("*").alias("n"))
+
+
+def cells(own: DataFrame, counted: str | None = None) -> DataFrame:
+    """lat_idx, lon_idx, density from gridded places, or from rows that each count ``counted`` of them."""
+    return own.groupBy("lat_idx", "lon_idx").agg((F.sum(counted) if counted else F.count("*")).alias("density"))
 
 
 def occupancy(own: DataFrame) -> DataFrame:
