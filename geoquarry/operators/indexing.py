@@ -12,7 +12,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoquarry.sources.scratch import stored
+
 EXTENSIONS = ("js", "mjs", "cjs", "ts", "tsx")
+#: Rows of one Arrow batch of files, whose contents are whole sources; bytes of contents or code after which found functions are given out.
+FILE_ROWS, GIVEN_BYTES = 64, 4 << 20
 EXTRACTED = "repo string, file_path string, position int, name string, code string, error string"
 
 
@@ -46,7 +50,8 @@ def plan(ruled: DataFrame, changed: DataFrame, listed: DataFrame) -> DataFrame:
 def extract(files: DataFrame, functions_of: Callable[[str, str], list[tuple[str, str]]]) -> DataFrame:
     """EXTRACTED rows of files (repo, file_path, content): the functions that a plugged-in parser finds, in order.
 
-    An error of the parser, or a file that is gone (null content), is the file's one row, and other files go on.
+    An error of the parser, or a file that is gone (null content), is the file's one row, and other files go on. Files come
+    in batches of FILE_ROWS, and the rows are written at once, so that every file is parsed once.
     """
 
     def of(repo: str, path: str, content: str | None) -> list[tuple]:
@@ -57,14 +62,34 @@ def extract(files: DataFrame, functions_of: Callable[[str, str], list[tuple[str,
         except Exception as e:  # whatever a plugged-in parser raises concerns its file alone
             return [(repo, path, 0, None, None, str(e) or type(e).__name__)]
 
+    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["repo", "file_path", "position", "name", "code", "error"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for repo, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in of(repo, path, content)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["repo", "file_path", "position", "name", "code", "error"])
-
-    return files.select("repo", "file_path", "content").mapInArrow(run, EXTRACTED)
+            rows, held = [], 0
+            # one file at a time: neither the contents of a batch nor its functions are Python objects at once
+            for at in range(batch.num_rows):
+                repo, path, content = (c[at].as_py() for c in batch.columns)
+                for row in of(repo, path, content):
+                    rows.append(row)
+                    held += len(row[4] or "")
+                    if held > GIVEN_BYTES:
+                        yield given(rows)
+                        rows, held = [], 0
+            if rows:
+                yield given(rows)
+
+    spark, key = files.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(FILE_ROWS))
+        return stored(files.select("repo", "file_path", "content").mapInArrow(run, EXTRACTED), "extracted")
+    finally:
+        spark.conf.set(key, before)
 
 
 def inserts(extracted: DataFrame) -> DataFrame:

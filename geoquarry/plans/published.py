@@ -107,7 +107,7 @@ def _run(s, sf):
     function = F.struct("doc_id", F.concat(F.lit("fn_"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("code"))
     contents = docs.groupBy("repo", "kind", "f", "file_path").agg(F.to_json(F.array_sort(F.collect_list(function))).alias("content"))
     contents = contents.select("repo", "file_path", F.when(gone, None).when((F.col("f") % 7 == 3) | (F.col("kind") == 5), "broken").otherwise(F.col("content")).alias("content"))
-    extracted = stored(I.extract(contents.join(targets, ["repo", "file_path"], "left_semi"), _functions_of), "extracted")
+    extracted = I.extract(contents.join(targets, ["repo", "file_path"], "left_semi"), _functions_of)
     return syncs, ruled, targets, old, extracted, I.inserts(extracted), states
 
 
