@@ -31,6 +31,13 @@ def tied(spark):
     return ranked, pairs
 
 
+def test_holm_keeps_the_names_of_ties(tied):
+    ranked, pairs = tied
+    rows = C.holm(ranked.select("a", "b", "rank", F.round(1 / (1 + F.col("z") * F.col("z")), 6).alias("p")), "p", "rank").collect()
+    assert [(r.a, r.b) for r in sorted(rows, key=lambda r: r["rank"])] == pairs
+    assert {round(r.holm_p, 9) for r in rows} == {round(min(1.0, len(pairs) * rows[0].p), 9)}
+
+
 @pytest.fixture(scope="module")
 def evident(tied, spark):
     ranked, pairs = tied
