@@ -45,6 +45,13 @@ def evident(tied, spark):
     return S.evidence(ranked, S.percentiles(distances)), pairs
 
 
+def test_evidence_keeps_the_names_of_ties(evident):
+    evidence, pairs = evident
+    rows = evidence.orderBy("rank").collect()
+    assert [(r.a, r.b) for r in rows] == pairs
+    assert [r.passed for r in rows] == [(int(a[1:]) + int(b[1:])) % 5 != 0 for a, b in pairs]
+
+
 def test_frontier_cuts_by_the_names_of_ties(evident):
     evidence, pairs = evident
     passing = [p for p in pairs if (int(p[0][1:]) + int(p[1][1:])) % 5]
