@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoquarry.functions.geometry import Grid, grid_definition, stratum_id, valid_coordinate
-from geoquarry.operators.pairs import Numbered, pair_sums
+from geoquarry.operators.pairs import Numbered, pair_sums, scored
 from geoquarry.operators.ranks import ranked, running_sum
 from geoquarry.sources.scratch import stored
 
@@ -207,12 +207,17 @@ def joint_counts(incident: DataFrame, categories: Numbered | None = None) -> Dat
     return pair_sums(ones, ["lat_idx", "lon_idx"], categories or Numbered(incident)).select("a", "b", "joint")
 
 
-def pair_moments(all_cells: DataFrame, incident: DataFrame, categories: Numbered | None = None) -> DataFrame:
-    """a < b, mean and variance of the joint count under independence within strata, summed over strata."""
+def _pair_moments(all_cells: DataFrame, incident: DataFrame, categories: Numbered) -> DataFrame:
+    """As ``pair_moments``, with exact_mean and exact_variance."""
     cell = all_cells.select("lat_idx", "lon_idx", stratum_id().alias("stratum"))
     strata = cell.groupBy("stratum").agg(F.count("*").alias("n"))
     marginal = incident.join(cell, ["lat_idx", "lon_idx"]).groupBy("stratum", "category").agg(F.count("*").alias("m")).join(strata, "stratum")
-    return pair_sums(marginal, ["stratum"], categories or Numbered(incident)).select("a", "b", "mean", "variance")
+    return pair_sums(marginal, ["stratum"], categories).drop("joint")
+
+
+def pair_moments(all_cells: DataFrame, incident: DataFrame, categories: Numbered | None = None) -> DataFrame:
+    """a < b, mean and variance of the joint count under independence within strata, summed over strata."""
+    return _pair_moments(all_cells, incident, categories or Numbered(incident)).select("a", "b", "mean", "variance")
 
 
 def pair_stats(all_cells: DataFrame, incident: DataFrame) -> DataFrame:
@@ -222,14 +227,13 @@ def pair_stats(all_cells: DataFrame, incident: DataFrame) -> DataFrame:
     marginal = stored(incident.groupBy("category").agg(F.count("*").alias("m")), "marginals")
     a, b = (marginal.select(F.col("category").alias(c), F.col("m").alias(f"cells_{c}")) for c in ("a", "b"))
     numbered = Numbered(marginal)
-    out = joint_counts(incident, numbered).join(a, "a").join(b, "b").join(pair_moments(all_cells, incident, numbered), ["a", "b"]).join(F.broadcast(n))
-    return out.withColumns(
+    out = joint_counts(incident, numbered).join(a, "a").join(b, "b").join(_pair_moments(all_cells, incident, numbered), ["a", "b"]).join(F.broadcast(n))
+    return scored(out).withColumns(
         {
             "lift": F.col("joint") * F.col("n_cells") / (F.col("cells_a") * F.col("cells_b")),
-            "z": F.when(F.col("variance") > 0, (F.col("joint") - F.col("mean")) / F.sqrt("variance")),
             "zero_variance_excess": (F.col("variance") == 0) & (F.col("joint") > F.col("mean")),
         }
-    ).drop("n_cells")
+    ).select("a", "b", "joint", "cells_a", "cells_b", "mean", "variance", "lift", "z", "zero_variance_excess")
 
 
 def pair_guard(pairs: DataFrame, joint: int = MIN_JOINT, lift: float = MIN_LIFT) -> DataFrame:

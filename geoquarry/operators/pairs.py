@@ -6,17 +6,20 @@ the resulting slabs of rows as matrices. A task gives one sum for each pair and
 not grow with rows x pairs. With up to BLOCK categories no two rows ever meet.
 
 Sums for one n are whole numbers, and the fractions of all n are added over a common denominator, so moments are the
-exact values rounded once: they depend on no order of rows or tasks, and pairs that tie do so in all digits.
+exact values rounded once: they depend on no order of rows or tasks. Scores are roots of exact fractions, so pairs that
+tie do so in all digits, also where their joint counts and moments differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lcm
+from fractions import Fraction
+from math import copysign, lcm, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from geoquarry.operators.ranks import ranked
 from geoquarry.sources.scratch import stored
@@ -26,7 +29,7 @@ BLOCK = 256
 #: Rows of one slab, and pairs of blocks (for each n) whose sums a task holds before it gives them out.
 SLAB, HELD = 4096, 32
 _SUMS = "a long, b long, n long, joint long, spread double"
-_MOMENTS = "ia long, ib long, joint long, mean double, variance double"
+_MOMENTS = "ia long, ib long, joint long, mean double, variance double, exact_mean string, exact_variance string"
 
 
 def _slab(ids: pa.Array, values: pa.Array, rows: int) -> np.ndarray:
@@ -76,9 +79,29 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, square = lcm(*sizes), lcm(*(n * n * (n - 1) for n in sizes if n > 1))
         parts = {n: (whole // n, square // (n * n * (n - 1)) if n > 1 else 0) for n in sizes}
         joint = [sum(s["joint"] for s in own) for own in sums]
-        mean = [sum(s["joint"] * parts[s["n"]][0] for s in own) / whole for own in sums]
-        variance = [sum(int(s["spread"]) * parts[s["n"]][1] for s in own) / square for own in sums]
-        yield pa.RecordBatch.from_arrays([pa.array(ia, pa.int64()), pa.array(ib, pa.int64()), pa.array(joint, pa.int64()), pa.array(mean, pa.float64()), pa.array(variance, pa.float64())], ["ia", "ib", "joint", "mean", "variance"])
+        mean = [sum(s["joint"] * parts[s["n"]][0] for s in own) for own in sums]
+        variance = [sum(int(s["spread"]) * parts[s["n"]][1] for s in own) for own in sums]
+        rounded = [pa.array([x / of for x in xs], pa.float64()) for xs, of in ((mean, whole), (variance, square))]
+        exact = [pa.array([f"{x:x}/{of:x}" for x in xs], pa.string()) for xs, of in ((mean, whole), (variance, square))]
+        yield pa.RecordBatch.from_arrays([pa.array(ia, pa.int64()), pa.array(ib, pa.int64()), pa.array(joint, pa.int64()), *rounded, *exact], ["ia", "ib", "joint", "mean", "variance", "exact_mean", "exact_variance"])
+
+
+def _fraction(text: str) -> Fraction:
+    return Fraction(*(int(x, 16) for x in text.split("/")))
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        z = []
+        for joint, mean, variance in zip(*(batch.column(c).to_pylist() for c in ("joint", "exact_mean", "exact_variance")), strict=True):
+            off, spread = joint - _fraction(mean), _fraction(variance)
+            z.append(copysign(sqrt(off * off / spread), off) if spread else None)
+        yield batch.append_column("z", pa.array(z, pa.float64()))
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (joint, exact_mean, exact_variance) with z = (joint - mean) / sqrt(variance), from one exact fraction; null at variance 0."""
+    return pairs.mapInArrow(_scores, StructType([*pairs.schema.fields, StructField("z", DoubleType())]))
 
 
 class Numbered:
@@ -96,7 +119,7 @@ class Numbered:
 
 
 def pair_sums(rows: DataFrame, keys: list[str], categories: Numbered) -> DataFrame:
-    """a < b, joint, mean, variance over rows (keys, category, n, m): the category's count m of the key's n.
+    """a < b, joint, mean, variance, exact_mean, exact_variance (fractions as hex text) over rows (keys, category, n, m): the category's count m of the key's n.
 
     joint sums m_a m_b; mean sums m_a m_b / n and variance m_a (n - m_a) m_b (n - m_b) / (n n (n - 1)), the moments of
     overlaps of independent draws. Categories without a number do not count.
@@ -120,4 +143,4 @@ def pair_sums(rows: DataFrame, keys: list[str], categories: Numbered) -> DataFra
     # a pair's list has one entry for each n
     total = by_n.groupBy("ia", "ib").agg(F.collect_list(F.struct("n", "joint", "spread")).alias("sums")).mapInArrow(_moments, _MOMENTS)
     a, b = (named.select(F.col("id").alias(f"i{c}"), F.col("category").alias(c)) for c in "ab")
-    return total.join(a, "ia").join(b, "ib").select("a", "b", "joint", "mean", "variance")
+    return total.join(a, "ia").join(b, "ib").select("a", "b", "joint", "mean", "variance", "exact_mean", "exact_variance")
