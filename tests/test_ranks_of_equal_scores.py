@@ -51,3 +51,10 @@ def test_frontier_of_equal_scores(evident):
     passing = [p for p in pairs if (int(p[0][1:]) + int(p[1][1:])) % 5]
     assert len(passing) > C.FRONTIER
     assert [(r.a, r.b) for r in S.frontier(evidence).orderBy("place").collect()] == passing[: C.FRONTIER]
+
+
+def test_evidence_of_equal_scores(evident):
+    evidence, pairs = evident
+    rows = evidence.orderBy("rank").collect()
+    assert [(r.a, r.b) for r in rows] == pairs
+    assert [r.passed for r in rows] == [(int(a[1:]) + int(b[1:])) % 5 != 0 for a, b in pairs]
